@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, language_id, packing, url_filter
+from . import chat, fingerprint, language_id, line_dedup, mixing, packing, url_filter
 from .common import id_bucket, table
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.train(url_filter.seed_table()))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_bucket(F.col("doc_id"), 3) == 1
@@ -34,6 +42,6 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_url_filter, op7_language_id, op8_perspective_rotation, op9_best_fit_packing, op10_fingerprint)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mixing, op5_url_filter, op6_line_dedup, op7_language_id, op8_perspective_rotation, op9_best_fit_packing, op10_fingerprint)}
 
-ORACLES: dict[str, str] = {"op8_perspective_rotation": chat.DIGEST_SQL}
+ORACLES: dict[str, str] = {"op6_line_dedup": line_dedup.DIGEST_SQL, "op8_perspective_rotation": chat.DIGEST_SQL}

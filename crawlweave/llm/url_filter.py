@@ -26,7 +26,7 @@ PASSES, RATE, DECAY = 300, 2.0, 1e-4
 
 #: The labelled table that the model is trained from unless another is given: hosts of both kinds, and paths for each.
 BLOCK_HOSTS = "adult-videos.test free-porn.test xxx-chat.test casino-royal.test online-casino.test poker-win.test football-bets.test sports-bets.test discount-pills.test pills-store.test buy-viagra.test email-spam.test link-farm.test spam-network.test ads-banner.test ad-server.test track-pixel.test adult-dating.test casino-bonus.test clickbait-ads.test malware-drop.test phish-login.test warez-crack.test".split()
-ALLOW_HOSTS = "daily-news.test city-library.test open-school.test garden-club.test weather-maps.test science-notes.test history-book.test museum-guide.test recipe-box.test travel-log.test code-docs.test math-forum.test health-info.test music-review.test film-archive.test bird-watch.test train-times.test local-council.test river-walks.test language-lab.test theatre.test".split()
+ALLOW_HOSTS = "daily-news.test city-library.test open-school.test garden-club.test weather-maps.test science-notes.test history-book.test museum-guide.test recipe-box.test travel-log.test code-docs.test math-forum.test health-info.test music-review.test film-archive.test bird-watch.test train-times.test local-council.test river-walks.test language-lab.test theatre.test northern-lights.test other-side.test this-thing.test station-house.test then-and-now.test shining-sea.test the-orchard.test reading-room.test winter-tent.test another-one.test lighthouse.test the-hearth.test tin-and-tile.test stone-table.test north-end.test thirteen.test whole-earth.test".split()
 PATHS = ["/", "/en/12", "/de/7.html", "/fr/345/", "/es/9", "/about", "/index.html", "/post/2024/a-title"]
 PREFIXES = ["", "www.", "m.", "blog."]
 
