@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, language_id, line_dedup, mixing, packing, url_filter
+from . import chat, fingerprint, language_id, line_dedup, mixing, ngram_lm, packing, url_filter
 from .common import id_bucket, table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_bucket(F.col("doc_id"), 5) == 1
+    scored = ngram_lm.score_documents(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (F.col("mark") == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -42,6 +48,6 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mixing, op5_url_filter, op6_line_dedup, op7_language_id, op8_perspective_rotation, op9_best_fit_packing, op10_fingerprint)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_source_mixing, op5_url_filter, op6_line_dedup, op7_language_id, op8_perspective_rotation, op9_best_fit_packing, op10_fingerprint)}
 
 ORACLES: dict[str, str] = {"op6_line_dedup": line_dedup.DIGEST_SQL, "op8_perspective_rotation": chat.DIGEST_SQL}
