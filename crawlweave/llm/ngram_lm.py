@@ -1,7 +1,8 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 The model is a trigram model. With c the counts over the training texts, a the word before, ab the two words before:
-P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), P(w|a) = (c(aw) + MU P(w)) / (c(a) + MU),
+P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),
+P(w|a) = (1 - RHO) c(aw) / (c(a) + MU) + l(a) P(w), l(a) = RHO + (1 - RHO) MU / (c(a) + MU),
 P(w|ab) = max(c(abw) - D, 0) / c(ab) + D n(ab) / c(ab) P(w|a), n(ab) the number of distinct words after ab; P(w|a) where
 ab is unknown. Each sums to 1 over all known words, the end and one unknown word. A text begins with two begin marks.
 
@@ -30,7 +31,8 @@ from .blocks import encode, numbered, pack, unpack, vocabulary
 from .common import staged
 from .elias_fano import Trie, dequantise
 
-DISCOUNT, MU = 0.75, 20.0
+#: Chosen for held-out texts.
+DISCOUNT, RHO, MU = 0.75, 0.7, 200.0
 #: Tokens of a shard, about.
 SHARD_TOKENS = 1_000_000
 #: Numbers of the begin and end marks; words come after them.
@@ -139,7 +141,7 @@ def build_trie(pair_a: np.ndarray, pair_b: np.ndarray, context: np.ndarray, pair
     known = cab > 0
     number = np.cumsum(known) - 1
     p3 = np.maximum(count[kept] - DISCOUNT, 0) / cab[pair[kept]]
-    return Trie.build(pair_a[known], pair_b[known], number[pair[kept]], c[kept], cab[known] / (context[known] + MU), DISCOUNT * after[known] / cab[known], p3)
+    return Trie.build(pair_a[known], pair_b[known], number[pair[kept]], c[kept], (1 - RHO) * cab[known] / (context[known] + MU), DISCOUNT * after[known] / cab[known], p3)
 
 
 def _answer(asked: pa.Table) -> pa.Table:
@@ -205,7 +207,7 @@ def _score(shards: int, train_docs: int, total: int, distinct: int):
                 plo, phi, lo, hi = block.pair_cuts[s], block.pair_cuts[s + 1], block.cuts[s], block.cuts[s + 1]
                 p2[plo:phi], back[plo:phi], p3[lo:hi] = unpack(body.as_py())
             p1 = (block.total + 0.5) / (total + 0.5 * (distinct + 1))
-            lam2 = MU / (block.total + MU)
+            lam2 = RHO + (1 - RHO) * MU / (block.total + MU)
             # The pair (b, c) of an n-gram (a, b, c) is the first pair of the next place's n-gram.
             n = len(block.where)
             pair_at = block.pair[block.place[block.where]]
