@@ -54,7 +54,7 @@ def unpack(data: bytes) -> list[np.ndarray]:
 BLOCK = "block long, doc_ids array<bigint>, marks array<int>, lengths binary, tokens binary, words binary, n_tokens long, n_words long"
 
 
-def encode(docs: DataFrame, mark: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, mark: Column, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of documents, written to the shared folder. mark: an integer that goes with each document.
 
     tokens are numbers of words by frequency in the block; words are joined by line feeds (they hold no white space).
@@ -98,7 +98,7 @@ def encode(docs: DataFrame, mark: Column, doc_id: str = "doc_id", text: str = "t
                 marks.append(m)
                 lengths.append(len(words))
                 size += len(raw) + 100
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield block()
         if ids:
             yield block()

@@ -73,14 +73,14 @@ def _chosen(tokens: np.ndarray, size: np.ndarray, node: np.ndarray, threshold: f
 
 
 def sets(docs: DataFrame, doc_id: str, text: str, threshold: float, runs: int) -> DataFrame:
-    """doc_id, key (md5 of the set), tokens, and paths: the children chosen at the root of every run."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """doc_id, text_md5, key (md5 of the set), tokens, and paths: the children chosen at the root of every run."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_md5"))
     roots = _mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: dict[bytes, int] = {}
 
-        def flush(got_ids: list, got: list[np.ndarray]) -> pa.RecordBatch:
+        def flush(got_ids: list, marks: list, got: list[np.ndarray]) -> pa.RecordBatch:
             size = np.asarray([len(x) for x in got])
             every = np.concatenate(got) if got else np.zeros(0, np.uint32)
             owner, each = np.repeat(np.arange(len(got)), size), np.repeat(size, size)
@@ -94,23 +94,25 @@ def sets(docs: DataFrame, doc_id: str, text: str, threshold: float, runs: int) -
             offsets = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(got)))]).astype(np.int32)
             raw = [x.tobytes() for x in got]
             paths = pa.ListArray.from_arrays(pa.array(offsets), pa.array(to[order]))
-            return pa.RecordBatch.from_arrays([pa.array(got_ids, pa.int64()), pa.array([hashlib.md5(x).digest() for x in raw], pa.binary()), pa.array(raw, pa.binary()), paths], names=["doc_id", "key", "tokens", "paths"])
+            return pa.RecordBatch.from_arrays([pa.array(got_ids, pa.int64()), pa.array(marks, pa.string()), pa.array([hashlib.md5(x).digest() for x in raw], pa.binary()), pa.array(raw, pa.binary()), paths], names=["doc_id", "text_md5", "key", "tokens", "paths"])
 
         for batch in batches:
             got_ids: list = []
+            marks: list = []
             got: list[np.ndarray] = []
             size = 0
-            for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), ids), strict=True):
+            for i, m, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(1).to_pylist(), ids), strict=True):
                 got_ids.append(i)
+                marks.append(m)
                 got.append(s)
                 size += len(s)
                 if size >= SLICE_WORDS:
-                    yield flush(got_ids, got)
-                    got_ids, got, size = [], [], 0
+                    yield flush(got_ids, marks, got)
+                    got_ids, marks, got, size = [], [], [], 0
             if got:
-                yield flush(got_ids, got)
+                yield flush(got_ids, marks, got)
 
-    return staged(rows.mapInArrow(run, "doc_id long, key binary, tokens binary, paths array<bigint>"), "sets")
+    return staged(rows.mapInArrow(run, "doc_id long, text_md5 string, key binary, tokens binary, paths array<bigint>"), "sets")
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -271,7 +273,7 @@ def _children(threshold: float):
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
-    """doc_id, key (of its set), copy_id (least id with an equal set), class_id (least id of its group), links (other documents at least that similar), one row per document."""
+    """doc_id, text_md5, key (of its set), copy_id (least id with an equal set), class_id (least id of its group), links (other documents at least that similar), one row per document."""
     every = sets(docs, doc_id, text, threshold, runs)
     grouped = every.groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("paths").alias("paths"))
     classes = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -302,5 +304,18 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     counted = _sorted_by(inside, "bucket", "i", "j").mapInArrow(_link_counts(threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
     facts = classes.select("key", "node", "copy_id", "copies").join(roots, "node", "left").join(counted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = facts.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    facts = facts.join(least, "root").select("key", "copy_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    return every.select("doc_id", "key").join(facts, "key")
+    facts = facts.join(least, "root").select("key", "copy_id", "class_id", F.col("root").alias("group_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return every.select("doc_id", "text_md5", "key").join(facts, "key")
+
+
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without all but one document of each group: the one of the least id (null last), then of the least md5 of its text."""
+    rows = staged(join(docs, doc_id, text), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_md5").alias("md5")))
+    kept = rows.groupBy("group_key").agg(first.alias("kept"), F.count("*").alias("n")).select("kept.id", "kept.md5", "n")
+    # Rows that agree in id and text are of one group: where such a row is kept, one of them is.
+    repeated = rows.groupBy("doc_id", "text_md5").agg(F.count("*").alias("times")).where("times > 1")
+    kept = staged(kept.join(repeated, kept["id"].eqNullSafe(repeated["doc_id"]) & (kept["md5"] == repeated["text_md5"]), "left").select("id", "md5", F.coalesce("times", F.lit(1)).alias("times")), "kept")
+    same = docs[doc_id].cast("long").eqNullSafe(kept["id"]) & (F.md5(F.coalesce(docs[text], F.lit(""))) == kept["md5"])
+    once = docs.join(kept.where("times = 1"), same, "left_semi")
+    return once.unionByName(docs.join(kept.where("times > 1"), same, "left_semi").dropDuplicates())

@@ -77,13 +77,13 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the repeated chunks removed from the text, and removed_lines and removed_chars."""
-    gone = repeated(docs, doc_id, text).groupBy("doc_key").agg(F.collect_list(F.struct("first", "n", "body")).alias("gone"))
+    """docs with the repeated chunks removed from the text, and removed_lines and removed_chars (which replace columns of docs of these names)."""
+    gone = repeated(docs, doc_id, text).groupBy("doc_key").agg(F.collect_list(F.struct("first", "n", "body")).alias("__found"))
     key = F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.col(text)))
     rows = docs.withColumn("__key", key).join(gone.withColumnRenamed("doc_key", "__key"), "__key", "left")
     rows = rows.withColumn("__lines", F.split(F.col(text), "\n"))
     # The byte comparison: what stands there must be what the first occurrence has.
-    rows = rows.withColumn("__gone", F.filter("gone", lambda c: F.array_join(F.slice("__lines", c["first"], c["n"]), "\n") == c["body"]))
+    rows = rows.withColumn("__gone", F.filter("__found", lambda c: F.array_join(F.slice("__lines", c["first"], c["n"]), "\n") == c["body"]))
     # Kept lines are those between the removed chunks.
     rows = rows.withColumn("__cuts", F.array_sort(F.transform("__gone", lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n")))))
     count = F.size("__cuts")
@@ -95,7 +95,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     lines = F.when(touched, F.aggregate("__cuts", F.lit(0).cast("long"), lambda a, c: a + c["n"])).otherwise(F.lit(0).cast("long"))
     out = rows.withColumns({"removed_lines": lines, "__clean": clean})
     out = out.withColumn("removed_chars", F.coalesce(F.length(F.col(text)) - F.length("__clean"), F.lit(0)).cast("long")).withColumn(text, F.col("__clean"))
-    return out.drop("__key", "gone", "__lines", "__gone", "__cuts", "__clean")
+    return out.drop("__key", "__found", "__lines", "__gone", "__cuts", "__clean")
 
 
 def digest(cleaned: DataFrame) -> DataFrame:

@@ -155,3 +155,15 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     left = placed.select("source_no", "start", "doc_id", "size", "source_size", "target")
     same = [left[k].eqNullSafe(found[k]) for k in ("source_no", "start", "doc_id", "size")]
     return left.join(found, same, "left").select(left["doc_id"], left["size"], "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs as the mix takes them whole: a row for each time that the schedule takes the block in which the document begins.
+
+    Rows that agree in id and text are taken as often as the most taken of them. Documents without words are not in a mix.
+    """
+    _, pieces = mix(docs, **options)
+    heads = pieces.where(F.col("block") == F.floor(F.col("start") / options.get("block_tokens", BLOCK_TOKENS)))
+    often = staged(heads.groupBy("doc_id", "text_hash").agg(F.max("times").alias("__times")), "times").withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    rows = docs.join(often, docs[doc_id].eqNullSafe(often["__id"]) & (F.xxhash64(docs[text]) == often["__hash"]))
+    return rows.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[docs[c] for c in docs.columns])
