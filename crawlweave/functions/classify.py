@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ WORDS = {
 SCHEMA_ENDS = {"article": ["article", "blogposting"], "service": ["service"], "location": ["localbusiness"], "contact": ["contactpage"], "about": ["aboutpage"]}
 
 
+def _ends_with(ends: list[str]) -> Callable[[Column], Column]:
+    pattern = f"({'|'.join(ends)})$"
+    return lambda k: k.rlike(pattern)
+
+
 def classify(url: Column, title: Column, h1: Column, schema_types: Column | None = None) -> Column:
     """struct(page_type, confidence). Types that tie keep the order above; a type that leads by one point or less is `other`, but for legal and utility."""
     where = F.regexp_replace(F.lower(path(url)), "^/+|/+$", "")
@@ -44,7 +51,7 @@ def classify(url: Column, title: Column, h1: Column, schema_types: Column | None
         if kind == "article":
             score = score + F.when(where.rlike(r"\b20\d{2}\b"), 1).otherwise(0)
         if kinds is not None and kind in SCHEMA_ENDS:
-            score = score + F.when(F.exists(kinds, lambda k, ends=SCHEMA_ENDS[kind]: k.rlike("(" + "|".join(ends) + ")$")), 2).otherwise(0)
+            score = score + F.when(F.exists(kinds, _ends_with(SCHEMA_ENDS[kind])), 2).otherwise(0)
         scores.append(F.struct((-score).alias("minus"), F.lit(i).alias("at"), F.lit(kind).alias("kind")))
     ranked = F.array_sort(F.array(*scores))
     top, margin, kind = -ranked[0]["minus"], ranked[1]["minus"] - ranked[0]["minus"], ranked[0]["kind"]

@@ -526,3 +526,44 @@ r0(a, b) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT r0.a, u.ds
 SELECT v.x AS node, CAST(k.parts > k0.parts AS INTEGER) AS bridge_flag FROM v JOIN k USING (x), k0""")
 def articulation(spark, d):
     return G.bridges(_nations(spark, d), _trade(spark, d))
+
+
+# --- rules and scores --------------------------------------------------------------------------------------------------
+
+
+def _audit_pages(spark, d):
+    """Pages of the driver's table as an audited site: facts of their HTML, one run."""
+    from .functions.classify import classify
+    from .sources.html import extract
+
+    f = extract(t(spark, d, "pages"), "page_id", "url", "html")
+    kind = classify(F.col("url"), F.col("title"), F.col("h1"), F.col("schema_types"))["page_type"]
+    facts = f.select(
+        "page_id",
+        F.lit("run-1").alias("run_id"),
+        F.col("url").alias("normalized_url"),
+        F.col("url").alias("final_url"),
+        F.lit(200).alias("status_code"),
+        F.lit("text/html").alias("content_type"),
+        kind.alias("page_type"),
+        *["title", "meta_description", "h1", "h1_count", "canonical_url", "canonical_count", "word_count", "content_hash", "internal_links_out", "is_noindex", "data_nosnippet_count", "schema_parse_error_count", "rel_next", "rel_prev"],
+        F.to_json("schema_types").alias("schema_types_json"),
+    )
+    return facts.withColumnsRenamed({"rel_next": "rel_next_url", "rel_prev": "rel_prev_url"})
+
+
+@query()
+def audit_findings(spark, d):
+    from .plans.rules import enriched, findings
+
+    pages = G.kept(_audit_pages(spark, d))
+    return enriched(findings(pages), pages).select("url", "issue_code", "severity", "gate", "reach", "affected_count", "certainty_state", "priority_score")
+
+
+@query()
+def audit_scores(spark, d):
+    from .plans.rules import enriched, findings
+    from .plans.scoring import score_pages
+
+    pages = G.kept(_audit_pages(spark, d))
+    return score_pages(pages, enriched(findings(pages), pages))
