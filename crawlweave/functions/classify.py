@@ -42,7 +42,7 @@ def classify(url: Column, title: Column, h1: Column, schema_types: Column | None
     where = F.regexp_replace(F.lower(path(url)), "^/+|/+$", "")
     text = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(h1, F.lit("")), where))
     segment = first_segment(url)
-    kinds = F.transform(schema_types, F.lower) if schema_types is not None else None
+    kinds = F.transform(schema_types, lambda v: F.lower(v)) if schema_types is not None else None
     scores = []
     for i, (kind, (points, names)) in enumerate(SEGMENTS.items()):
         score = F.when(segment.isin(names), points).otherwise(0)

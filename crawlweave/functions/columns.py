@@ -204,7 +204,7 @@ def casefold_hash(texts: pd.Series) -> pd.Series:
 
 def directives(raw: Column) -> Column:
     """Distinct directives of a comma-separated robots value, lower case, without blanks."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.lower(F.coalesce(raw, F.lit(""))), ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.lower(F.coalesce(raw, F.lit(""))), ","), lambda v: F.trim(v)), lambda x: x != ""))
 
 
 def directive_value(raw: Column, name: str) -> Column:
@@ -269,7 +269,7 @@ def retry_after_seconds(raw: Column, now: Column) -> Column:
 def json_strings(raw: Column) -> Column:
     """A JSON list of strings, empty for anything else; blanks dropped, first occurrences in order."""
     parsed = F.from_json(F.coalesce(raw, F.lit("")), "array<string>")
-    return F.array_distinct(F.filter(F.transform(F.coalesce(parsed, F.array().cast("array<string>")), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.coalesce(parsed, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda x: x != ""))
 
 
 def json_value(raw: Column, json_path: str, kind: str) -> Column:

@@ -157,7 +157,7 @@ def change_streaks(df: DataFrame, key: str, order: Sequence[str], value: str) ->
 
 def tokens(df: DataFrame, column: str, separator: str = ",", blank: str = "unknown") -> DataFrame:
     """token, n: values of a separated list, trimmed; a blank list counts once as `blank`."""
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), separator), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), separator), lambda v: F.trim(v)), lambda x: x != "")
     parts = F.when(F.size(parts) == 0, F.array(F.lit(blank))).otherwise(parts)
     return df.select(F.explode(parts).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
