@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,7 +30,7 @@ def memoised(rows: DataFrame, cache: DataFrame, key: str, work: Callable[[DataFr
     return results
 
 
-def artifact_key(body_hash: str, kind: str, version: str) -> F.Column:
+def artifact_key(body_hash: str, kind: str, version: str) -> Column:
     """Key of memoised work: changes with the body, the kind of work and its version."""
     return F.sha2(F.concat_ws("|", F.col(body_hash), F.lit(kind), F.lit(version)), 256)
 
