@@ -22,7 +22,7 @@ def test_html_facts():
     assert (p["internal_links_out"], p["external_links_out"], p["image_count"], p["is_noindex"], p["is_nofollow"]) == (2, 1, 2, 1, 1)
     assert p["schema_types"] == ["Service", "Thing"] and p["script_count"] == 2
     assert [x["region"] for x in p["links"]] == ["nav", "main", "main"]
-    assert p["word_count"] == 9
+    assert p["word_count"] == 11
     assert html.parse(None, None)["word_count"] == 0 and html.parse("<p>a<b>c</p></div><h1>x", "http://e.com")["h1_count"] == 0
 
 
