@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import encode, numbered, pack, unpack, vocabulary
-from .common import staged
+from .common import released, staged
 
 K1, B, TOP = 1.2, 0.75, 10
 #: Bytes of text of a shard, documents of a run, queries of a group, about.
@@ -165,15 +165,19 @@ def search(docs: DataFrame, is_query: Column, k: int = TOP, doc_id: str = "doc_i
     facts = coded.agg(F.sum(F.size("doc_ids")).alias("n"), F.sum("n_tokens").alias("tokens"), F.sum(F.aggregate("marks", F.lit(0).cast("long"), lambda a, m: a + m)).alias("queries")).first()
     n, tokens, queries = (facts[x] or 0 for x in ("n", "tokens", "queries"))
     shards = max(2 * coded.sparkSession.sparkContext.defaultParallelism, int(tokens // VOCABULARY_TOKENS) + 1)
-    known = numbered(coded, vocabulary(coded, shards, _document_counts), shards)
+    replies = vocabulary(coded, shards, _document_counts)
+    known = numbered(coded, replies, shards)
+    spark = coded.sparkSession
+    released(coded, replies)
     parts = staged(known.mapInArrow(_split, PARTS), "index")
+    released(known)
     groups = int(queries // QUERIES) + 1
     index = parts.where("kind = 'index'")
     # Shards numbered from 0: one number for each SHARD_BYTES of text.
     numbers = staged(index.select("shard", (F.row_number().over(Window.orderBy("shard")) - 1).alias("at")), "shard-numbers")
     count = numbers.count()
     if not count:
-        return coded.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     left = index.join(numbers, "shard").select("shard", "at", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "doc_ids", "body")
     asked = parts.where("kind = 'queries' AND queries > 0").select("shard", "doc_ids", "body", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int").alias("g"))
     right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("at"), "g", *[F.col(c).alias(c) for c in ("shard", "doc_ids", "body")])

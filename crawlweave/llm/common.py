@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,11 +34,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage and fixes what a retry would compute anew."""
+    """Writes df to the shared folder and reads it again: cuts the lineage and fixes what a retry would compute anew.
+
+    The driver then collects its garbage, so that Spark removes the shuffle files of the job that has ended.
+    """
     spark = df.sparkSession
+    schema = df.schema
     path = f"{shared_dir(spark)}/crawlweave/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def released(*frames: DataFrame) -> None:
+    """Deletes what `staged` has written for frames that nothing reads any more: what was made of them is written itself."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def word_count(text: Column) -> Column:

@@ -9,7 +9,7 @@ The trie has three levels (words; words after a word; words after two words). A
 one after another: an Elias-Fano sequence of pointers says where each node's children begin, another one holds the
 children, each node's numbers raised by the last one of the node before, so that the level is monotone. A child is found
 by a successor search for the context's base plus the child's number, and counts only if it lies in the context's range.
-Probabilities and back-off weights are quantised to 16-bit codes. The whole trie is one run of bytes, so that it can be
+Probabilities and back-off weights are quantised to 12-bit codes. The whole trie is one run of bytes, so that it can be
 memory-mapped.
 """
 
@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Quantised log10 probabilities: code 0 is probability 0, codes 1..65535 are steps of 12 / 65534 from 1e-12 to 1.
-CODES, DECADES = 65534, 12.0
+#: Quantised log10 probabilities: code 0 is probability 0, codes 1..4095 are steps of 12 / 4094 from 1e-12 to 1.
+CODES, DECADES = 4094, 12.0
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -173,7 +173,8 @@ class Trie:
         later = some & (lo > 0)
         base[later] = level.access(lo[later] - 1)
         at, hit = level.find(base + word.astype(np.uint64) + np.uint64(1))
-        return at, hit & some & (at >= lo) & (at < hi)
+        ok = hit & some & (at >= lo) & (at < hi)
+        return np.where(ok, at, 0), ok
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nodes of pairs of words, and whether they exist. Each distinct word is looked up once."""

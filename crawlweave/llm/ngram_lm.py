@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import encode, numbered, pack, unpack, vocabulary
-from .common import staged
+from .common import released, staged
 from .elias_fano import Trie, dequantise
 
 #: Chosen for held-out texts.
@@ -248,6 +248,9 @@ def score_documents(docs: DataFrame, learn: Column) -> DataFrame:
     train_docs = coded.agg(F.sum(F.aggregate("marks", F.lit(0).cast("long"), lambda s, m: s + m))).first()[0] or 0
     total, distinct = (sums["n"] or 0) + train_docs, (sums["v"] or 0) + (train_docs > 0)
     known = numbered(coded, replies, shards)
-    answers = known.mapInArrow(_ask(shards, train_docs), ASKED).groupBy("shard").applyInArrow(_answer, ANSWER)
+    released(coded, replies)
+    answers = staged(known.mapInArrow(_ask(shards, train_docs), ASKED).groupBy("shard").applyInArrow(_answer, ANSWER), "answers")
     scored = known.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shards, train_docs, total, distinct), SCORES)
-    return staged(scored, "scores").withColumn("train_tokens", F.lit(int(total)).cast("long"))
+    scored = staged(scored, "scores")
+    released(known, answers)
+    return scored.withColumn("train_tokens", F.lit(int(total)).cast("long"))
