@@ -19,7 +19,7 @@ from crawlweave.llm import jaccard_join, language_id, line_dedup, mixing, packin
 from crawlweave.llm.common import staged, table
 
 #: Share of a text's n-grams, corrected, that its language's filter must hold.
-LEAST_LANGUAGE_SCORE = 0.25
+LEAST_LANGUAGE_SCORE = 0.1
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

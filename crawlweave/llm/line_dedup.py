@@ -25,7 +25,7 @@ from .common import WORD, staged
 #: Lines of the rolling hash, and the modulus that makes a boundary.
 WINDOW, MODULUS = 2, 2
 #: Words from which a line is a chunk of its own.
-LONG_WORDS = 50
+LONG_WORDS = 20
 
 
 def _line_number(line: Column) -> Column:
