@@ -567,3 +567,56 @@ def audit_scores(spark, d):
 
     pages = G.kept(_audit_pages(spark, d))
     return score_pages(pages, enriched(findings(pages), pages))
+
+
+# --- state, retention, read side ---------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, v, seen FROM (SELECT c_custkey, round(c_acctbal, 2) AS v, 'old' AS seen FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT o_custkey, round(max(o_totalprice), 2), 'new' FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey)")
+def keyed_upsert(spark, d):
+    from .streaming.state import merged
+
+    old = t(spark, d, "customer").select("c_custkey", F.round("c_acctbal", 2).alias("v"), F.lit("old").alias("seen"))
+    new = t(spark, d, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.max("o_totalprice"), 2).alias("v")).withColumn("seen", F.lit("new"))
+    return merged(old, new, ["c_custkey"])
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN o_orderdate < TIMESTAMP '1995-01-01' AND trim(l_returnflag) <> '{}' THEN '{}' ELSE l_returnflag END AS payload FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1")
+def retention_blanking(spark, d):
+    from .sources.tables import blank_old
+
+    runs = t(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("started_at"))
+    rows = t(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("run_id"), "l_linenumber", F.col("l_returnflag").alias("payload"))
+    return blank_old(rows, runs, "payload", "1995-01-02", 1).select(F.col("run_id").alias("l_orderkey"), "l_linenumber", "payload")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS run_id, count(*) FILTER (WHERE event_type = 'purchase') AS done, CAST(least(99, floor(count(*) FILTER (WHERE event_type = 'purchase') * 100 / 10.0)) AS INTEGER) AS percent FROM events GROUP BY 1")
+def event_progress(spark, d):
+    from .streaming.state import progress
+
+    return progress(t(spark, d, "events").select(F.col("user_id").cast("string").alias("run_id"), "event_type"), done="purchase")
+
+
+@query("SELECT round(sum(l_quantity), 2) AS clicks, round(sum(l_extendedprice), 2) AS impressions, round(sum(l_quantity) / sum(l_extendedprice), 6) AS ctr, round(avg(l_tax), 4) AS position FROM lineitem")
+def search_summary(spark, d):
+    from .plans.resolution import search_summary as summary
+
+    rows = t(spark, d, "lineitem").select(F.col("l_quantity").alias("clicks"), F.col("l_extendedprice").alias("impressions"), F.col("l_tax").alias("position"))
+    return summary(rows).select(F.round("clicks", 2).alias("clicks"), F.round("impressions", 2).alias("impressions"), "ctr", "position")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM (SELECT o_orderkey, o_totalprice, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders WHERE o_orderstatus = 'O') WHERE r <= 2 ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def frontier_order(spark, d):
+    from .plans.queue import frontier
+
+    urls = t(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("url"), F.col("o_totalprice").alias("priority"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("cluster_key"))
+    return frontier(urls, budget=2, most=100).select(F.col("url").alias("o_orderkey"), F.col("priority").alias("o_totalprice"))
+
+
+@query("SELECT event_type AS bot, count(*) AS blocked FROM events WHERE value < 20 GROUP BY event_type")
+def governance_blocked(spark, d):
+    from .plans.resolution import governance_counts
+
+    kinds = [r[0] for r in t(spark, d, "events").select("event_type").distinct().orderBy("event_type").limit(50).collect()]
+    e = t(spark, d, "events").select(F.col("event_id").alias("normalized_url"), *[F.when((F.col("event_type") == k) & (F.col("value") < 20), 0).otherwise(1).alias(k) for k in kinds])
+    return governance_counts(e, kinds).select("bot", "blocked")
