@@ -207,3 +207,8 @@ def ranks(value: Column, order: Sequence[str], default: int = 0) -> Column:
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most `most` rows, which are counted; else df."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def with_missing_columns(df: DataFrame, expected: dict[str, tuple[str, object]]) -> DataFrame:
+    """Additive migration: columns that are expected (name -> type, default) and absent are added."""
+    return df.withColumns({c: F.lit(v).cast(k) for c, (k, v) in expected.items() if c not in df.columns})
