@@ -5,11 +5,17 @@ it chooses each of its tokens with probability 1 / (threshold * size), by a hash
 sets choose shared tokens; each chosen token leads to a child. Sets that meet in a node of at most SMALL sets are compared
 by brute force, larger nodes are split further; nodes that are still large after DEPTH levels (groups of near copies share
 nearly all tokens) are compared by brute force too, in pairs of blocks. RUNS independent runs find a pair at the
-threshold with probability of about 1 - 0.45^RUNS, 0.998 for 8, and a more similar pair more surely; pairs within a
-group of linked texts are then compared exactly, so that a group's links are all counted if it has been found connected.
+threshold with probability of about 1 - 0.45^RUNS, 0.998 for 8, and a more similar pair more surely.
+
+At the root tokens are the set's own. Below it, and where sets are compared, a set is stood for by a sketch of SAMPLES
+min-hashes of a byte each, as tokens (position, value): that is all that travels. Sketches agree in a share of places near
+the sets' similarity; pairs that agree in LIKELY of them, far below the threshold, are linked provisionally (a pair at the
+threshold fails that with a probability below 10^-6). Components of these links are groups; only their sets' tokens are
+then fetched, all pairs within a group are compared exactly, in pairs of blocks, and groups are made anew of the links
+that hold.
 
 Texts with equal sets are one node; copies are never compared or expanded. Within a bucket only a spanning forest of
-verified links is emitted, and groups are components of these. The number of links is summed over block pairs.
+links is emitted. The number of links is summed over block pairs.
 
 Cases: words are runs of non-white-space, A-Z lower-cased. A text of one to four words has one shingle, all of it. Null
 and empty texts and texts without a word have the empty set: they are copies of each other. Rows with equal doc_id are
@@ -24,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, staged
@@ -32,6 +38,12 @@ from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 RUNS, DEPTH, SMALL, BLOCK = 8, 4, 64, 256
+#: Min-hashes of a sketch, and the share that must agree for a provisional link.
+SAMPLES, LIKELY = 64, 0.55
+#: Low bits of a node's number that hold its run.
+RUN_BITS = 15
+#: Bits of the filter that tells which texts' tokens are wanted: its size doesn't grow with the input, it only lets more pass.
+FILTER_BITS = 1 << 26
 #: Words that are handled at once.
 SLICE_WORDS = 500_000
 
@@ -69,13 +81,25 @@ def _chosen(tokens: np.ndarray, size: np.ndarray, node: np.ndarray, threshold: f
     """Places of the tokens that their sets choose at their nodes, and the children they lead to."""
     h = _mix(tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ node)
     at = np.flatnonzero((h >> np.uint64(11)).astype(np.float64) * 2.0**-53 < 1 / (threshold * size))
-    return at, _mix(h[at] ^ np.uint64(0xA0761D6478BD642F))
+    return at, (_mix(h[at] ^ np.uint64(0xA0761D6478BD642F)) & ~np.uint64(RUN_BITS)) | (node[at] & np.uint64(RUN_BITS))
+
+
+_ODD = _mix(np.arange(101, 101 + SAMPLES, dtype=np.uint64)) | np.uint64(1)
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """SAMPLES min-hashes of a set, the last byte of a mix of each."""
+    least = np.full(SAMPLES, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(tokens), 4096):
+        h = _mix(tokens[at : at + 4096].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))[:, None] * _ODD
+        np.minimum(least, h.min(axis=0), out=least)
+    return (_mix(least) & np.uint64(255)).astype(np.uint8)
 
 
 def sets(docs: DataFrame, doc_id: str, text: str, threshold: float, runs: int) -> DataFrame:
-    """doc_id, text_md5, key (md5 of the set), tokens, and paths: the children chosen at the root of every run."""
+    """doc_id, text_md5, key (md5 of the set), sketch, and paths: the children chosen at the root of every run."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_md5"))
-    roots = _mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    roots = (_mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) & ~np.uint64(RUN_BITS)) | np.arange(runs, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: dict[bytes, int] = {}
@@ -92,9 +116,8 @@ def sets(docs: DataFrame, doc_id: str, text: str, threshold: float, runs: int) -
             owners, to = np.concatenate(at), np.concatenate(to).view(np.int64)
             order = np.argsort(owners, kind="stable")
             offsets = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(got)))]).astype(np.int32)
-            raw = [x.tobytes() for x in got]
             paths = pa.ListArray.from_arrays(pa.array(offsets), pa.array(to[order]))
-            return pa.RecordBatch.from_arrays([pa.array(got_ids, pa.int64()), pa.array(marks, pa.string()), pa.array([hashlib.md5(x).digest() for x in raw], pa.binary()), pa.array(raw, pa.binary()), paths], names=["doc_id", "text_md5", "key", "tokens", "paths"])
+            return pa.RecordBatch.from_arrays([pa.array(got_ids, pa.int64()), pa.array(marks, pa.string()), pa.array([hashlib.md5(x.tobytes()).digest() for x in got], pa.binary()), pa.array([sketch(x).tobytes() for x in got], pa.binary()), paths], names=["doc_id", "text_md5", "key", "sketch", "paths"])
 
         for batch in batches:
             got_ids: list = []
@@ -112,7 +135,7 @@ def sets(docs: DataFrame, doc_id: str, text: str, threshold: float, runs: int) -
             if got:
                 yield flush(got_ids, marks, got)
 
-    return staged(rows.mapInArrow(run, "doc_id long, text_md5 string, key binary, tokens binary, paths array<bigint>"), "sets")
+    return staged(rows.mapInArrow(run, "doc_id long, text_md5 string, key binary, sketch binary, paths array<bigint>"), "sets")
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -184,58 +207,81 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tup
         yield key, rows
 
 
-def _small_links(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: list[int] = []
-        b: list[int] = []
-        for _, rows in _grouped(batches, ["bucket"]):
-            own = [_tokens(r["tokens"]) for r in rows]
-            similar = overlaps(own[:1], own[1:], threshold) if len(own) == 2 else overlaps(own, own, threshold)
-            links = [(0, 1)] if len(own) == 2 and similar[0, 0] else _forest(similar) if len(own) > 2 else []
-            for i, j in links:
-                a.append(rows[i]["node"])
-                b.append(rows[j]["node"])
-            if len(a) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Matrix of which sketches of x agree with which of y in LIKELY of their places."""
+    same = np.zeros((len(x), len(y)), dtype=np.int16)
+    for k in range(SAMPLES):
+        same += x[:, k, None] == y[None, :, k]
+    return same >= LIKELY * SAMPLES
 
-    return run
+
+def _sketches(rows: list[dict]) -> np.ndarray:
+    return np.frombuffer(b"".join(r["sketch"] for r in rows), dtype=np.uint8).reshape(-1, SAMPLES)
+
+
+def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _small_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    a: list[int] = []
+    b: list[int] = []
+    for _, rows in _grouped(batches, ["path"]):
+        own = _sketches(rows)
+        for i, j in _forest(agree(own, own)):
+            a.append(rows[i]["node"])
+            b.append(rows[j]["node"])
+        if len(a) > 10_000:
+            yield _pairs(a, b)
+            a, b = [], []
+    yield _pairs(a, b)
+
+
+def _dense_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, rows in _grouped(batches, ["bucket", "i", "j"]):
+        left, right = [r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1]
+        own = _sketches(rows)
+        same = rows[0]["i"] == rows[0]["j"]
+        similar = agree(own, own) if same else _bipartite(agree(own[: len(left)], own[len(left) :]))  # rows come sorted by side
+        both = left + right
+        links = _forest(similar)
+        yield _pairs([both[i]["node"] for i, _ in links], [both[j]["node"] for _, j in links])
+
+
+def _bipartite(similar: np.ndarray) -> np.ndarray:
+    """The relation over both sides' members as one matrix."""
+    m, n = similar.shape
+    both = np.zeros((m + n, m + n), dtype=bool)
+    both[:m, m:] = similar
+    return both
 
 
 def _block_pairs(rows: list[dict], threshold: float) -> tuple[list[dict], list[dict], np.ndarray]:
     left, right = [r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1]
-    if not right:
+    if rows[0]["i"] == rows[0]["j"]:
         similar = overlaps(x := [_tokens(r["tokens"]) for r in left], x, threshold)
         np.fill_diagonal(similar, False)
         return left, left, similar
+    if not left or not right:  # the other block has no member
+        return left, right, np.zeros((len(left), len(right)), dtype=bool)
     return left, right, overlaps([_tokens(r["tokens"]) for r in left], [_tokens(r["tokens"]) for r in right], threshold)
 
 
-def _dense_links(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches, ["bucket", "i", "j"]):
-            left, right, similar = _block_pairs(rows, threshold)
-            if left is right:
-                pairs = _forest(similar)
-            else:
-                both = np.zeros((len(left) + len(right),) * 2, dtype=bool)
-                both[: len(left), len(left) :] = similar
-                pairs = [(i, j - len(left)) for i, j in _forest(both)]
-            yield pa.RecordBatch.from_arrays([pa.array([left[i]["node"] for i, _ in pairs], pa.int64()), pa.array([right[j]["node"] for _, j in pairs], pa.int64())], names=["a", "b"])
-
-    return run
-
+def _exact(threshold: float):
+    """Of a pair of blocks: (a, b) of a spanning forest of links, and (a, links) with b null: the copies that a is linked to."""
 
-def _link_counts(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, ["bucket", "i", "j"]):
             left, right, similar = _block_pairs(rows, threshold)
             node, n = [r["node"] for r in left], similar @ np.asarray([r["copies"] for r in right], dtype=np.int64)
+            links = _forest(similar) if left is right else _forest(_bipartite(similar))
             if left is not right:
-                node += [r["node"] for r in right]
+                node = node + [r["node"] for r in right]
                 n = np.concatenate([n, similar.T @ np.asarray([r["copies"] for r in left], dtype=np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64())], names=["node", "links"])
+            a = [node[i] for i, _ in links] + node
+            b = [node[j] for _, j in links] + [None] * len(node)
+            counts = [None] * len(links) + n.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(counts, pa.int64())], names=["a", "b", "links"])
 
     return run
 
@@ -253,55 +299,86 @@ def _in_blocks(members: DataFrame) -> DataFrame:
     return pairs.drop("own", "other", "blocks")
 
 
-def _sorted_by(df: DataFrame, *keys: str) -> DataFrame:
+def _sorted(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, *(["side"] if "side" in df.columns else []), "node")
 
 
 def _children(threshold: float):
+    """Children that sets choose by their sketches: tokens are (position, value), SAMPLES of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = np.asarray([SAMPLES])
         for batch in batches:
-            node: list[int] = []
-            path: list[np.ndarray] = []
-            for row in batch.to_pylist():
-                tokens = _tokens(row["tokens"])
-                _, to = _chosen(tokens, np.full(len(tokens), len(tokens)), np.full(len(tokens), np.uint64(row["path"] & 0xFFFFFFFFFFFFFFFF)), threshold)
-                node += [row["node"]] * len(to)
-                path.append(to)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.concatenate(path).view(np.int64) if path else [], pa.int64())], names=["node", "path"])
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                held = part.column(2).to_pylist()
+                tokens = np.frombuffer(b"".join(held), dtype=np.uint8).reshape(-1, SAMPLES).astype(np.uint64) + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(256)
+                at, to = _chosen(tokens.reshape(-1), size, np.repeat(part.column(1).to_numpy().view(np.uint64), SAMPLES), threshold)
+                rows = at // SAMPLES
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(to.view(np.int64)), part.column(2).take(pa.array(rows))], names=["node", "path", "sketch"])
 
     return run
 
 
+def _filter_places(md5: Column) -> list[Column]:
+    """Two places of a text in the filter, from its md5."""
+    return [F.conv(F.substring(md5, at, 12), 16, 10).cast("long") % FILTER_BITS for at in (1, 13)]
+
+
+def tokens_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """node, root, copies, tokens of the wanted classes, by the text that stands for each: texts are scanned again and a bit filter lets through about those alone."""
+    places = wanted.select(F.explode(F.array(*_filter_places(F.col("text_md5")))).alias("at"))
+    parts = places.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    bits = np.zeros(FILTER_BITS // 8 + 8192, dtype=np.uint8)
+    for r in parts:
+        # Buckets count from 1 for positive numbers; a number's bit lies at (number - 1) within the run of buckets.
+        at = (r["part"] - 1) * 4096 if r["part"] > 0 else 0
+        bits[at : at + 4096] |= np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids = shared.value, {}
+        for batch in batches:
+            ok = np.ones(batch.num_rows, dtype=bool)
+            for k in (2, 3):
+                at = batch.column(k).to_numpy().astype(np.int64) - 1
+                at = np.where(at < 0, 0, at)
+                ok &= (held[at >> 3] >> (at & 7)) & 1 == 1
+            kept = batch.filter(pa.array(ok))
+            for lo in range(0, kept.num_rows, 500):
+                part = kept.slice(lo, 500)
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([s.tobytes() for s in shingle_sets(part.column(0).to_pylist(), ids)], pa.binary())], names=["text_md5", "tokens"])
+
+    plain = F.coalesce(F.col(text), F.lit(""))
+    found = docs.select(plain.alias("text"), F.md5(plain).alias("text_md5")).select("text", "text_md5", *[p.alias(f"p{i}") for i, p in enumerate(_filter_places(F.col("text_md5")))])
+    return staged(found.mapInArrow(run, "text_md5 string, tokens binary").join(wanted, "text_md5").select("node", "root", "copies", "tokens").dropDuplicates(["node"]), "tokens")
+
+
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
     """doc_id, text_md5, key (of its set), copy_id (least id with an equal set), class_id (least id of its group), links (other documents at least that similar), one row per document."""
     every = sets(docs, doc_id, text, threshold, runs)
-    grouped = every.groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("paths").alias("paths"))
+    grouped = every.groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.min("text_md5").alias("text_md5"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
     classes = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
-    level = staged(classes.select("node", F.explode("paths").alias("path")).distinct(), "level")
+    level = classes.select("node", F.explode("paths").alias("path")).distinct()
     sizes = staged(level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
-    met = staged(level.join(sizes, "path"), "met")
-    # Tokens of the sets that meet another one: of each set once.
-    wanted = classes.join(met.select("node").distinct(), "node").select("key", "node", "copies")
-    tokens = staged(every.select("key", "tokens").join(wanted, "key").select("node", "copies", "tokens").dropDuplicates(["node"]), "tokens")
-    small, dense = met.where(F.col("n") <= SMALL).select("node", "path"), met.where(F.col("n") > SMALL).select("node", "path")
+    met = staged(level.join(sizes, "path").join(classes.select("node", "sketch"), "node"), "met")
+    links, dense = _sorted(met.where(F.col("n") <= SMALL), "path").mapInArrow(_small_links, "a long, b long"), met.where(F.col("n") > SMALL)
     for _ in range(DEPTH - 1):
         if dense.isEmpty():
             break
-        down = dense.join(tokens.select("node", "tokens"), "node").mapInArrow(_children(threshold), "node long, path long")
-        level = staged(down.distinct(), "level")
-        sizes = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        level = staged(dense.select("node", "path", "sketch").mapInArrow(_children(threshold), "node long, path long, sketch binary").dropDuplicates(["node", "path"]), "level")
+        sizes = staged(level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
         met = staged(level.join(sizes, "path"), "met")
-        small, dense = small.union(met.where(F.col("n") <= SMALL).select("node", "path")), met.where(F.col("n") > SMALL).select("node", "path")
-    # Buckets with the same members are compared once.
-    buckets = small.groupBy("path").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes").distinct()
-    members = buckets.select(F.monotonically_increasing_id().alias("bucket"), "nodes").select("bucket", F.explode("nodes").alias("node"))
-    links = _sorted_by(staged(members, "members").join(tokens.select("node", "tokens"), "node"), "bucket").mapInArrow(_small_links(threshold), "a long, b long")
-    heavy = _in_blocks(dense.select(F.col("path").alias("bucket"), "node")).join(tokens.select("node", "tokens"), "node")
-    links = links.union(_sorted_by(heavy, "bucket", "i", "j").mapInArrow(_dense_links(threshold), "a long, b long"))
-    roots = staged(components(links), "roots")
-    # All pairs within groups, in blocks, for the numbers of links.
-    inside = _in_blocks(roots.select(F.col("root").alias("bucket"), "node")).join(tokens, "node")
-    counted = _sorted_by(inside, "bucket", "i", "j").mapInArrow(_link_counts(threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+        links, dense = links.union(_sorted(met.where(F.col("n") <= SMALL), "path").mapInArrow(_small_links, "a long, b long")), met.where(F.col("n") > SMALL)
+    heavy = _in_blocks(dense.select(F.col("path").alias("bucket"), "node", "sketch"))
+    links = links.union(_sorted(heavy, "bucket", "i", "j").mapInArrow(_dense_links, "a long, b long"))
+    likely = staged(components(links), "likely")
+    # Exact comparison of all pairs within these groups, in blocks: links, and their numbers.
+    tokens = tokens_of(docs, classes.join(likely, "node").select("node", "root", "copies", "text_md5"), text)
+    inside = _in_blocks(tokens.select(F.col("root").alias("bucket"), "node", "copies", "tokens"))
+    exact = staged(_sorted(inside, "bucket", "i", "j").mapInArrow(_exact(threshold), "a long, b long, links long"), "exact")
+    roots = staged(components(exact.where("b IS NOT NULL").select("a", "b")), "roots")
+    counted = exact.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     facts = classes.select("key", "node", "copy_id", "copies").join(roots, "node", "left").join(counted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = facts.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     facts = facts.join(least, "root").select("key", "copy_id", "class_id", F.col("root").alias("group_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
