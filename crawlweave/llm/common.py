@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -33,19 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+#: With it Spark deletes the shuffle files of a SQL execution when that ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and fixes what a retry would compute anew.
 
-    The driver then collects its garbage, so that Spark removes the shuffle files of the job that has ended.
+    The job's shuffle files are deleted when it ends: nothing reads them again.
     """
     spark = df.sparkSession
-    schema = df.schema
     path = f"{shared_dir(spark)}/crawlweave/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEAN_UP)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
 
