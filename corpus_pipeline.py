@@ -29,7 +29,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = line_dedup.dedup(docs).select(*docs.columns)
+    clean = line_dedup.dedup(docs, extend=True).select(*docs.columns)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 

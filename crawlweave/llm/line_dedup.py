@@ -6,6 +6,11 @@ chunk of two lines or more, or of one such long line, that occurs more than once
 everywhere but at its first occurrence (least doc_id, then place), once its bytes have been compared with that
 occurrence's.
 
+With extend, which the pipeline sets, pairs of adjacent lines that are not both long count besides chunks, wherever a
+boundary falls. Lines in repeated pairs or chunks form runs; a run goes if it holds a repeated chunk or LONG_WORDS words.
+So of a repeated passage of short lines nothing stays but at its first occurrence, and no line's first occurrence ever
+goes. Without it results are those of DIGEST_SQL, where a short line that is a chunk alone stays.
+
 Only hashes are shuffled until chunks that repeat are known; the texts of those alone are then fetched. Counting is
 combined before it is shuffled, and the joins by chunk are inner joins, which adaptive execution splits where one chunk
 is very frequent. All of it is DataFrame expressions.
@@ -34,58 +39,82 @@ def _line_number(line: Column) -> Column:
 
 
 def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, doc_key and chunks: array of (first line, number of lines, removable) of every text; lines: its lines."""
+    """doc_id, doc_key and chunks: array of (first line, number of lines, removable) of every text; lines: its lines; pairs: first lines of pairs that are no chunks and hold a short line."""
     key = F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.col(text)))
     rows = docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(doc_id).alias("doc_id"), key.alias("doc_key"), F.split(F.col(text), "\n").alias("lines"))
     rows = rows.withColumn("facts", F.transform("lines", lambda x: F.struct(_line_number(x).alias("h"), (F.regexp_count(x, F.lit(WORD)) >= LONG_WORDS).alias("long"))))
     # A chunk ends after line i if the rolling hash says so, or if line i or the one after is long, or at the end.
     rolling = lambda i: (F.element_at("facts", i)["h"] + 31 * F.when(i >= WINDOW, F.element_at("facts", F.greatest(i - 1, F.lit(1)))["h"]).otherwise(0)) % 1009 % MODULUS == 0
-    ends = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: (i == F.size("lines")) | F.element_at("facts", i)["long"] | F.element_at("facts", F.least(i + 1, F.size("lines")))["long"] | rolling(i))
-    rows = rows.withColumn("ends", ends)
+    end = lambda i: (i == F.size("lines")) | F.element_at("facts", i)["long"] | F.element_at("facts", F.least(i + 1, F.size("lines")))["long"] | rolling(i)
+    rows = rows.withColumn("ends", F.filter(F.sequence(F.lit(1), F.size("lines")), end))
     start = lambda k: F.when(k == 0, 0).otherwise(F.element_at("ends", F.greatest(k, F.lit(1)))) + 1
     chunks = F.transform(
         "ends",
         lambda e, k: F.struct(start(k).alias("first"), (e - start(k) + 1).alias("n"), ((e > start(k)) | F.element_at("facts", e)["long"]).alias("removable")),
     )
-    return rows.select("doc_id", "doc_key", "lines", chunks.alias("chunks"))
+    whole = lambda i: ((i == 1) | end(F.greatest(i - 1, F.lit(1)))) & ~end(i) & end(i + 1)
+    both_long = lambda i: F.element_at("facts", i)["long"] & F.element_at("facts", i + 1)["long"]
+    firsts = F.when(F.size("lines") > 1, F.sequence(F.lit(1), F.size("lines") - 1)).otherwise(F.array().cast("array<int>"))
+    pairs = F.filter(firsts, lambda i: ~both_long(i) & ~whole(i))
+    return rows.select("doc_id", "doc_key", "lines", chunks.alias("chunks"), pairs.alias("pairs"))
 
 
 def _body(lines: str, chunk: Column) -> Column:
     return F.array_join(F.slice(lines, chunk["first"], chunk["n"]), "\n")
 
 
-def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_key, first, n and body of every chunk that is to go: it equals, byte by byte, an earlier one."""
+def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", extend: bool = False) -> DataFrame:
+    """doc_key, first, n, chunk (false: a pair) and body of every chunk, with extend every pair too, whose hash is that of an earlier one; body is the earlier one's."""
     cut = chunked(docs, doc_id, text)
-    marks = F.transform(F.filter("chunks", lambda c: c["removable"]), lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), F.unhex(F.md5(_body("lines", c))).alias("hash")))
+    picked = F.transform(F.filter("chunks", lambda c: c["removable"]), lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), F.lit(True).alias("chunk")))
+    if extend:
+        picked = F.concat(picked, F.transform("pairs", lambda i: F.struct(i.alias("first"), F.lit(2).alias("n"), F.lit(False).alias("chunk"))))
+    marks = F.transform(picked, lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), c["chunk"].alias("chunk"), F.unhex(F.md5(_body("lines", c))).alias("hash")))
     found = staged(cut.select("doc_id", "doc_key", F.explode(marks).alias("c")).select("doc_id", "doc_key", "c.*").distinct(), "chunk-marks")
     # The first occurrence and whether there are others, combined before the shuffle.
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("doc_key").alias("key"), F.col("first").alias("first"))
-    kept = found.groupBy("hash").agg(F.min(place).alias("origin"), F.count("*").alias("times")).where("times > 1").select("hash", "origin.key", "origin.first")
+    kept = found.groupBy("hash").agg(F.min(place).alias("origin"), F.min("n").alias("origin_n"), F.count("*").alias("times")).where("times > 1").select("hash", "origin.key", "origin.first", "origin_n")
     kept = kept.withColumnsRenamed({"key": "origin_key", "first": "origin_first"})
     # Bytes of first occurrences: read from their documents alone.
-    wanted = kept.groupBy("origin_key").agg(F.collect_list(F.struct("hash", "origin_first")).alias("wanted"))
-    sources = cut.select("doc_key", "lines", "chunks").join(wanted, cut["doc_key"] == wanted["origin_key"]).dropDuplicates(["doc_key"])
-    bodies = sources.select("doc_key", "lines", "chunks", F.explode("wanted").alias("w")).select(
+    wanted = kept.groupBy("origin_key").agg(F.collect_list(F.struct("hash", F.col("origin_first").alias("first"), F.col("origin_n").alias("n"))).alias("wanted"))
+    sources = cut.select("doc_key", "lines").join(wanted, cut["doc_key"] == wanted["origin_key"]).dropDuplicates(["doc_key"])
+    bodies = sources.select("doc_key", "lines", F.explode("wanted").alias("w")).select(
         F.col("w.hash").alias("hash"),
         F.col("doc_key").alias("origin_key"),
-        F.col("w.origin_first").alias("origin_first"),
-        _body("lines", F.filter("chunks", lambda c: c["first"] == F.col("w.origin_first"))[0]).alias("body"),
+        F.col("w.first").alias("origin_first"),
+        _body("lines", F.col("w")).alias("body"),
     )
-    others = found.join(bodies, "hash").where((F.col("doc_key") != F.col("origin_key")) | (F.col("first") != F.col("origin_first")))
-    return others.select("doc_key", "first", "n", "body")
+    # A pair that overlaps its first occurrence, as in three equal lines, is no repetition.
+    others = found.join(bodies, "hash").where((F.col("doc_key") != F.col("origin_key")) | (F.col("first") >= F.col("origin_first") + F.col("n")))
+    return others.select("doc_key", "first", "n", "chunk", "body")
+
+
+def _runs(found: Column) -> Column:
+    """(first, n) of the runs of adjacent lines that the found chunks and pairs cover, if they hold a chunk or LONG_WORDS words."""
+    spans = F.array_sort(F.transform(found, lambda c: F.struct(c["first"].alias("first"), (c["first"] + c["n"] - 1).alias("last"), c["chunk"].alias("chunk"))))
+
+    def add(runs: Column, c: Column) -> Column:
+        at = F.element_at(runs, -1)
+        joined = F.struct(at["first"].alias("first"), F.greatest(at["last"], c["last"]).alias("last"), (at["chunk"] | c["chunk"]).alias("chunk"))
+        meets = (F.size(runs) > 0) & (c["first"] <= F.try_element_at(runs, F.lit(-1))["last"] + 1)
+        return F.when(meets, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(joined))).otherwise(F.concat(runs, F.array(c)))
+
+    runs = F.transform(F.aggregate(spans, F.array().cast("array<struct<first:int,last:int,chunk:boolean>>"), add), lambda r: F.struct(r["first"].alias("first"), (r["last"] - r["first"] + 1).alias("n"), r["chunk"].alias("chunk")))
+    goes = F.filter(runs, lambda r: r["chunk"] | (F.regexp_count(_body("__lines", r), F.lit(WORD)) >= LONG_WORDS))
+    return F.transform(goes, lambda r: F.struct(r["first"].alias("first"), r["n"].alias("n")))
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the repeated chunks removed from the text, and removed_lines and removed_chars (which replace columns of docs of these names)."""
-    gone = repeated(docs, doc_id, text).groupBy("doc_key").agg(F.collect_list(F.struct("first", "n", "body")).alias("__found"))
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", extend: bool = False) -> DataFrame:
+    """docs with the repeated chunks, with extend all repeated runs, removed from the text, and removed_lines and removed_chars (which replace columns of docs of these names)."""
+    gone = repeated(docs, doc_id, text, extend).groupBy("doc_key").agg(F.collect_list(F.struct("first", "n", "chunk", "body")).alias("__found"))
     key = F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.col(text)))
     rows = docs.withColumn("__key", key).join(gone.withColumnRenamed("doc_key", "__key"), "__key", "left")
     rows = rows.withColumn("__lines", F.split(F.col(text), "\n"))
     # The byte comparison: what stands there must be what the first occurrence has.
     rows = rows.withColumn("__gone", F.filter("__found", lambda c: F.array_join(F.slice("__lines", c["first"], c["n"]), "\n") == c["body"]))
     # Kept lines are those between the removed chunks.
-    rows = rows.withColumn("__cuts", F.array_sort(F.transform("__gone", lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n")))))
+    cuts = _runs(F.col("__gone")) if extend else F.array_sort(F.transform("__gone", lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"))))
+    rows = rows.withColumn("__cuts", cuts)
     count = F.size("__cuts")
     begin = lambda k: F.when(k == 0, 1).otherwise(F.element_at("__cuts", F.greatest(k, F.lit(1)))["first"] + F.element_at("__cuts", F.greatest(k, F.lit(1)))["n"])
     stop = lambda k: F.when(k == count, F.size("__lines") + 1).otherwise(F.element_at("__cuts", F.least(k + 1, count))["first"])

@@ -378,6 +378,24 @@ def test_line_dedup_equals_sql(spark, frame, rows):
     assert got == sorted(map(tuple, want), key=repr)
 
 
+def test_pipeline_line_dedup_cuts_passages_of_short_lines(spark):
+    """Of passages of short lines only the first occurrence stays, and no line is lost; a repeated pair of few words stays."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    line = lambda n: " ".join(rng.choice("abcdefghij") * rng.randint(1, 5) + str(rng.randrange(1000)) for _ in range(n))
+    shapes = [(3, 18)] * 6 + [(4, 14)] * 4 + [(5, 11)] * 4 + [(12, 5), (20, 3)]
+    passages = [[line(n) for _ in range(lines)] for lines, n in shapes]
+    rows = [(100 * k + c, "\n".join([line(7), line(7), *p, line(7)]), "en", "a") for k, p in enumerate(passages) for c in range(3)]
+    rows += [(9000 + c, "\n".join([line(7), "yes", "no no", line(7)]), "en", "a") for c in range(3)] + [(9100, "\n".join([line(6)] * 8), "en", "a")]
+    table = docs(spark, rows)
+    by = {r["doc_id"]: (r["text"] or "").split("\n") for r in corpus_pipeline.without_repeated_lines(spark, table, "").collect()}
+    for k, p in enumerate(passages):
+        assert [x for x in by[100 * k] if x in p] == p
+        assert not any(x in p for c in (1, 2) for x in by[100 * k + c]) and all(len(by[100 * k + c]) == 3 for c in (1, 2))
+    assert {x for t in by.values() for x in t} == {x for _, t, *_ in rows for x in t.split("\n")}
+    assert all(len(by[9000 + c]) == 4 for c in range(3)) and len(by[9100]) == 2
+
+
 def test_line_dedup_empty(spark):
     assert line_dedup.dedup(empty(spark)).count() == 0
 
