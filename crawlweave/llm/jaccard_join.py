@@ -4,8 +4,9 @@ A text's set holds the hashes of its shingles of five words. In each run a set f
 it chooses each of its tokens with probability 1 / (threshold * size), by a hash of node and token alone, so that similar
 sets choose shared tokens; each chosen token leads to a child. Sets that meet in a node of at most SMALL sets are compared
 by brute force, larger nodes are split further; nodes that are still large after DEPTH levels (groups of near copies share
-nearly all tokens) are compared by brute force too, in pairs of blocks. RUNS independent runs find a pair at the
-threshold with probability of about 1 - 0.45^RUNS, 0.998 for 8, and a more similar pair more surely.
+nearly all tokens) are compared by brute force too, in pairs of blocks. A run misses a pair at the threshold with
+probability 0.33 where the pair's buckets are small at the root, and 0.50, 0.59 and 0.66 where they are split at 1, 2 and
+3 more levels. RUNS is set by the last: 1 - 0.66^15 is 0.998; a more similar pair, or one split less, is found more surely.
 
 At the root tokens are the set's own. Below it, and where sets are compared, a set is stood for by a sketch of SAMPLES
 min-hashes of a byte each, as tokens (position, value): that is all that travels. Sketches agree in a share of places near
@@ -37,7 +38,7 @@ from .common import LOWER, staged
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
-RUNS, DEPTH, SMALL, BLOCK = 8, 4, 64, 256
+RUNS, DEPTH, SMALL, BLOCK = 15, 4, 64, 256
 #: Min-hashes of a sketch, and the share that must agree for a provisional link.
 SAMPLES, LIKELY = 64, 0.55
 #: Low bits of a node's number that hold its run.

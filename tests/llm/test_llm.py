@@ -299,6 +299,25 @@ def test_join_of_large_groups(spark):
     assert sorted((r["doc_id"], r["class_id"], r["links"]) for r in jaccard_join.join(docs(spark, rows)).collect()) == sorted(want)
 
 
+def test_runs_suffice_for_pairs_in_hot_buckets():
+    """Pairs at the threshold must meet at all of DEPTH levels, as in buckets that stay larger than SMALL."""
+    rng = np.random.default_rng(7)
+    runs = np.arange(jaccard_join.RUNS, dtype=np.uint64)
+    roots = (jaccard_join._mix((runs + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) & ~np.uint64(jaccard_join.RUN_BITS)) | runs
+    places = np.arange(jaccard_join.SAMPLES, dtype=np.uint64) * np.uint64(256)
+    missed = 0
+    for _ in range(1500):
+        every = rng.choice(2**32, 220, replace=False).astype(np.uint32)
+        pair = every[:198], every[22:]  # 176 of 220 tokens are shared
+        at = [np.concatenate([jaccard_join._chosen(x, np.full(198, 198), np.full(198, r), 0.8)[1] for r in roots]) for x in pair]
+        sketches = [jaccard_join.sketch(x).astype(np.uint64) + places for x in pair]
+        for _ in range(jaccard_join.DEPTH - 1):
+            met = np.intersect1d(*at)
+            at = [np.concatenate([np.zeros(0, np.uint64)] + [jaccard_join._chosen(s, np.asarray([jaccard_join.SAMPLES]), np.full(jaccard_join.SAMPLES, m), 0.8)[1] for m in met]) for s in sketches]
+        missed += not len(np.intersect1d(*at))
+    assert missed <= 12  # 3 are expected, 54 with 8 runs
+
+
 def test_one_of_each_group_stays(frame, rows):
     _, group = reference_groups(rows)
     kept = jaccard_join.one_of_each_group(frame)
