@@ -1,6 +1,6 @@
 """A corpus pipeline in five stages, each of which calls one of the operators in crawlweave.llm.
 
-1. language ID: documents without a letter, or whose text resembles no learned language, go;
+1. language ID: documents without a letter, or whose text of SCORED_LETTERS letters or more resembles no learned language, go;
 2. line dedup: runs of lines that stand elsewhere too are cut out of texts;
 3. n-gram Jaccard join: one document of each group of near duplicates stays;
 4. mixing sources to target weights: documents are repeated or left out so that sources come near their targets;
@@ -20,12 +20,15 @@ from crawlweave.llm.common import staged, table
 
 #: Share of a text's n-grams, corrected, that its language's filter must hold.
 LEAST_LANGUAGE_SCORE = 0.1
+#: Letters from which that share means something; texts of fewer have few n-grams or none.
+SCORED_LETTERS = 20
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs)
     told = language_id.identify(docs, model, keep=[F.struct("*").alias("__row")])
-    return told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("__row.*")
+    short = F.regexp_count(F.col("__row.text"), F.lit(r"\p{L}")) < SCORED_LETTERS
+    return told.where((F.col("lang_pred") != language_id.UNKNOWN) & (short | (F.col("score") >= LEAST_LANGUAGE_SCORE))).select("__row.*")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

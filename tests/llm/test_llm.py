@@ -607,6 +607,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert ran.count() == sizes[5]
 
 
+def test_pipeline_keeps_short_texts_with_a_letter(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    known = [(i, "the thing that was there " * 5, "en", None) for i in range(8)]
+    table = docs(spark, known + [(100, "A.", None, None), (101, "xq zv", None, None), (102, "12.", None, None), (103, None, None, None), (104, "qxzv jkqw " * 9, None, None)])
+    assert {r["doc_id"] for r in corpus_pipeline.by_language(spark, table, "").collect()} == {*range(8), 100, 101}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, data, name):
     con = duckdb.connect()
