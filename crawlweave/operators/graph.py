@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -55,12 +56,12 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
 
 
-def depths(edges: DataFrame, home: object, most: int = 1000) -> DataFrame:
+def depths(edges: DataFrame, home: object) -> DataFrame:
     """node, depth of everything reachable from home, by rounds of frontier joins; nodes outside the page set count."""
     spark = edges.sparkSession
     seen = spark.createDataFrame([(home, 0)], f"node {edges.schema['src'].dataType.simpleString()}, depth int")
     frontier = seen
-    for level in range(1, most + 1):
+    for level in count(1):
         step = edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         frontier = kept(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
@@ -68,7 +69,6 @@ def depths(edges: DataFrame, home: object, most: int = 1000) -> DataFrame:
         seen = seen.unionByName(frontier)
         if level % EVERY == 0:
             seen = kept(seen)
-    return seen
 
 
 def link_metrics(pages: DataFrame, edges: DataFrame, home: object) -> DataFrame:

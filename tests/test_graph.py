@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from unittest.mock import MagicMock
 
 import pytest
 
@@ -29,6 +30,16 @@ def test_depth_and_orphans(spark):
     assert rows["about"]["nav_linked_flag"] == 1 and rows["about"]["outlinks"] == 2
 
 
+def test_depths_go_on_until_the_frontier_is_empty(spark, monkeypatch):
+    """1200 levels, as of a chain of pages, with stand-ins for the frames."""
+    levels = iter([False] * 1200 + [True])
+    frontier = MagicMock()
+    frontier.isEmpty.side_effect = lambda: next(levels)
+    monkeypatch.setattr(G, "kept", lambda df: frontier)
+    G.depths(MagicMock(), "home")
+    assert next(levels, None) is None
+
+
 def test_www_is_folded(spark):
     df = spark.createDataFrame([("https://www.example.com/a",), ("https://example.com/a",), ("https://blog.example.com/a",)], "u string")
     assert [r[0] for r in df.select(G.node_key(df.u, "example.com")).collect()] == ["https://example.com/a", "https://example.com/a", "https://blog.example.com/a"]
