@@ -23,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset and all runs on this machine, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="crawlweave-"))
     return _OWN[0]
@@ -61,6 +63,32 @@ def released(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Bits of a key filter, and of one of its rows: 2048 rows of 4 KB, 8 MB at most, whatever the number of keys. More keys only let more pass.
+KEY_BITS, ROW_BITS = 1 << 26, 1 << 15
+
+
+def _key_bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BITS))
+
+
+def key_filter(keys: Column, rows: DataFrame) -> DataFrame:
+    """A bit set of the keys of rows: one row (part, bits) for each run of ROW_BITS bits that has a key."""
+    at = rows.select(_key_bit(keys).alias("at"))
+    # The bitmap functions count from 1.
+    return at.groupBy(F.floor(F.col("at") / ROW_BITS).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits"))
+
+
+def sifted(rows: DataFrame, key: Column, bits: DataFrame, held: bool) -> DataFrame:
+    """The rows whose key the filter may hold, or those whose key it surely does not hold. The filter is broadcast: its size is bounded."""
+    columns = rows.columns
+    own = rows.withColumn("__at", _key_bit(key)).withColumn("__part", F.floor(F.col("__at") / ROW_BITS))
+    met = own.join(F.broadcast(bits.select(F.col("part").alias("__part"), F.col("bits").alias("__bits"))), "__part", "left")
+    place = F.col("__at") % ROW_BITS
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0, F.lit(False))
+    return met.where(found if held else ~found).select(*columns)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
