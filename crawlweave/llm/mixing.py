@@ -1,16 +1,22 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
 The mix is a sequence of slots, each filled by one equal-token block of a source. Slot i takes the point frac(i * phi) of
-the golden-ratio sequence and the source into whose share of [0, 1) the point falls, so that every prefix of the mix is
-near the targets. A source's r-th slot takes its block r modulo its number of blocks; the source's documents are laid
-out in the order of a hash of their id and cut into blocks of BLOCK_TOKENS words. All of it is DataFrame expressions.
+the golden-ratio sequence, in integers, and the source into whose share of the points it falls, so that every prefix of
+the mix is near the targets. A source's r-th slot takes its block r modulo its number of blocks; the source's documents
+are laid out in the order of a hash of their id and cut into blocks of about BLOCK_TOKENS words, as equal as can be.
 
-A source's running sums are made in two steps, within buckets of its documents and over the buckets' totals, and so are
-the ranks of its slots, so that no task holds a whole source. Tables by source have a row for each source.
+Each source has a quota: the number of slots whose blocks come nearest to its target, MOST_TIMES its blocks at most.
+Shares of the points are in proportion to the quotas. The sequence gives a source some slots more or less than its quota:
+those beyond it, which are the source's last, go to the sources that are short. So a block is taken MOST_TIMES times at
+most and a document never more often, and a source's taken words differ from its target by less than one block.
+
+All of it is DataFrame expressions. A source's running sums are made in two steps, within buckets of its documents and
+over the buckets' totals, and so are the ranks of its slots, so that no task holds a whole source. Points find their
+source among the bounds in cells of the unit interval, each sorted on its own: any number of sources will do.
 
 Cases: null text has size 0 and takes 0. A null source is a source of its own, the last. Ties of the hash are ordered by
-id, size and text. Repeated rows are laid out and taken each on their own. An empty table gives no rows. Other columns are
-ignored.
+id, size and text. Repeated rows are laid out and taken each on their own. An empty table gives no rows. A very long text
+is cut into its blocks by numbers alone. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,18 +24,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, word_count
+from .common import released, staged, word_count
 
-#: Words of a block.
+#: Words of a block, about.
 BLOCK_TOKENS = 64
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
 #: Share of all words that the mix has, and times that a source may be used at most.
 SHARE, MOST_TIMES = 1.0, 3
-#: Documents of a bucket of a source, and slots of a chunk, about.
+#: Documents of a bucket of a source, and slots of a chunk or cell, about.
 BUCKET_DOCS, CHUNK_SLOTS = 5_000, 8_192
-#: The golden ratio's fraction.
-PHI = 0.6180339887498949
+#: Points are integers below 2^POINT_BITS; STEP is the golden ratio's fraction of that, odd, so that 2^POINT_BITS slots have different points.
+POINT_BITS, STEP = 40, 679_535_556_991
 #: Sources up to which their table is broadcast; beyond it joins shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -92,39 +98,70 @@ def laid_out(rows: DataFrame, per: DataFrame) -> DataFrame:
     return inner.join(offsets, ["source_no", "bucket"]).withColumn("start", F.col("ahead") + F.col("within")).drop("ahead", "within", "bucket")
 
 
-def schedule(per: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The mix: slot, source_no, rank of the slot within its source, and the source's block that fills it."""
-    spark = per.sparkSession
-    per = per.where("target > 0")
-    total = per.agg(F.sum("target")).first()[0] or 0.0
-    slots = round(total / block_tokens)
+def blocked(per: DataFrame, block_tokens: int = BLOCK_TOKENS, most_times: int = MOST_TIMES) -> DataFrame:
+    """Adds blocks, the words of the shorter ones, the number of those with a word more, and quota: the slots that the source is to have."""
+    size = F.col("source_size")
+    per = per.withColumn("blocks", F.ceil(size / block_tokens).cast("long"))
+    some = F.col("blocks") > 0
+    per = per.withColumns({"words": F.when(some, F.floor(size / F.nullif(F.col("blocks"), F.lit(0)))).otherwise(0), "more": F.when(some, size % F.nullif(F.col("blocks"), F.lit(0))).otherwise(0)})
+    wanted = F.round(F.col("target") * F.col("blocks") / F.nullif(size, F.lit(0))).cast("long")
+    return per.withColumn("quota", F.coalesce(F.least(wanted, F.col("blocks") * most_times), F.lit(0)).cast("long"))
+
+
+def block_at(word: Column) -> Column:
+    """The block of a source that has its word-th word; the first `more` blocks have words + 1."""
+    edge = F.col("more") * (F.col("words") + 1)
+    return F.when(word < edge, F.floor(word / (F.col("words") + 1))).otherwise(F.col("more") + F.floor((word - edge) / F.greatest(F.col("words"), F.lit(1))))
+
+
+def block_begin(block: Column) -> Column:
+    return block * F.col("words") + F.least(block, F.col("more"))
+
+
+def point(slot: Column) -> Column:
+    """slot * STEP modulo 2^POINT_BITS, without leaving 64 bits: the slot's upper and lower 20 bits apart."""
+    half, top = 1 << 20, 1 << POINT_BITS
+    high = F.shiftright(slot, 20) % half
+    return (slot % half * F.lit(STEP) + high * F.lit(STEP * half % top) % top) % top
+
+
+def schedule(per: DataFrame, rows: int | None = None) -> DataFrame:
+    """The mix: slot, source_no, rank of the slot within its source, and the source's block that fills it. per: as `blocked` gives it."""
+    spark, top = per.sparkSession, 1 << POINT_BITS
+    per = per.where("quota > 0").select("source_no", "blocks", "quota")
+    slots = per.agg(F.sum("quota")).first()[0] or 0
+    bits = min(POINT_BITS, max(0, (slots // CHUNK_SLOTS).bit_length()))
+    width = 1 << (POINT_BITS - bits)
     upto = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    share = per.select("source_no", F.ceil(F.col("source_size") / block_tokens).cast("long").alias("blocks"), (F.sum("target").over(upto) / F.lit(total or 1.0)).alias("hi"))
-    share = share.withColumn("lo", F.lag("hi", 1, 0.0).over(Window.orderBy("source_no")))
-    # The sources' bounds as one row, found by binary search in an expression: a join on ranges would compare all with all.
-    ends = share.agg(F.array_sort(F.collect_list(F.struct("hi", "source_no", "blocks"))).alias("ends"))
-    points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod(F.col("id") * F.lit(PHI), F.lit(1.0)).alias("point"))
-    bounds = ends.first()["ends"] or []
-    if not bounds:
-        return spark.createDataFrame([], "slot long, source_no int, rank long, block long")
-    picked = points.select("slot", _search(F.col("point"), [b["hi"] for b in bounds[:-1]], [b["source_no"] for b in bounds]).alias("source_no"))
+    edge = lambda n: F.floor(n.cast("double") / max(slots, 1) * top).cast("long")
+    share = per.withColumn("end", F.sum("quota").over(upto)).withColumns({"lo": edge(F.col("end") - F.col("quota")), "hi": edge(F.col("end"))})
+    # Marks: where a source's share begins, and in whose share each cell begins. A point belongs to the last mark up to it.
+    first, last = F.ceil(F.col("lo") / width), F.floor((F.col("hi") - 1) / width)
+    cells = F.when((F.col("hi") > F.col("lo")) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    begins = F.concat(F.array("lo"), F.transform(cells, lambda c: c * width))
+    marks = share.select("source_no", F.explode(begins).alias("at"), F.lit(None).cast("long").alias("slot"))
+    points = spark.range(slots).select(F.lit(None).cast("int").alias("source_no"), point(F.col("id")).alias("at"), F.col("id").alias("slot"))
+    met = marks.unionByName(points).withColumn("cell", F.floor(F.col("at") / width))
+    until = Window.partitionBy("cell").orderBy("at", F.col("slot").isNotNull(), "source_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    picked = met.withColumn("source_no", F.last("source_no", ignorenulls=True).over(until)).where("slot IS NOT NULL").select("slot", "source_no")
     picked = picked.withColumn("chunk", F.floor(F.col("slot") / CHUNK_SLOTS))
     own = Window.partitionBy("chunk", "source_no").orderBy("slot")
     counts = picked.groupBy("chunk", "source_no").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = counts.withColumn("ahead", F.sum("n").over(ahead) - F.col("n")).select("chunk", "source_no", "ahead")
     ranked = picked.withColumn("own", F.row_number().over(own) - 1).join(offsets, ["chunk", "source_no"])
-    ranked = ranked.withColumn("rank", F.col("own") + F.col("ahead"))
-    blocks = F.element_at(F.create_map(*[F.lit(x) for b in bounds for x in (b["source_no"], b["blocks"])]), F.col("source_no"))
-    return ranked.select("slot", "source_no", "rank", (F.col("rank") % blocks).alias("block"))
-
-
-def _search(point: Column, bounds: list[float], values: list[int]) -> Column:
-    """values[i] for the first bound above the point, as a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(values[0])
-    mid = len(bounds) // 2
-    return F.when(point < F.lit(bounds[mid]), _search(point, bounds[:mid], values[: mid + 1])).otherwise(_search(point, bounds[mid + 1 :], values[mid + 1 :]))
+    ranked = ranked.select("slot", "source_no", (F.col("own") + F.col("ahead")).alias("rank"))
+    few = (rows if rows is not None else per.count()) <= BROADCAST_SOURCES
+    met = ranked.join(F.broadcast(per) if few else per, "source_no")
+    inside = met.where("rank < quota")
+    # Slots beyond their source's quota go to the sources that the sequence leaves short: as many, a few of each source.
+    beyond = met.where("rank >= quota").select("slot", F.row_number().over(Window.orderBy("slot")).alias("nth"))
+    given = counts.groupBy("source_no").agg(F.sum("n").alias("given"))
+    short = per.join(given, "source_no", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < quota")
+    short = short.select("source_no", "blocks", F.explode(F.sequence("given", F.col("quota") - 1)).alias("rank"))
+    short = short.withColumn("nth", F.row_number().over(Window.orderBy("rank", "source_no"))).join(beyond, "nth")
+    columns = ["slot", "source_no", "rank", (F.col("rank") % F.col("blocks")).alias("block")]
+    return inside.select(*columns).unionByName(short.select(*columns))
 
 
 def times(slots: DataFrame) -> DataFrame:
@@ -135,16 +172,18 @@ def times(slots: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most_times: int = MOST_TIMES, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
     """Documents as laid out (with source_size, target, start), and their pieces joined with the schedule.
 
-    A piece is the part of a document in one block: doc_id, source_no, start, place, size, text_hash, block, words, times.
+    A piece is the part of a document in one block: doc_id, source_no, start, place, size, text_hash, block, head (whether
+    the document begins in it), words, times.
     """
     rows = staged(sized(docs), "sizes")
-    per = staged(targets(rows, weights, share, most_times), "targets")
+    per = staged(blocked(targets(rows, weights, share, most_times), block_tokens, most_times), "targets")
     placed = staged(laid_out(rows, per), "laid-out")
-    last = F.floor((F.col("start") + F.col("size") - 1) / block_tokens)
-    parts = placed.where("size > 0").select("*", F.explode(F.sequence(F.floor(F.col("start") / block_tokens), last)).alias("block"))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_tokens) - F.greatest(F.col("start"), F.col("block") * block_tokens)
-    parts = parts.select("doc_id", "source_no", "start", "place", "size", "text_hash", "block", words.alias("words"))
-    joined = parts.join(times(schedule(per, block_tokens)), ["source_no", "block"]).withColumn("times", F.col("times").cast("long"))
+    released(rows)
+    parts = placed.where("size > 0").withColumns({"from": block_at(F.col("start")), "to": block_at(F.col("start") + F.col("size") - 1)})
+    parts = parts.select("*", F.explode(F.sequence("from", "to")).alias("block"))
+    words = F.least(F.col("start") + F.col("size"), block_begin(F.col("block") + 1)) - F.greatest(F.col("start"), block_begin(F.col("block")))
+    parts = parts.select("doc_id", "source_no", "start", "place", "size", "text_hash", "block", (F.col("block") == F.col("from")).alias("head"), words.alias("words"))
+    joined = parts.join(times(schedule(per)), ["source_no", "block"]).withColumn("times", F.col("times").cast("long"))
     return placed, joined
 
 
@@ -162,8 +201,8 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options
 
     Rows that agree in id and text are taken as often as the most taken of them. Documents without words are not in a mix.
     """
-    _, pieces = mix(docs, **options)
-    heads = pieces.where(F.col("block") == F.floor(F.col("start") / options.get("block_tokens", BLOCK_TOKENS)))
-    often = staged(heads.groupBy("doc_id", "text_hash").agg(F.max("times").alias("__times")), "times").withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    placed, pieces = mix(docs, **options)
+    often = staged(pieces.where("head").groupBy("doc_id", "text_hash").agg(F.max("times").alias("__times")), "times").withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    released(placed)
     rows = docs.join(often, docs[doc_id].eqNullSafe(often["__id"]) & (F.xxhash64(docs[text]) == often["__hash"]))
     return rows.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[docs[c] for c in docs.columns])
