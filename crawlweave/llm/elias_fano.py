@@ -19,6 +19,8 @@ import numpy as np
 
 #: Quantised log10 probabilities: code 0 is probability 0, codes 1..4095 are steps of 12 / 4094 from 1e-12 to 1.
 CODES, DECADES = 4094, 12.0
+#: Numbers whose bits are packed at once; eight times any number, so that slices begin at whole bytes.
+SLICE = 1 << 16
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -56,11 +58,15 @@ class EliasFano:
         values = values.astype(np.uint64)
         top = int(values[-1]) + 1 if n else 1
         bits = max(0, (top // max(n, 1)).bit_length() - 1)
-        packed = np.zeros((n, bits), dtype=np.uint8)
-        for k in range(bits):
-            packed[:, k] = (values >> np.uint64(k)) & np.uint64(1)
-        low = np.packbits(packed.reshape(-1), bitorder="little")
-        low = np.concatenate([low, np.zeros(16 + -len(low) % 8, np.uint8)]).view(np.uint64)
+        low = np.zeros((n * bits + 7) // 8 + 16, dtype=np.uint8)
+        for lo in range(0, n if bits else 0, SLICE):
+            part = values[lo : lo + SLICE]
+            packed = np.empty((len(part), bits), dtype=np.uint8)
+            for k in range(bits):
+                packed[:, k] = (part >> np.uint64(k)) & np.uint64(1)
+            packed = np.packbits(packed.reshape(-1), bitorder="little")
+            low[lo * bits // 8 : lo * bits // 8 + len(packed)] = packed
+        low = np.concatenate([low, np.zeros(-len(low) % 8, np.uint8)]).view(np.uint64)
         parts = (values >> np.uint64(bits)).astype(np.int64)
         flags = np.zeros((int(parts[-1]) if n else 0) + n + 2, dtype=np.uint8)
         flags[parts + np.arange(n)] = 1

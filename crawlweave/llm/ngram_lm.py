@@ -9,11 +9,13 @@ ab is unknown. Each sums to 1 over all known words, the end and one unknown word
 Shards hold the n-grams whose first two words hash to them, so that all words after a context are in one shard, and the
 most frequent word is spread over all. A block of documents asks each shard once about its distinct n-grams and says how
 often each occurs in its training texts; the shard adds these up, builds its trie, maps it into memory from a file of its
-own that is removed at once, and answers every block from it. Blocks then sum their documents' log probabilities. All
-that grows with the corpus is spread over shards and blocks; the driver gets a few totals.
+own that is removed when it has answered, and answers every block from it. Blocks then sum their documents' log
+probabilities. All that grows with the corpus is spread over shards and blocks; the driver gets a few totals. Messages are
+rows as a shuffle's blocks are: as many as blocks times shards, their bytes in proportion to the corpus.
 
 Cases: null text is empty: one end token. Repeated rows are counted and scored each. A null id counts as an empty text
-where rows are held out. Without training texts every word is unknown. Other columns are ignored.
+where rows are held out. Without training texts every word is unknown. An empty table gives no rows. A very long text is a
+block of its own, scored whole; a block's tokens are in one task's memory. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from .elias_fano import Trie, dequantise
 DISCOUNT, RHO, MU = 0.75, 0.7, 200.0
 #: Tokens of a shard, about.
 SHARD_TOKENS = 1_000_000
+#: N-grams that are looked up or scored at once.
+LOOKUPS = 1 << 18
 #: Numbers of the begin and end marks; words come after them.
 BEGIN, END, FIRST = 0, 1, 2
 
@@ -42,33 +46,65 @@ ASKED = "shard int, block long, body binary"
 ANSWER = "block long, shard int, body binary"
 
 
-def _stream(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens with marks: begin, begin, words, end, end for each document; and each document's first place."""
+def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and each key's place among them as a 32-bit number: np.unique with fewer and narrower arrays."""
+    if not len(key):
+        return key, np.zeros(0, dtype=np.uint32)
+    order = np.argsort(key)
+    held = key[order]
+    new = np.empty(len(key), dtype=bool)
+    new[0] = True
+    np.not_equal(held[1:], held[:-1], out=new[1:])
+    where = np.empty(len(key), dtype=np.uint32)
+    where[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return held[new], where
+
+
+def _stream(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Tokens with marks: begin, begin, words, end, end for each document."""
     lengths = lengths.astype(np.int64)
     first = np.cumsum(lengths + 4) - (lengths + 4)
-    out = np.zeros(int((lengths + 4).sum()), dtype=np.int64)
+    out = np.zeros(int((lengths + 4).sum()), dtype=np.uint32)
     ends = first + lengths + 2
     inner = np.ones(len(out), dtype=bool)
     for at in (first, first + 1, ends, ends + 1):
         inner[at] = False
-    out[inner] = tokens.astype(np.int64) + FIRST
+    out[inner] = tokens
+    out[inner] += np.uint32(FIRST)
     out[ends] = out[ends + 1] = END
-    return out, first
+    return out
 
 
-def _grams(stream: np.ndarray, first: np.ndarray, lengths: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _grams(stream: np.ndarray, lengths: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (a, b, c) in order, for each n-gram place its number, and its document. Places: all that end within a document."""
-    doc = np.repeat(np.arange(len(lengths)), lengths.astype(np.int64) + 2)
-    offset = np.arange(len(doc)) - np.repeat(np.cumsum(lengths.astype(np.int64) + 2) - (lengths.astype(np.int64) + 2), lengths.astype(np.int64) + 2)
-    at = first[doc] + offset
-    a, b, c = stream[at], stream[at + 1], stream[at + 2]
-    base = words + FIRST
-    if base**3 < 1 << 63:
-        key, where = np.unique((a * base + b) * base + c, return_inverse=True)
-        return key // (base * base), key // base % base, key % base, where, doc
-    ab, i = np.unique(a * base + b, return_inverse=True)
-    key, where = np.unique(i * base + c, return_inverse=True)
-    return ab[key // base] // base, ab[key // base] % base, key % base, where, doc
+    doc = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths.astype(np.int64) + 2)
+    # The stream has two tokens more for each document than there are places.
+    at = np.arange(len(doc), dtype=np.int64)
+    at += doc
+    at += doc
+    base = np.int64(words + FIRST)
+    key = stream[at].astype(np.int64)
+    at += 1
+    key *= base
+    key += stream[at]
+    if words + FIRST < 1 << 21:  # three words fit in 63 bits
+        at += 1
+        key *= base
+        key += stream[at]
+        del at
+        key, where = ranked(key)
+        c = (key % base).astype(np.uint32)
+        key //= base
+        return (key // base).astype(np.uint32), (key % base).astype(np.uint32), c, where, doc
+    ab, i = ranked(key)
+    at += 1
+    key = i.astype(np.int64) * base
+    del i
+    key += stream[at]
+    del at
+    key, where = ranked(key)
+    pair = ab[key // base]
+    return (pair // base).astype(np.uint32), (pair % base).astype(np.uint32), (key % base).astype(np.uint32), where, doc
 
 
 def _deal(a: np.ndarray, b: np.ndarray, shards: int) -> np.ndarray:
@@ -77,37 +113,40 @@ def _deal(a: np.ndarray, b: np.ndarray, shards: int) -> np.ndarray:
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(31)
     h *= np.uint64(0x94D049BB133111EB)
-    return ((h >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+    h >>= np.uint64(33)
+    h %= np.uint64(shards)
+    return h.astype(np.uint32)
 
 
 class _Block:
-    """A block's n-grams in the order in which shards are asked."""
+    """A block's n-grams in the order in which shards are asked. Numbers within a block are kept in 32 bits."""
 
     def __init__(self, row: dict, shards: int, train_docs: int) -> None:
-        self.tokens, self.lengths = unpack(row["tokens"])[0], unpack(row["lengths"])[0]
+        self.lengths = unpack(row["lengths"])[0]
         number, total = unpack(row["numbers"])
         self.number = np.concatenate([[BEGIN, END], number.astype(np.int64) + FIRST])
         self.total = np.concatenate([[train_docs, train_docs], total.astype(np.int64)])
-        self.stream, self.first = _stream(self.tokens, self.lengths)
-        a, b, c, self.where, self.doc = _grams(self.stream, self.first, self.lengths, len(number))
+        a, b, c, where, self.doc = _grams(_stream(unpack(row["tokens"])[0], self.lengths), self.lengths, len(number))
         to = _deal(self.number[a], self.number[b], shards)
-        order = np.argsort(to.astype(np.uint32), kind="stable")
+        order = np.argsort(to, kind="stable").astype(np.uint32)
         self.a, self.b, self.c = a[order], b[order], c[order]
-        self.place = np.empty(len(order), dtype=np.int64)
-        self.place[order] = np.arange(len(order))
-        self.cuts = np.searchsorted(to[order], np.arange(shards + 1))
+        del a, b, c
+        self.cuts = np.searchsorted(to[order], np.arange(shards + 1, dtype=np.uint32))
+        place = np.empty(len(order), dtype=np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        del order, to
+        # The number of each place's n-gram in this order.
+        self.gram = place[where]
+        del place, where
         # Pairs (a, b) in the same order: shards keep the n-grams of a pair together.
-        new = np.append(True, (self.a[1:] != self.a[:-1]) | (self.b[1:] != self.b[:-1])) if len(order) else np.zeros(0, bool)
+        new = np.append(True, (self.a[1:] != self.a[:-1]) | (self.b[1:] != self.b[:-1])) if len(self.a) else np.zeros(0, bool)
         self.pair_first = np.flatnonzero(new)
-        self.pair = np.cumsum(new) - 1
+        self.pair = np.cumsum(new, dtype=np.int64).astype(np.uint32) - np.uint32(1)
         self.pair_cuts = np.searchsorted(self.pair_first, self.cuts)
 
     def counts(self, marks: np.ndarray) -> np.ndarray:
         """Occurrences in training texts of each n-gram."""
-        out = np.zeros(len(self.a), dtype=np.int64)
-        used = np.bincount(self.place[self.where[marks[self.doc] == 1]], minlength=len(self.a))
-        out[: len(used)] = used
-        return out
+        return np.bincount(self.gram[marks[self.doc] == 1], minlength=len(self.a))
 
 
 def _ask(shards: int, train_docs: int):
@@ -144,55 +183,97 @@ def build_trie(pair_a: np.ndarray, pair_b: np.ndarray, context: np.ndarray, pair
     return Trie.build(pair_a[known], pair_b[known], number[pair[kept]], c[kept], (1 - RHO) * cab[known] / (context[known] + MU), DISCOUNT * after[known] / cab[known], p3)
 
 
-def _answer(asked: pa.Table) -> pa.Table:
-    shard, blocks = asked.column("shard")[0].as_py(), asked.column("block").to_pylist()
-    a_, b_, c_, n_, t_, sizes = [], [], [], [], [], []
+def _asked(asked: pa.Table) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
+    """All blocks' messages as arrays: of pairs a, b and the count of a, of n-grams the pair's place, c and count; and each block's numbers of pairs and n-grams."""
+    parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
+    sizes, pairs = [], 0
     for body in asked.column("body"):
-        ua, total, nb, ub, nc, c, n = (x.astype(np.int64) for x in unpack(body.as_py()))
-        pa_ = np.repeat(ua, nb)
+        ua, total, nb, ub, nc, c, n = unpack(body.as_py())
+        nb, nc = nb.astype(np.int64), nc.astype(np.int64)
+        for part, x in zip(parts, (np.repeat(ua, nb), ub, np.repeat(total, nb), np.repeat(np.arange(pairs, pairs + len(ub), dtype=np.uint32), nc), c, n), strict=True):
+            part.append(x)
         sizes.append((len(ub), len(c)))
-        a_.append(np.repeat(pa_, nc))
-        t_.append(np.repeat(np.repeat(total, nb), nc))
-        b_.append(np.repeat(ub, nc))
-        c_.append(c)
-        n_.append(n)
-    heads = [np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) for a, b in zip(a_, b_, strict=True)]
-    a, b, c, n, t = map(np.concatenate, (a_, b_, c_, n_, t_))
-    del a_, b_, c_, n_, t_
+        pairs += len(ub)
+    out = []
+    for part in parts:
+        out.append(np.concatenate(part))
+        part.clear()
+    return out, sizes
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    shard, blocks = asked.column("shard")[0].as_py(), asked.column("block").to_pylist()
+    (a, b, t, in_pair, c, n), sizes = _asked(asked)
     # Words by rank within the shard, so that keys of two and three words fit.
-    words = np.unique(np.concatenate([a, b]))
-    base = len(words)
-    key, first, of_pair = np.unique(np.searchsorted(words, a) * base + np.searchsorted(words, b), return_index=True, return_inverse=True)
-    ends, ic = np.unique(c, return_inverse=True)
-    triple, of_triple = np.unique(of_pair * len(ends) + ic, return_inverse=True)
-    pair, last = triple // len(ends), ends[triple % len(ends)]
-    count = np.bincount(of_triple, weights=n, minlength=len(triple)).astype(np.int64)
-    pair_a, pair_b = words[key // base], words[key % base]
-    trie = build_trie(pair_a, pair_b, t[first], pair, last, count)
+    words = np.unique(np.concatenate([np.unique(a), np.unique(b)])).astype(np.int64)
+    key, of_pair = ranked(np.searchsorted(words, a) * len(words) + np.searchsorted(words, b))
+    pair_a, pair_b = words[key // len(words)], words[key % len(words)]
+    context = np.zeros(len(key), dtype=np.int64)
+    context[of_pair] = t
+    del a, b, t, key
+    ends, ic = ranked(c)
+    ends = ends.astype(np.int64)
+    key = of_pair[in_pair].astype(np.int64)
+    key *= len(ends)
+    key += ic
+    del in_pair, c, ic
+    key, of_triple = ranked(key)
+    pair, last = key // len(ends), ends[key % len(ends)]
+    del key
+    count = np.bincount(of_triple, weights=n, minlength=len(pair)).astype(np.int64)
+    del n
+    trie = build_trie(pair_a, pair_b, context, pair, last, count)
     with tempfile.NamedTemporaryFile(delete=False) as f:
         f.write(trie.to_bytes())
     try:
         trie = Trie.from_buffer(np.memmap(f.name, dtype=np.uint8, mode="r"))
         node, ok = trie.pairs(pair_a, pair_b)
-        p2 = np.where(ok, trie.codes["p2"][node] if len(trie.codes["p2"]) else 0, 0)
-        back = np.where(ok, trie.codes["backoff3"][node] if len(trie.codes["p2"]) else 0, 0)
-        at, hit = np.zeros(len(pair), np.int64), np.zeros(len(pair), bool)
+        code = lambda k, at, hit: np.where(hit, trie.codes[k][at] if len(trie.codes[k]) else 0, 0).astype(np.uint16)
+        p2, back, p3 = code("p2", node, ok), code("backoff3", node, ok), np.zeros(len(pair), dtype=np.uint16)
         some = np.flatnonzero(ok[pair])
-        at[some], hit[some] = trie.triples(node[pair[some]], last[some])
-        p3 = np.where(hit, trie.codes["p3"][at] if len(trie.codes["p3"]) else 0, 0)
+        for lo in range(0, len(some), LOOKUPS):
+            part = some[lo : lo + LOOKUPS]
+            at, hit = trie.triples(node[pair[part]], last[part])
+            p3[part] = code("p3", at, hit)
     finally:
         os.unlink(f.name)
-    bodies, lo = [], 0
-    for (_, nc), head in zip(sizes, heads, strict=True):
-        pairs = of_pair[lo : lo + nc][head]
+    bodies, plo, lo = [], 0, 0
+    for np_, nc in sizes:
+        pairs = of_pair[plo : plo + np_]
         bodies.append(pack(p2[pairs], back[pairs], p3[of_triple[lo : lo + nc]]))
-        lo += nc
+        plo, lo = plo + np_, lo + nc
     return pa.table({"block": pa.array(blocks, pa.int64()), "shard": pa.array([shard] * len(blocks), pa.int32()), "body": pa.array(bodies, pa.binary())})
 
 
 SCORES = "doc_id long, mark int, n_tokens long, n_known long, base_score double, score double"
 
 
+def _log_probabilities(block: _Block, answers: dict[int, object], total: int, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's log10 probability by the base and by the model, and its known tokens."""
+    p2, back, p3 = (np.zeros(n, dtype=np.uint16) for n in (len(block.pair_first), len(block.pair_first), len(block.a)))
+    for s, body in answers.items():
+        plo, phi, lo, hi = block.pair_cuts[s], block.pair_cuts[s + 1], block.cuts[s], block.cuts[s + 1]
+        p2[plo:phi], back[plo:phi], p3[lo:hi] = unpack(body.as_py())
+    p1 = (block.total + 0.5) / (total + 0.5 * (distinct + 1))
+    lam2 = RHO + (1 - RHO) * MU / (block.total + MU)
+    docs, n = len(block.lengths), len(block.gram)
+    base, score, known = np.zeros(docs), np.zeros(docs), np.zeros(docs, dtype=np.int64)
+    for lo in range(0, n, LOOKUPS):
+        # The pair (b, c) of an n-gram (a, b, c) is the first pair of the next place's n-gram. The last n-gram of a document,
+        # (w, end, end), only carries the pair (w, end): so a slice needs one place more than it scores.
+        doc, gram = block.doc[lo : lo + LOOKUPS + 1], block.gram[lo : lo + LOOKUPS + 1]
+        use = np.flatnonzero(doc[1:] == doc[:-1])
+        own, here = gram[use], doc[use]
+        b, c = block.b[own], block.c[own]
+        backoff = dequantise(back[block.pair[own]])
+        p = dequantise(p3[own]) + np.where(backoff > 0, backoff, 1.0) * (dequantise(p2[block.pair[gram[use + 1]]]) + lam2[b] * p1[c])
+        first = int(here[0]) if len(here) else 0
+        for out, weights in ((score, np.log10(np.minimum(p, 1.0))), (base, np.log10(p1[c])), (known, block.total[c] > 0)):
+            add = np.bincount(here - np.uint32(first), weights)
+            out[first : first + len(add)] += add.astype(out.dtype)
+    return base, score, known
+
+
 def _score(shards: int, train_docs: int, total: int, distinct: int):
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
     names = ["doc_id", "mark", "n_tokens", "n_known", "base_score", "score"]
@@ -202,28 +283,7 @@ def _score(shards: int, train_docs: int, total: int, distinct: int):
         out = []
         for row in left.to_pylist():
             block = _Block(row, shards, train_docs)
-            p2, back, p3 = (np.zeros(n, dtype=np.uint16) for n in (len(block.pair_first), len(block.pair_first), len(block.a)))
-            for s, body in answers.items():
-                plo, phi, lo, hi = block.pair_cuts[s], block.pair_cuts[s + 1], block.cuts[s], block.cuts[s + 1]
-                p2[plo:phi], back[plo:phi], p3[lo:hi] = unpack(body.as_py())
-            p1 = (block.total + 0.5) / (total + 0.5 * (distinct + 1))
-            lam2 = RHO + (1 - RHO) * MU / (block.total + MU)
-            # The pair (b, c) of an n-gram (a, b, c) is the first pair of the next place's n-gram.
-            n = len(block.where)
-            pair_at = block.pair[block.place[block.where]]
-            extra = np.append(block.doc[1:] != block.doc[:-1], True) if n else np.zeros(0, bool)
-            following = np.append(pair_at[1:], 0)
-            use = ~extra  # the last n-gram of a document, (w, end, end), only carries the pair (w, end)
-            gram = block.place[block.where[use]]
-            b, c = block.b[gram], block.c[gram]
-            lower = dequantise(p2[following[use]]) + lam2[b] * p1[c]
-            backoff = dequantise(back[pair_at[use]])
-            backoff = np.where(backoff > 0, backoff, 1.0)
-            p = dequantise(p3[gram]) + backoff * lower
-            docs = len(block.lengths)
-            score = np.bincount(block.doc[use], np.log10(np.minimum(p, 1.0)), minlength=docs)
-            base = np.bincount(block.doc[use], np.log10(p1)[c], minlength=docs)
-            known = np.bincount(block.doc[use], block.total[c] > 0, minlength=docs).astype(np.int64)
+            base, score, known = _log_probabilities(block, answers, total, distinct)
             values = (row["doc_ids"], row["marks"], block.lengths.astype(np.int64) + 1, known, base, score)
             out.append(pa.Table.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names))
         return pa.concat_tables(out) if out else pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
