@@ -172,12 +172,15 @@ class Trie:
         return cls({k: EliasFano.of(*arrays[4 * i : 4 * i + 4]) for i, k in enumerate(cls.LEVELS)}, dict(zip(("p2", "backoff3", "p3"), arrays[-3:], strict=True)))
 
     def _child(self, level: EliasFano, begin: EliasFano, node: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Child of each node by the number of its word."""
-        lo, hi = begin.access(node).astype(np.int64), begin.access(node + 1).astype(np.int64)
+        """Child of each node by the number of its word. A run of equal nodes looks its context up once."""
+        new = np.append(True, node[1:] != node[:-1]) if len(node) else np.zeros(0, dtype=bool)
+        run, heads = np.cumsum(new) - 1, node[new]
+        lo, hi = begin.access(heads).astype(np.int64), begin.access(heads + 1).astype(np.int64)
         some = lo < hi
-        base = np.zeros(len(node), dtype=np.uint64)
+        base = np.zeros(len(heads), dtype=np.uint64)
         later = some & (lo > 0)
         base[later] = level.access(lo[later] - 1)
+        lo, hi, some, base = lo[run], hi[run], some[run], base[run]
         at, hit = level.find(base + word.astype(np.uint64) + np.uint64(1))
         ok = hit & some & (at >= lo) & (at < hi)
         return np.where(ok, at, 0), ok
