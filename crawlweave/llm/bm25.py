@@ -1,26 +1,35 @@
-"""Exact top-k search by BM25 over an inverted index with block maxima.
+"""Exact top-k search by BM25 over an inverted index with block-max WAND pruning.
 
 A shard is a block of documents with an inverted index: postings by term, their BM25 impacts, and the greatest impact of
-each term in every run of RUN documents. Document frequencies, the number of documents and the mean length are those of
-the whole corpus, so that scores are comparable and the shards' best k merge exactly.
-
-Within a shard a query is answered by block-max WAND, on arrays: the query's rare terms are the essential lists, whose
-postings are added up; a document is a pivot only if that sum plus the block maxima of the other terms reaches the
-threshold, the k-th best of exact scores so far (those of the documents that lead by essential terms). Pivots alone are
-scored in full. The bound is never below the score, so nothing is lost.
+each frequent term in every run of RUN documents. A shard's documents are ordered by likeness (a few rounds of k-means
+over the frequent terms), so that runs are alike and their maxima tight. Document frequencies, the number of documents and
+the mean length are those of the whole corpus, so that scores are comparable and the shards' best k merge exactly.
+
+A query visits its own shard first; its k-th best score there is its first threshold. Then it visits shards at growing
+distances, FACTOR times as many each round, with the k-th best score so far. In a shard the postings of the query's rare
+terms are added up; a run's bound is the greatest of these sums in it plus the maxima of the frequent terms. Runs whose
+bound is below the threshold are skipped whole; the documents of the others are scored for a batch of queries at once, by
+a product of matrices in single precision, and those that may reach the threshold again in double precision. Bounds and
+margins are never below the score, so nothing is lost. A shard returns only what reaches the threshold: about k times
+FACTOR rows a query and round, whatever the number of shards.
 
 score = sum over the query's distinct terms of tf_query * idf * impact, idf = ln(1 + (N - df + 0.5) / (df + 0.5)),
 impact = tf (K1 + 1) / (tf + K1 (1 - B + B len / mean)), rounded to six places; ties go to the smaller doc_id.
 
-Queries are met with shards in groups of about QUERIES; the queries are the one side that is sent to every shard.
+Queries go to shards in groups of bounded size, by broadcast: a group is a run of shards whose queries have GROUP_BYTES or
+GROUP_QUERIES at most, or one shard, whose queries are no larger than its text. Nothing else is sent to all shards, and
+the index is never shuffled. All queries are compared with all shards, so the work is queries times shards times what a
+shard cannot skip.
 
 Cases: words are runs of non-white-space, A-Z lower-cased. Null and empty texts have no terms: they are in no result and
 have none as queries. Documents that share no term with a query are not in its result, which may be shorter than k. Rows
-that repeat are searched and found each; a null doc_id is never a query and comes last among ties. Other columns are ignored.
+that repeat are searched and found each; a null doc_id is never a query and comes last among ties. An empty table gives no
+rows. A very long text is a shard of its own. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,16 +38,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import encode, numbered, pack, unpack, vocabulary
-from .common import released, staged
+from .common import released, shared_dir, staged
 
 K1, B, TOP = 1.2, 0.75, 10
-#: Bytes of text of a shard, documents of a run, queries of a group, about.
-SHARD_BYTES, RUN, QUERIES = 32_000_000, 64, 4096
+#: Bytes of text of a shard, documents of a run, about.
+SHARD_BYTES, RUN = 32_000_000, 64
+#: Bytes and number of the queries that are sent to shards at once.
+GROUP_BYTES, GROUP_QUERIES = 48_000_000, 16_384
+#: How many times as many shards are visited each round; queries scored at once.
+FACTOR, BATCH = 4, 64
 #: Rows of the vocabulary's shards, about.
 VOCABULARY_TOKENS = 2_000_000
-#: A term is frequent in a shard if this share of its documents has it.
-FREQUENT = 1 / 16
-PLACES, MARGIN = 6, 1e-5
+#: A term is frequent in a shard if this share of its documents has it. Kinds of documents that are told apart, and rounds.
+FREQUENT, KINDS, ROUNDS = 1 / 16, 8, 3
+#: Places that scores are rounded to; what single precision may be wrong by, as a share of the largest possible score.
+PLACES, MARGIN, SINGLE = 6, 1e-5, 4e-5
 
 
 def _document_counts(tokens: np.ndarray, lengths: np.ndarray, marks: np.ndarray, words: int) -> np.ndarray:
@@ -82,109 +96,216 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _by_likeness(x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of x by kind, then length, and the kinds' centres."""
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    # The first centre is the mean, each next one the row that is least like those so far.
+    centres = [unit.mean(axis=0)]
+    like = unit @ centres[0]
+    for _ in range(KINDS - 1):
+        centres.append(unit[int(np.argmin(like))])
+        like = np.maximum(like, unit @ centres[-1])
+    centres = np.asarray(centres, dtype=np.float32)
+    kind = np.zeros(len(x), dtype=np.int64)
+    for _ in range(ROUNDS):
+        kind = np.argmax(unit @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, kind, unit)
+        some = np.bincount(kind, minlength=len(centres)) > 0
+        centres[some] = sums[some] / np.maximum(np.linalg.norm(sums[some], axis=1, keepdims=True), 1e-9)
+    return np.lexsort((lengths, kind)), centres
+
+
 class Shard:
-    """An index in memory."""
+    """An index in memory. Documents are numbered by likeness; place gives the place that each had."""
 
     def __init__(self, doc_ids: list, body: bytes, mean: float) -> None:
-        lengths, self.terms, counts, self.docs, tf = unpack(body)
-        self.terms, self.docs = self.terms.astype(np.int64), self.docs.astype(np.int64)
-        self.ids = np.asarray([np.iinfo(np.int64).max if i is None else i for i in doc_ids], dtype=np.int64)
-        self.null = np.asarray([i is None for i in doc_ids], dtype=bool)
+        lengths, self.terms, counts, docs, tf = unpack(body)
         self.n = len(doc_ids)
+        self.terms = self.terms.astype(np.int64)
         self.begins = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
-        tf = tf.astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths.astype(np.float64)[self.docs] / max(mean, 1e-9)))
+        norm = K1 * (1 - B + B * lengths.astype(np.float64) / max(mean, 1e-9))
+        impact = tf * (K1 + 1) / (tf + norm[docs])
         frequent = np.flatnonzero(counts > max(FREQUENT * self.n, 8))
-        self.dense_no = np.full(len(self.terms), -1, dtype=np.int64)
-        self.dense_no[frequent] = np.arange(len(frequent))
-        self.dense = np.zeros((self.n, len(frequent)))
+        self.column = np.full(len(self.terms), -1, dtype=np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        dense = np.zeros((self.n, len(frequent)), dtype=np.float32)
+        held = np.zeros((self.n, len(frequent)), dtype=np.min_scalar_type(int(tf.max()) if len(tf) else 0))
         for i, t in enumerate(frequent):
             lo, hi = self.begins[t], self.begins[t + 1]
-            self.dense[self.docs[lo:hi], i] = self.impact[lo:hi]
-        self.run_max = np.maximum.reduceat(self.dense, np.arange(0, self.n, RUN), axis=0) if self.n else self.dense
-        self.run = np.arange(self.n) // RUN
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and rounded scores of the best k documents."""
+            dense[docs[lo:hi], i] = impact[lo:hi]
+            held[docs[lo:hi], i] = tf[lo:hi]
+        self.place, self.centres = _by_likeness(dense, lengths) if self.n else (np.zeros(0, np.int64), np.zeros((1, 0), np.float32))
+        number = np.empty(self.n, dtype=np.int32)
+        number[self.place] = np.arange(self.n, dtype=np.int32)
+        self.docs, self.impact = number[docs], impact
+        self.dense, self.tf, self.norm = dense[self.place], held[self.place], norm[self.place]
+        ids = [doc_ids[i] for i in self.place]
+        self.ids = np.asarray([np.iinfo(np.int64).max if i is None else i for i in ids], dtype=np.int64)
+        self.null = np.asarray([i is None for i in ids], dtype=bool)
+        self.heads = np.arange(0, self.n, RUN)
+        self.run_max = np.maximum.reduceat(self.dense, self.heads, axis=0) if self.n else self.dense
+        self.skipped = self.visited = 0
+
+    def _lists(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of the rare terms by document; columns and weights of the frequent ones."""
         at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
         have = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
         at, weights = at[have], weights[have]
-        number = self.dense_no[at]
-        rare = number < 0
-        lens = self.begins[at[rare] + 1] - self.begins[at[rare]]
-        where = np.arange(int(lens.sum())) + np.repeat(self.begins[at[rare]] - (np.cumsum(lens) - lens), lens)
-        essential = np.bincount(self.docs[where], self.impact[where] * np.repeat(weights[rare], lens), minlength=self.n)
-        frequent, heavy = number[~rare], weights[~rare]
-        exact = lambda d: essential[d] + self.dense[np.ix_(d, frequent)] @ heavy
-        if self.n <= k:
-            pivots = np.arange(self.n)
-        else:
-            lead = np.argpartition(essential, -k)[-k:]
-            threshold = np.sort(exact(lead))[0]
-            bound = essential + (self.run_max[:, frequent] @ heavy)[self.run]
-            pivots = np.flatnonzero(bound >= threshold - MARGIN)
-        scores = np.round(exact(pivots), PLACES)
-        some = scores > 0
-        pivots, scores = pivots[some], scores[some]
-        best = np.lexsort((self.ids[pivots], -scores))[:k]
-        return pivots[best], scores[best]
+        column = self.column[at]
+        rare = column < 0
+        begins = self.begins[at[rare]]
+        lens = self.begins[at[rare] + 1] - begins
+        where = np.arange(int(lens.sum())) + np.repeat(begins - (np.cumsum(lens) - lens), lens)
+        return np.bincount(self.docs[where], self.impact[where] * np.repeat(weights[rare], lens), minlength=self.n), column[~rare], weights[~rare]
+
+    def exact(self, docs: np.ndarray, rare: np.ndarray, columns: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        tf = self.tf[np.ix_(docs, columns)].astype(np.float64)
+        return rare[docs] + (tf * (K1 + 1) / (tf + self.norm[docs][:, None])) @ weights
+
+    def search_batch(self, queries: list[tuple[np.ndarray, np.ndarray]], least: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Numbers and rounded scores of each query's best k documents among those that reach its least score."""
+        lists = [self._lists(*q) for q in queries]
+        heavy = np.zeros((self.dense.shape[1], len(queries)), dtype=np.float32)
+        for i, (_, columns, weights) in enumerate(lists):
+            heavy[columns, i] = weights
+        margin = np.asarray([MARGIN + SINGLE * ((K1 + 1) * weights.sum() + (rare.max() if self.n else 0)) for rare, _, weights in lists])
+        bound = self.run_max @ heavy
+        bound += np.stack([np.maximum.reduceat(rare, self.heads) for rare, *_ in lists], axis=1) if self.n else 0
+        alive = bound >= least - margin
+        runs = np.flatnonzero(alive.any(axis=1))
+        self.visited += alive.size
+        self.skipped += alive.size - len(queries) * len(runs)
+        docs = (runs[:, None] * RUN + np.arange(RUN)).reshape(-1)
+        docs = docs[docs < self.n]
+        sums = (self.dense if len(docs) == self.n else self.dense[docs]) @ heavy
+        out = []
+        for i, (rare, columns, weights) in enumerate(lists):
+            total = sums[:, i] + rare[docs]
+            cut = least[i]
+            if len(total) > k:
+                cut = max(cut, np.partition(total, -k)[-k] - margin[i])
+            found = docs[(total >= cut - margin[i]) & (total > 0)]
+            scores = np.round(self.exact(found, rare, columns, weights), PLACES)
+            some = (scores > 0) & (scores >= least[i] - MARGIN)
+            found, scores = found[some], scores[some]
+            best = np.lexsort((self.place[found], self.ids[found], -scores))[:k]
+            out.append((found[best], scores[best]))
+        return out
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], least: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of the query, numbers and scores of its documents); queries of a kind are scored together, so that they skip the same runs."""
+        kind = np.zeros(len(queries), dtype=np.int64)
+        for i, (terms, weights) in enumerate(queries):
+            at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
+            columns = np.where(self.terms[at] == terms, self.column[at], -1) if len(self.terms) else np.full(len(terms), -1)
+            mine = columns >= 0
+            kind[i] = np.argmax(self.centres[:, columns[mine]] @ weights[mine].astype(np.float32))
+        order = np.argsort(kind, kind="stable")
+        for lo in range(0, len(order), BATCH):
+            part = order[lo : lo + BATCH]
+            for i, (found, scores) in zip(part.tolist(), self.search_batch([queries[j] for j in part], least[part], k), strict=True):
+                yield i, found, scores
 
 
 FOUND = "query_shard long, query_place long, query_id long, doc_id long, doc_shard long, doc_place long, score double"
-
-
-def _search(n_docs: int, mean: float, k: int):
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-    names = ["query_shard", "query_place", "query_id", "doc_id", "doc_shard", "doc_place", "score"]
-
-    def run(indexes: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[pa.Table] = []
-        asked = queries.to_pylist()
-        for row in indexes.to_pylist():
-            shard = Shard(row["doc_ids"], row["body"], mean)
-            for q in asked:
-                places, sizes, terms, df, tf = (x.astype(np.int64) for x in unpack(q["body"]))
-                weights = tf * np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-                cuts = np.concatenate([[0], np.cumsum(sizes)])
-                for i in range(len(places)):
-                    found, scores = shard.search(terms[cuts[i] : cuts[i + 1]], weights[cuts[i] : cuts[i + 1]], k)
-                    m = len(found)
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+_NAMES = ["query_shard", "query_place", "query_id", "doc_id", "doc_shard", "doc_place", "score"]
+
+
+def _search(sent, n_docs: int, mean: float, k: int, near: int, far: int):
+    """Searches each shard for the queries whose own shard lies near <= distance < far before it, around the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, asked, least = sent.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                here = int(np.searchsorted(shards, row["shard"]))
+                mine = [q for q in asked if near <= (here - int(np.searchsorted(shards, q["shard"]))) % len(shards) < far]
+                if not mine:
+                    continue
+                shard = Shard(row["doc_ids"], row["body"], mean)
+                who, queries = [], []
+                for q in mine:
+                    places, sizes, terms, df, tf = (x.astype(np.int64) for x in unpack(q["body"]))
+                    weights = tf * np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+                    cuts = np.concatenate([[0], np.cumsum(sizes)])
+                    for i in range(len(places)):
+                        who.append((q["shard"], int(places[i]), q["doc_ids"][i]))
+                        queries.append((terms[cuts[i] : cuts[i + 1]], weights[cuts[i] : cuts[i + 1]]))
+                bar = np.asarray([least.get(w[:2], 0.0) for w in who])
+                out: list[pa.RecordBatch] = []
+                for i, found, scores in shard.search(queries, bar, k):
+                    m, (query_shard, query_place, query_id) = len(found), who[i]
                     ids = pa.array(shard.ids[found], pa.int64(), mask=shard.null[found])
-                    values = [pa.array(np.full(m, q["shard"])), pa.array(np.full(m, places[i])), pa.array([q["doc_ids"][i]] * m, pa.int64()), ids, pa.array(np.full(m, row["shard"])), pa.array(found), pa.array(scores)]
-                    out.append(pa.Table.from_arrays([v.cast(t) for v, t in zip(values, kinds, strict=True)], names=names))
-            out = [pa.concat_tables(out).combine_chunks()] if out else []
-        return out[0] if out else pa.Table.from_arrays([pa.array([], t) for t in kinds], names=names)
+                    values = [pa.array([query_shard] * m, pa.int64()), pa.array([query_place] * m, pa.int64()), pa.array([query_id] * m, pa.int64()), ids, pa.array([row["shard"]] * m, pa.int64()), pa.array(shard.place[found], pa.int64()), pa.array(scores, pa.float64())]
+                    out.append(pa.RecordBatch.from_arrays(values, names=_NAMES))
+                if out:
+                    yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
     return run
 
 
+def _groups(sizes: list) -> list[tuple[int, int]]:
+    """Runs [from, to) of shards whose queries are bounded in bytes and number; sizes: (queries, bytes) of each shard."""
+    out, begin, count, held = [], 0, 0, 0
+    for at, (queries, size) in enumerate(sizes):
+        if at > begin and (count + queries > GROUP_QUERIES or held + size > GROUP_BYTES):
+            out.append((begin, at))
+            begin, count, held = at, 0, 0
+        count, held = count + queries, held + size
+    if count:
+        out.append((begin, len(sizes)))
+    return [g for g in out if any(q for q, _ in sizes[g[0] : g[1]])]
+
+
 def search(docs: DataFrame, is_query: Column, k: int = TOP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """query_id, rank (from 1), doc_id and score: the best k of all documents for each document that is a query."""
     coded = encode(docs, F.coalesce(is_query, F.lit(False)).cast("int"), doc_id, text, SHARD_BYTES)
-    facts = coded.agg(F.sum(F.size("doc_ids")).alias("n"), F.sum("n_tokens").alias("tokens"), F.sum(F.aggregate("marks", F.lit(0).cast("long"), lambda a, m: a + m)).alias("queries")).first()
-    n, tokens, queries = (facts[x] or 0 for x in ("n", "tokens", "queries"))
-    shards = max(2 * coded.sparkSession.sparkContext.defaultParallelism, int(tokens // VOCABULARY_TOKENS) + 1)
+    facts = coded.agg(F.sum(F.size("doc_ids")).alias("n"), F.sum("n_tokens").alias("tokens")).first()
+    n, tokens = (facts[x] or 0 for x in ("n", "tokens"))
+    spark = coded.sparkSession
+    shards = max(2 * spark.sparkContext.defaultParallelism, int(tokens // VOCABULARY_TOKENS) + 1)
     replies = vocabulary(coded, shards, _document_counts)
     known = numbered(coded, replies, shards)
-    spark = coded.sparkSession
     released(coded, replies)
     parts = staged(known.mapInArrow(_split, PARTS), "index")
     released(known)
-    groups = int(queries // QUERIES) + 1
-    index = parts.where("kind = 'index'")
-    # Shards numbered from 0: one number for each SHARD_BYTES of text.
-    numbers = staged(index.select("shard", (F.row_number().over(Window.orderBy("shard")) - 1).alias("at")), "shard-numbers")
-    count = numbers.count()
-    if not count:
-        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    left = index.join(numbers, "shard").select("shard", "at", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "doc_ids", "body")
-    asked = parts.where("kind = 'queries' AND queries > 0").select("shard", "doc_ids", "body", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int").alias("g"))
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("at"), "g", *[F.col(c).alias(c) for c in ("shard", "doc_ids", "body")])
-    met = left.groupBy("at", "g").cogroup(right.groupBy("at", "g")).applyInArrow(_search(n, tokens / max(n, 1), k), FOUND)
+    index, asked = parts.where("kind = 'index'").select("shard", "doc_ids", "body"), parts.where("kind = 'queries'")
+    # One row for each shard: its number, and how much its queries are.
+    meta = sorted(map(tuple, asked.select("shard", "queries", F.length("body")).collect()))
+    numbers = np.asarray([m[0] for m in meta], dtype=np.int64)
+    path, ranked = f"{shared_dir(spark)}/crawlweave/found-{uuid.uuid4().hex}", None
     best = Window.partitionBy("query_shard", "query_place").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "doc_shard", "doc_place")
-    ranked = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "doc_id", "score")
+    for begin, end in _groups([m[1:] for m in meta]):
+        rows = [r.asDict() for r in asked.where(F.col("shard").between(int(numbers[begin]), int(numbers[end - 1])) & (F.col("queries") > 0)).select("shard", "doc_ids", "body").collect()]
+        now, least, near, far = None, {}, 0, 1
+        while near < len(numbers):
+            sent = spark.sparkContext.broadcast((numbers, rows, least))
+            # Only the shards that a query of the group visits in this round are read.
+            lo, hi = begin + near, min(end - 1 + far - 1, begin + near + len(numbers) - 1)
+            spans = [(lo, min(hi, len(numbers) - 1))] if lo < len(numbers) else []
+            if hi >= len(numbers):
+                spans.append((max(lo - len(numbers), 0), hi - len(numbers)))
+            wanted = F.lit(False)
+            for a, z in spans:
+                wanted |= F.col("shard").between(int(numbers[a]), int(numbers[z]))
+            found = index.where(wanted).mapInArrow(_search(sent, n, tokens / max(n, 1), k, near, far), FOUND)
+            found = (now.select(*_NAMES).unionByName(found) if now is not None else found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+            before, now = now, staged(found, "found")
+            if before is not None:
+                released(before)
+            least = {(r["query_shard"], r["query_place"]): r["score"] for r in now.where(F.col("rank") == k).select("query_shard", "query_place", "score").collect()}
+            sent.destroy()
+            near, far = far, min(len(numbers), far * FACTOR) if far < len(numbers) else len(numbers) + 1
+        now.write.mode("append").parquet(path)
+        released(now)
+        ranked = path
+    released(parts)
+    if ranked is None:
+        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
+    return spark.read.schema(FOUND + ", rank int").parquet(path).select("query_id", "rank", "doc_id", "score")
 
 
 #: The search of every document whose id is divisible by 50, in SQL over the table documents.

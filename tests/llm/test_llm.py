@@ -297,19 +297,27 @@ def test_search_equals_brute_force(frame, rows):
 def test_search_prunes_without_loss():
     rng = np.random.default_rng(2)
     n, body_terms = 900, 400
-    tf = rng.poisson(0.05, (n, body_terms)) + (rng.random((n, body_terms)) < np.linspace(0.6, 0, body_terms))
+    tf = rng.poisson(0.05, (n, body_terms)) + (rng.random((n, body_terms)) < np.tile(np.linspace(0.6, 0, body_terms // 2), 2))
+    # Two languages: even documents have the words of the first half.
+    tf[np.arange(n)[:, None] % 2 != np.arange(body_terms)[None, :] // (body_terms // 2)] = 0
     lengths = tf.sum(axis=1)
     docs_, terms = np.nonzero(tf)
     order = np.lexsort((docs_, terms))
     counts = np.bincount(terms, minlength=body_terms)
     shard = bm25.Shard(list(range(n)), bm25.pack(lengths, np.arange(body_terms), counts, docs_[order], tf[docs_, terms][order]), lengths.mean())
     impact = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths[:, None] / lengths.mean()))
-    for _ in range(30):
-        q = rng.choice(body_terms, 40, replace=False)
-        w = rng.random(40) * 3
-        found, scores = shard.search(q, w, 10)
-        want = np.round(impact[:, q] @ w, 6)
-        assert (found == np.lexsort((np.arange(n), -want))[:10]).all() and np.allclose(scores, want[found])
+    asked = [(np.sort(rng.choice(body_terms // 2, 40, replace=False)) + body_terms // 2 * (i % 2), rng.random(40) * 3) for i in range(150)]
+    every = np.asarray([np.round(impact[:, q] @ w, 6) for q, w in asked])
+    for bar in (np.zeros(150), np.sort(every, axis=1)[:, -5], np.sort(every, axis=1)[:, -1] + 1):
+        seen = set()
+        for i, found, scores in shard.search(asked, bar, 10):
+            want = every[i]
+            best = np.lexsort((np.arange(n), -want))[:10]
+            best = best[want[best] >= bar[i] - bm25.MARGIN]
+            assert (shard.place[found] == best).all() and np.allclose(scores, want[best])
+            seen.add(i)
+        assert len(seen) == 150
+    assert shard.skipped > 0
 
 
 def test_search_empty(spark):
