@@ -5,11 +5,15 @@ others as named users; the mask is 1 on the assistant's own words (and the mark
 are the distinct roles that speak; `system` turns instruct and stay system in every perspective, and a dialogue of
 system turns alone has no perspective.
 
-A rendered dialogue is one value by definition, so a dialogue is gathered in one row; everything before that is rows by
-turn, and masks are spans of code points.
+No text can pass for a mark: `<|` in texts and names is written `< |`, and white space in names is one blank, so that a
+turn begins and ends where the rendering says so.
 
-Cases: null text is empty, a null or blank role is `unknown`, a null conv_id is a dialogue of its own; turns are ordered by
-turn (null first), role and text, and repeated rows are all rendered. Other columns are ignored.
+A rendered dialogue is one value by definition, so a dialogue is gathered in one row, and its renderings are participants
+times its length: that is the result's size, not the method's. Masks are spans of code points.
+
+Cases: null text is empty, a null or blank role is `unknown`, a row with a null conv_id is a dialogue of its own; turns are
+ordered by turn (null first), role and text, and repeated rows are all rendered. An empty table gives no rows. A very long
+text or dialogue is rendered whole; it must fit in a row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +25,14 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def turns(conversations: DataFrame) -> DataFrame:
-    """Turns with defaults in place."""
+    """Turns with defaults in place and without marks in texts and names."""
+    unmarked = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
+    role = F.trim(F.regexp_replace(F.coalesce("role", F.lit("")), r"[\x20\x09-\x0D]+", " "))
     return conversations.select(
         F.col("conv_id").alias("conv_id"),
         F.col("turn").alias("turn"),
-        F.when(F.trim(F.coalesce("role", F.lit(""))) == "", F.lit("unknown")).otherwise(F.col("role")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        F.when(role == "", F.lit("unknown")).otherwise(unmarked(role)).alias("role"),
+        unmarked(F.coalesce("text", F.lit(""))).alias("text"),
     )
 
 
@@ -35,7 +41,9 @@ def rotate(conversations: DataFrame) -> DataFrame:
 
     The dialogue is gathered once, sorted, and each perspective is a fold over its turns, all within expressions.
     """
-    whole = turns(conversations).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    said = turns(conversations)
+    whole = said.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    whole = whole.unionByName(said.where("conv_id IS NULL").select("conv_id", F.array(F.struct("turn", "role", "text")).alias("t")))
     # array_sort puts a null turn where structs with nulls sort: first, as an ascending order does.
     seen = F.array_sort(F.array_distinct(F.filter(F.transform("t", lambda x: x["role"]), lambda r: r != "system")))
     one = whole.select("conv_id", "t", F.explode(seen).alias("perspective"))
@@ -76,19 +84,20 @@ def digest(rotated: DataFrame) -> DataFrame:
 
 #: The digest in SQL over the table conversations: lengths and running sums by window instead of a fold.
 DIGEST_SQL = f"""
-WITH t AS (SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE role END AS role, coalesce(text, '') AS text FROM conversations),
-p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+WITH n AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, trim(regexp_replace(coalesce(role, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS named FROM conversations),
+t AS (SELECT conv_id, alone, turn, CASE WHEN named = '' THEN 'unknown' ELSE replace(named, '<|', '< |') END AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM n),
+p AS (SELECT DISTINCT conv_id, alone, role AS perspective FROM t WHERE role <> 'system'),
 r AS (
-  SELECT t.conv_id, p.perspective, t.turn, t.role, t.text, (t.role = p.perspective) AS own,
+  SELECT t.conv_id, t.alone, p.perspective, t.turn, t.role, t.text, (t.role = p.perspective) AS own,
     CASE WHEN t.role = p.perspective THEN '{OPEN}assistant' || chr(10) WHEN t.role = 'system' THEN '{OPEN}system' || chr(10) ELSE '{OPEN}user name=' || t.role || chr(10) END AS head
-  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.alone IS NOT DISTINCT FROM p.alone),
 s AS (
   SELECT *, length(head) AS h, length(text) + {len(CLOSE)} AS b,
-    coalesce(sum(length(head) + length(text) + {len(CLOSE)} + 1) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+    coalesce(sum(length(head) + length(text) + {len(CLOSE)} + 1) OVER (PARTITION BY conv_id, alone, perspective ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM r)
 SELECT conv_id, perspective, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own, CAST(sum(h + b + 1) AS BIGINT) AS n_chars,
   CAST(coalesce(sum(b) FILTER (WHERE own), 0) AS BIGINT) AS n_trained,
   md5(string_agg(head || text || '{CLOSE}' || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS rendered_md5,
   coalesce(string_agg(CAST(CAST(pos + h AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(pos + h + b AS BIGINT) AS VARCHAR), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE own), '') AS mask
-FROM s GROUP BY conv_id, perspective
+FROM s GROUP BY conv_id, alone, perspective
 """

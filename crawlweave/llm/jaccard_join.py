@@ -20,7 +20,8 @@ links is emitted. The number of links is summed over block pairs.
 
 Cases: words are runs of non-white-space, A-Z lower-cased. A text of one to four words has one shingle, all of it. Null
 and empty texts and texts without a word have the empty set: they are copies of each other. Rows with equal doc_id are
-rows of their own. A null doc_id is least preferred as class id; a class of null ids has a null id. Other columns are
+rows of their own. A null doc_id is least preferred as class id; a class of null ids has a null id. An empty table gives no
+rows. A very long text is one set, hashed whole; sets are handled SLICE_WORDS at a time, or one alone. Other columns are
 ignored.
 """
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, staged
+from .common import LOWER, released, staged
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -357,6 +358,8 @@ def tokens_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
     """doc_id, text_md5, key (of its set), copy_id (least id with an equal set), class_id (least id of its group), links (other documents at least that similar), one row per document."""
+    if runs > RUN_BITS + 1:
+        raise ValueError(f"at most {RUN_BITS + 1} runs")
     every = sets(docs, doc_id, text, threshold, runs)
     grouped = every.groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.min("text_md5").alias("text_md5"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
     classes = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -374,10 +377,12 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     heavy = _in_blocks(dense.select(F.col("path").alias("bucket"), "node", "sketch"))
     links = links.union(_sorted(heavy, "bucket", "i", "j").mapInArrow(_dense_links, "a long, b long"))
     likely = staged(components(links), "likely")
+    released(met)
     # Exact comparison of all pairs within these groups, in blocks: links, and their numbers.
     tokens = tokens_of(docs, classes.join(likely, "node").select("node", "root", "copies", "text_md5"), text)
     inside = _in_blocks(tokens.select(F.col("root").alias("bucket"), "node", "copies", "tokens"))
     exact = staged(_sorted(inside, "bucket", "i", "j").mapInArrow(_exact(threshold), "a long, b long, links long"), "exact")
+    released(tokens, likely)
     roots = staged(components(exact.where("b IS NOT NULL").select("a", "b")), "roots")
     counted = exact.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     facts = classes.select("key", "node", "copy_id", "copies").join(roots, "node", "left").join(counted, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -387,13 +392,20 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
 
 
 def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but one document of each group: the one of the least id (null last), then of the least md5 of its text."""
+    """docs without all but one document of each group: the one of the least id (null last), then of the least md5 of its text.
+
+    Of rows that agree in id and text but not in other columns the one whose JSON has the least md5 stays.
+    """
     rows = staged(join(docs, doc_id, text), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_md5").alias("md5")))
-    kept = rows.groupBy("group_key").agg(first.alias("kept"), F.count("*").alias("n")).select("kept.id", "kept.md5", "n")
+    kept = rows.groupBy("group_key").agg(first.alias("kept")).select("kept.id", "kept.md5")
     # Rows that agree in id and text are of one group: where such a row is kept, one of them is.
     repeated = rows.groupBy("doc_id", "text_md5").agg(F.count("*").alias("times")).where("times > 1")
     kept = staged(kept.join(repeated, kept["id"].eqNullSafe(repeated["doc_id"]) & (kept["md5"] == repeated["text_md5"]), "left").select("id", "md5", F.coalesce("times", F.lit(1)).alias("times")), "kept")
+    released(rows)
     same = docs[doc_id].cast("long").eqNullSafe(kept["id"]) & (F.md5(F.coalesce(docs[text], F.lit(""))) == kept["md5"])
     once = docs.join(kept.where("times = 1"), same, "left_semi")
-    return once.unionByName(docs.join(kept.where("times > 1"), same, "left_semi").dropDuplicates())
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    several = docs.join(kept.where("times > 1"), same, "left_semi")
+    one = several.groupBy(F.col(doc_id), F.md5(F.coalesce(F.col(text), F.lit("")))).agg(F.min_by(row, F.md5(F.to_json(row))).alias("__row"))
+    return once.unionByName(one.select("__row.*"))

@@ -6,7 +6,8 @@ containing an n-gram at once. A text's votes are the population counts of these
 false-positive rate of each language's filter.
 
 Cases: null text or no letter -> `und`, score 0. Empty training data -> every text with letters is `und` too. Ties go to
-the language that sorts first. Repeated rows are answered alike, row by row. Other columns are ignored.
+the language that sorts first. Repeated rows are answered alike, row by row. An empty table gives no rows. A very long text
+is read whole, in pieces of SLICE characters that overlap by less than an n-gram. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,35 +40,58 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[list[int], str]]:
-    """Texts joined by NUL in pieces of about SLICE characters, with the number of the text of each part."""
+def _seam(text: str, begin: int, end: int) -> int:
+    """Where the piece after text[begin:end] begins: GRAM - 1 letters or runs of others before end, so that each n-gram is in one piece."""
+    at, units = end, 0
+    while at > begin and units < GRAM - 1:
+        at -= 1
+        if not text[at].isalpha():
+            while at > begin and not text[at - 1].isalpha():
+                at -= 1
+        units += 1
+    return at
+
+
+def _slices(texts: list[str]) -> Iterator[tuple[list[int], list[bool], str]]:
+    """Texts joined by NUL in pieces of about SLICE characters, with the number of the text of each part, and whether it goes on within a word. Pieces of a text overlap by less than an n-gram."""
     owners: list[int] = []
+    within: list[bool] = []
     parts: list[str] = []
     size = 0
     for i, text in enumerate(texts):
         text = text.replace("\x00", " ") if "\x00" in text else text
-        for at in range(0, len(text), SLICE):
-            part = text[at : at + SLICE] if len(text) > SLICE else text
+        at = 0
+        while at < len(text):
+            end = min(len(text), at + SLICE)
+            # A piece that is shorter than an n-gram, or all of it no letters, grows.
+            while end < len(text) and (then := _seam(text, at, end)) == at:
+                end = min(len(text), end + SLICE)
+            part = text[at:end] if end - at < len(text) else text
             owners.append(i)
+            within.append(at > 0 and text[at].isalpha())
             parts.append(part)
             size += len(part)
+            at = end if end == len(text) else then
             if size >= SLICE:
-                yield owners, "\x00".join(parts)
-                owners, parts, size = [], [], 0
+                yield owners, within, "\x00".join(parts)
+                owners, within, parts, size = [], [], [], 0
     if owners:
-        yield owners, "\x00".join(parts)
+        yield owners, within, "\x00".join(parts)
 
 
 def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(hashes, text numbers) of all n-grams with a letter: lower-cased letters, all else as one space."""
     letters = _letters()
-    for owners, joined in _slices(texts):
+    for owners, within, joined in _slices(texts):
         points = np.frombuffer(("\x00" + joined.lower()).encode("utf-32-le"), dtype="<u4")
-        owner = np.asarray(owners, dtype=np.int64)[np.cumsum(points == 0) - 1]
+        part = np.cumsum(points == 0) - 1
+        owner = np.asarray(owners, dtype=np.int64)[part]
+        # The NUL before a part is a space, but not where the part goes on within a word.
+        false = (points == 0) & np.asarray(within, dtype=bool)[part]
         code = np.where(letters[points], points, 32).astype(np.uint64)
         keep = np.ones(len(code), dtype=bool)
         keep[1:] = (code[1:] != 32) | (code[:-1] != 32) | (points[1:] == 0)
-        code, owner = code[keep], owner[keep]
+        code, owner, false = code[keep], owner[keep], false[keep]
         n = len(code) - GRAM + 1
         if n <= 0:
             continue
@@ -78,7 +102,7 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             hashed ^= hashed >> np.uint64(29)
         same = owner[:n] == owner[GRAM - 1 : GRAM - 1 + n]
         inner = code[1 : 1 + n] != 32
-        use = same & inner
+        use = same & inner & ~false[:n]
         yield hashed[use], owner[:n][use]
 
 
@@ -154,10 +178,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     if not langs:
         return Filters.build([], [])
     scale = 1_000_000
-    rate = F.create_map(*[F.lit(x) for v in langs for x in (v, int(min(1, sample_docs / counts[v]) * scale))])
-    index = F.create_map(*[F.lit(x) for i, v in enumerate(langs) for x in (v, i)])
-    least = F.create_map(*[F.lit(x) for i, v in enumerate(langs) for x in (i, max(2, int(MIN_SHARE * min(counts[v], sample_docs))) if counts[v] > 1 else 1)])
-    chosen = rows.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(7)), F.lit(scale)) < rate[F.col("lang")])
+    # One row for each label, joined: the plan does not grow with their number.
+    facts = [(v, i, int(min(1, sample_docs / counts[v]) * scale), max(2, int(MIN_SHARE * min(counts[v], sample_docs))) if counts[v] > 1 else 1) for i, v in enumerate(langs)]
+    per = labelled.sparkSession.createDataFrame(facts, "lang string, i int, rate int, least int")
+    chosen = rows.join(per, "lang").where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(7)), F.lit(scale)) < F.col("rate"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,21 +200,25 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
                 h, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i), pa.int32()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "docs"])
 
-    counted = chosen.select(index[F.col("lang")].alias("i"), "text").mapInArrow(emit, "lang int, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
-    kept = counted.where(F.col("docs") >= least[F.col("lang")]).select("lang", "gram").toPandas()
+    counted = chosen.select("i", "text").mapInArrow(emit, "lang int, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
+    kept = counted.join(per.select(F.col("i").alias("lang"), "least"), "lang").where("docs >= least").select("lang", "gram").toPandas()
     sets = [kept.gram[kept.lang == i].to_numpy(dtype=np.int64).view(np.uint64) for i in range(len(langs))]
     return Filters.build(langs, sets)
 
 
 def identify(docs: DataFrame, model: Filters, text: str = "text", keep: list[str | Column] | None = None) -> DataFrame:
-    """The columns of keep, then lang_pred and score for every row of docs."""
-    picked = docs.select(*(keep if keep is not None else ["*"]), F.col(text).alias("__text"))
-    names = [f.name for f in picked.schema.fields if f.name != "__text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields if f.name != "__text"] + ["lang_pred string", "score double"])
+    """The columns of keep (all, unless given), then lang_pred and score for every row of docs; columns of docs with these two names are replaced."""
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score")] if keep is None else keep
+    held = docs.select(*keep)
+    # The text is sent once: as one of the columns of keep, or beside them.
+    picked = held if text in held.columns and text in keep else docs.select(*keep, F.col(text).alias("__text"))
+    at, count = picked.columns.index(text if picked is held else "__text"), len(held.columns)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:count]] + ["lang_pred string", "score double"])
+    names = [*held.columns, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = model.predict(batch.column(len(names)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            langs, scores = model.predict(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:count], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
 
     return picked.mapInArrow(run, schema)
