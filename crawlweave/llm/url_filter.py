@@ -24,14 +24,14 @@ RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 DIMENSIONS, GRAMS = 1 << 16, (3, 4, 5)
 #: Rows of the labelled table at most.
 MOST_LABELLED = 10_000
-PASSES, RATE, DECAY = 300, 2.0, 1e-4
+PASSES, RATE, DECAY = 600, 4.0, 1e-4
 
 #: The labelled table that the model is trained from unless another is given: words of hosts of both kinds, and paths for each kind and for both.
-BLOCK_WORDS = "casino poker betting jackpot slots bonus porn adult xxx dating escort pills viagra pharmacy discount spam malware phishing warez crack keygen torrent clicks banner tracker".split()
+BLOCK_WORDS = "casino poker betting bets jackpot slots bonus free cheap winner porn adult xxx dating escort pills viagra pharmacy discount spam malware phishing warez crack keygen torrent clicks banner tracker".split()
 ALLOW_WORDS = "news library school garden weather science history museum recipe travel code math health music film birds train council river language theatre winter station orchard lighthouse stone north earth harbour market thread other thing heron tower".split()
 BLOCK_PATHS = ["/win-big-bonus", "/free-spins/join", "/click?id=", "/cams/live-girls", "/buy-cheap-pills", "/login/verify-account", "/download/crack.exe", "/ads/banner/300x250"]
-ALLOW_PATHS = ["/articles/2024/a-title", "/docs/guide.html", "/en/12", "/de/7.html", "/fr/345/", "/es/9", "/collection/items/41", "/about/contact"]
-EITHER_PATHS = ["/", "/index.html", "/en/", "/search"]
+ALLOW_PATHS = ["/articles/2024/a-title", "/docs/guide.html", "/collection/items/41", "/about/contact", "/opening-hours", "/chapters/3/summary"]
+EITHER_PATHS = ["/", "/index.html", "/search", "/en/12", "/de/7.html", "/fr/345/", "/es/9"]
 ENDINGS = ["com", "org", "net", "info", "co.uk"]
 
 
@@ -42,7 +42,7 @@ def seed_table() -> list[tuple[str, str, int]]:
         for i, word in enumerate(words):
             for j, step in enumerate((1, 3, 7)):
                 host = ("www." if (i + j) % 3 == 0 else "") + word + ("-" if (i + j) % 2 else "") + words[(i + step) % len(words)] + "." + ENDINGS[(i + 2 * j) % len(ENDINGS)]
-                own = [paths[(i + j) % len(paths)], paths[(i + 3 * j + 2) % len(paths)], EITHER_PATHS[(i + j) % len(EITHER_PATHS)]]
+                own = [paths[(i + 3 * j) % len(paths)], *[EITHER_PATHS[(i + 2 * j + k) % len(EITHER_PATHS)] for k in range(3)]]
                 out += [(host, path, blocked) for path in own]
     return out
 
