@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 
 _OWN: list[str] = []
+_RECORDS: list[list[DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +56,22 @@ def staged(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(_CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    for record in _RECORDS:
+        record.append(out)
     return out
 
 
+@contextlib.contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """The frames that `staged` writes meanwhile: for who knows when nothing reads them any more."""
+    record: list[DataFrame] = []
+    _RECORDS.append(record)
+    try:
+        yield record
+    finally:
+        _RECORDS[:] = [r for r in _RECORDS if r is not record]
+
+
 def released(*frames: DataFrame) -> None:
     """Deletes what `staged` has written for frames that nothing reads any more: what was made of them is written itself."""
     for df in frames:
