@@ -6,44 +6,76 @@
 4. mixing sources to target weights: documents are repeated or left out so that sources come near their targets;
 5. best-fit packing: what is left is tokenised and packed into sequences.
 
-Cases: an empty table gives no pieces. Null texts go in the first stage. Repeated rows are one document after the third.
-Columns of documents beyond those used are passed on.
+What a stage has put aside in the shared folder is deleted when the next stage begins: its documents are written by then.
+
+Cases: an empty table gives no pieces. Null texts go in the first stage. Repeated rows are one document after the third,
+and so are rows that agree in id and text alone. Very long texts are whole documents in every stage. Columns of documents
+beyond those used are passed on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlweave.llm import jaccard_join, language_id, line_dedup, mixing, packing
-from crawlweave.llm.common import staged, table
+from crawlweave.llm.common import recorded, released, staged, table
 
 #: Share of a text's n-grams, corrected, that its language's filter must hold.
-LEAST_LANGUAGE_SCORE = 0.1
+LEAST_LANGUAGE_SCORE = 0.3
 #: Letters from which that share means something; texts of fewer have few n-grams or none.
 SCORED_LETTERS = 20
 
 
+_aside: list[DataFrame] = []
+
+
+def _stage(run: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes what the one before has put aside."""
+
+    @wraps(run)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        released(*(x for x in _aside if x.sparkSession is spark))
+        _aside.clear()
+        with recorded() as made:
+            out = run(spark, docs, sf_dir)
+        _aside.extend(made)
+        return out
+
+    return begin
+
+
+@_stage
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs)
-    told = language_id.identify(docs, model, keep=[F.struct("*").alias("__row")])
-    short = F.regexp_count(F.col("__row.text"), F.lit(r"\p{L}")) < SCORED_LETTERS
-    return told.where((F.col("lang_pred") != language_id.UNKNOWN) & (short | (F.col("score") >= LEAST_LANGUAGE_SCORE))).select("__row.*")
+    # Numbered names, so that no column of docs clashes with the prediction's.
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    told = language_id.identify(docs.withColumnsRenamed(own), model, text=own["text"])
+    short = F.regexp_count(F.col(own["text"]), F.lit(r"\p{L}")) < SCORED_LETTERS
+    kept = told.where((F.col("lang_pred") != language_id.UNKNOWN) & (short | (F.col("score") >= LEAST_LANGUAGE_SCORE)))
+    return kept.select(*[F.col(new).alias(old) for old, new in own.items()])
 
 
+@_stage
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = line_dedup.dedup(docs).select(*docs.columns)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
+@_stage
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_join.one_of_each_group(docs)
 
 
+@_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
