@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -77,17 +78,17 @@ def apex(hosts: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(hosts)), r"^www\.", "")
 
 
-def in_scope(hosts: Column, root: str, mode: str = "apex_www", allowed: Sequence[str] = ()) -> Column:
-    """Whether a host counts as internal: the root alone, with its apex and www, all below the apex, or a list."""
+def in_scope(hosts: Column, root: str, mode: str = "apex_www", allowed: Sequence[str] = (), redirect_host: str = "") -> Column:
+    """Whether a host counts as internal: the root alone, with its apex and www, all below the apex too, or with a list; a host that the homepage redirects to always does."""
     root = root.strip().lower()
     bare = root.removeprefix("www.")
-    if mode == "host_only":
-        return hosts == root
-    if mode == "all_subdomains":
-        return (hosts == bare) | hosts.endswith("." + bare)
+    named = {root} if mode == "host_only" else {root, bare, f"www.{bare}"}
     if mode == "custom_allowlist":
-        return hosts.isin(root, *[a.strip().lower() for a in allowed])
-    return hosts.isin(bare, f"www.{bare}", root)
+        named |= {re.sub(r"^[a-z][a-z0-9+.-]*://|[/?#:].*$", "", a.strip().lower()) for a in allowed} - {""}
+    if redirect_host:
+        named.add(redirect_host.strip().lower())
+    inside = hosts.isin(*sorted(named))
+    return inside | hosts.endswith("." + bare) if mode == "all_subdomains" else inside
 
 
 def reversed_labels(domain: Column) -> Column:
@@ -213,6 +214,40 @@ def directive_value(raw: Column, name: str) -> Column:
     return F.when(F.size(hit) > 0, F.trim(F.split_part(hit[0], F.lit(":"), F.lit(2))))
 
 
+# Crawlers that a robots header may be addressed to.
+KNOWN_CRAWLERS = ["*", "googlebot", "googlebot-news", "bingbot", "oai-searchbot", "gptbot", "oai-adsbot", "chatgpt-user", "google-extended"]
+IMAGE_PREVIEWS = ["none", "standard", "large"]
+
+
+def applied_directives(robots: Column, scoped: Column, headers: Column, crawler: str) -> Column:
+    """Sorted distinct directives that hold for a crawler. robots, scoped: arrays of meta values for all and for it; headers: array of robots headers.
+
+    A header may begin with a crawler's name and a colon; it then holds for that crawler alone.
+    """
+    crawler, none = crawler.strip().lower(), F.array().cast("array<string>")
+    clean = lambda a: F.filter(F.transform(F.coalesce(a, none), lambda v: F.trim(F.coalesce(v, F.lit("")))), lambda v: v != "")
+    left = lambda v: F.lower(F.trim(F.substring_index(v, ":", 1)))
+    addressed = lambda v: v.contains(":") & (left(v).isin(KNOWN_CRAWLERS) | left(v).endswith("bot") | left(v).endswith("bot-news"))
+    rest = lambda v: F.trim(F.regexp_replace(v, r"^[^:]*:", ""))
+    mine = F.transform(F.filter(clean(headers), lambda v: addressed(v) & (left(v) == crawler)), rest)
+    parts = [clean(robots), clean(scoped) if crawler not in ("", "generic", "robots", "*") else none, F.filter(clean(headers), lambda v: ~addressed(v)), mine]
+    tokens = F.flatten(F.transform(F.concat(*parts), lambda v: F.transform(F.split(F.lower(v), ","), lambda x: F.trim(x))))
+    return F.array_sort(F.array_distinct(F.filter(tokens, lambda x: x != "")))
+
+
+def strictest_preview(applied: Column) -> Column:
+    """The strictest image preview among directives; the first other value if none is known, empty without any."""
+    values = F.transform(F.filter(applied, lambda x: x.startswith("max-image-preview:")), lambda x: F.trim(F.regexp_replace(x, r"^[^:]*:", "")))
+    ranked = F.filter(F.array(*map(F.lit, IMAGE_PREVIEWS)), lambda v: F.array_contains(values, v))
+    return F.coalesce(F.get(ranked, 0), F.get(values, 0), F.lit(""))
+
+
+def date_window(days: int, today: Column | None = None) -> tuple[Column, Column]:
+    """First and last day of a window of so many days, one at least, that ends today."""
+    end = F.current_date() if today is None else today.cast("date")
+    return F.date_sub(end, max(1, days) - 1), end
+
+
 def strictest_number(raw: Column, name: str) -> Column:
     """The least non-negative number given for a directive (-1 means no limit); -1 if only that is given."""
     numbers = F.filter(F.transform(F.filter(directives(raw), lambda x: x.startswith(f"{name}:")), lambda x: F.trim(F.split_part(x, F.lit(":"), F.lit(2))).try_cast("int")), lambda v: v.isNotNull())

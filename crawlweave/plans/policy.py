@@ -16,14 +16,21 @@ BAND_DEFAULT = (1, 2, 4)
 MONEY = ["homepage", "service", "location", "product"]
 UTILITY = ["tag", "category", "archive", "utility", "search", "contact", "about", "legal", "privacy", "terms"]
 SEGMENT_TYPES = {"service": ["service", "services"], "product": ["product", "products", "portfolio", "fasteners"], "location": ["location", "locations"], "article": ["blog", "news", "article", "articles"]}
+# Template groups by page type and first segment of the path.
+TEMPLATES = [
+    ("service-template", ["service"], ["service", "services"]),
+    ("commercial-template", ["product", "location"], ["product", "products", "location", "locations", "portfolio", "fasteners"]),
+    ("content-template", ["article", "blog"], ["blog", "news", "article", "articles"]),
+    ("utility-template", ["tag", "category", "archive", "utility", "search"], []),
+]
 SAME_TYPES = ["tag", "category", "archive", "search", "utility"]
 
 #: Columns of a page that rules and scores read, with the value that stands for a missing one.
 PAGE_DEFAULTS = {
     "normalized_url": "", "final_url": "", "content_type": "", "fetch_error": "", "page_type": "", "title": "", "effective_title": "", "meta_description": "", "effective_meta_description": "", "h1": "", "canonical_url": "", "effective_canonical": "",
     "raw_canonical": "", "rendered_canonical": "", "canonical_resolution": "", "canonical_cluster_key": "", "canonical_cluster_role": "", "shell_state": "", "effective_content_hash": "", "content_hash": "", "content_hash_source": "", "meta_robots": "", "rendered_meta_robots": "",
-    "hreflang_links_json": "[]", "raw_hreflang_links_json": "[]", "redirect_chain_json": "[]", "schema_validation_json": "{}", "schema_types_json": "[]", "max_snippet_directive": "", "max_image_preview_directive": "", "max_video_preview_directive": "", "rel_next_url": "", "rel_prev_url": "",
-    "canonical_count": 0, "word_count": 0, "raw_word_count": 0, "status_code": 0, "robots_blocked_flag": 0, "in_sitemap_flag": 0, "is_noindex": 0, "used_render": 0, "render_checked": 0, "render_gap_score": 0, "likely_js_shell": 0, "orphan_risk_flag": 0, "nav_linked_flag": 0, "inlinks": 0, "community_id": 0, "bridge_flag": 0,
+    "hreflang_links_json": "[]", "raw_hreflang_links_json": "[]", "redirect_chain_json": "[]", "schema_validation_json": "{}", "schema_types_json": "[]", "max_snippet_directive": "", "max_image_preview_directive": "", "max_video_preview_directive": "", "framework_guess": "", "rel_next_url": "", "rel_prev_url": "",
+    "canonical_count": 0, "word_count": 0, "raw_word_count": 0, "status_code": 0, "robots_blocked_flag": 0, "in_sitemap_flag": 0, "is_noindex": 0, "used_render": 0, "render_checked": 0, "render_gap_score": 0, "likely_js_shell": 0, "shell_score": 0, "orphan_risk_flag": 0, "nav_linked_flag": 0, "inlinks": 0, "community_id": 0, "bridge_flag": 0,
     "schema_parse_error_count": 0, "data_nosnippet_count": 0, "rendered_data_nosnippet_count": 0, "has_nosnippet_directive": 0, "has_contact_signal": 0, "has_location_signal": 0, "has_local_schema": 0, "has_map": 0, "internal_pagerank": 0.0, "betweenness": 0.0, "closeness": 0.0,
     "governance_openai_allowed": 1, "governance_google_extended_allowed": 1, "governance_gptbot_allowed": 1, "governance_oai_adsbot_allowed": 1,
 }
@@ -54,6 +61,15 @@ def page_type(infer: bool) -> Column:
     return F.coalesce(own, guess.when(segment.isin(SAME_TYPES), segment).otherwise("other"))
 
 
+def template_cluster(kind: Column | None = None, url: Column | None = None) -> Column:
+    """The template group that findings about a page are counted by; global-template without a page."""
+    kind, segment = page_type(False) if kind is None else kind, first_segment(F.col("normalized_url") if url is None else url)
+    out = F.when((kind == "homepage") | (segment == ""), "home-template")
+    for name, kinds, segments in TEMPLATES:
+        out = out.when(kind.isin(kinds) | segment.isin(segments), name)
+    return out.otherwise("other-template")
+
+
 def importance(kind: Column) -> Column:
     return clamp(looked_up(IMPORTANCE, kind, 1.0), 0.5, 1.5)
 

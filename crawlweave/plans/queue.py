@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from . import policy as P
 
 READY = ["queued", "retry_wait"]
 
@@ -54,22 +55,87 @@ def crawl_plan(urls: DataFrame, state: DataFrame) -> DataFrame:
     return joined.orderBy(F.col("changed").desc(), "not_modified_streak", "url")
 
 
-def measurement_targets(pages: DataFrame, importance: Column, k: int) -> DataFrame:
-    """The k pages to measure: most important first, then by links, depth and name; each final URL once."""
-    order = [importance.desc(), F.coalesce("inlinks", F.lit(0)).desc(), F.coalesce("crawl_depth", F.lit(999)), F.length("final_url"), F.col("final_url")]
-    first = pages.withColumn("__r", F.row_number().over(Window.partitionBy("final_url").orderBy(*order))).where("__r = 1").drop("__r")
-    return first.orderBy(*order).limit(k)
+# Which page types are measured first; from which render gap on a page is measured late; statuses by rank.
+MEASURE_ORDER = {"homepage": 0, "service": 1, "contact": 2, "about": 3, "location": 4, "article": 5, "industry": 6, "other": 7}
+UNSTABLE_GAP = 90
+STATUS_RANK = {"measurement_not_attempted_by_policy": 1, "skipped": 1, "provider_unavailable_data": 2, "no_field_data": 2, "runtime_error": 3, "provider_runtime_error": 4, "provider_error": 5, "ok": 6}
+NOT_ATTEMPTED, NOT_ATTEMPTED_FAMILY = "measurement_not_attempted_by_policy", "not_attempted_policy"
 
 
-def render_targets(pages: DataFrame, escalation: Column, kind: Column, k: int, least: float = 35) -> DataFrame:
-    """The k pages to render: those that need it most, then the rest in turns of their kinds."""
-    rows = pages.withColumn("__e", escalation).withColumn("__kind", kind)
-    turn = F.row_number().over(Window.partitionBy("__kind", F.col("__e") >= least).orderBy(F.col("__e").desc(), "normalized_url"))
-    rows = rows.withColumn("__stage", F.when(F.col("__e") >= least, 0).otherwise(1)).withColumn("__turn", F.when(F.col("__stage") == 0, 0).otherwise(turn))
-    return rows.orderBy("__stage", "__turn", F.col("__e").desc(), "normalized_url").limit(k).drop("__e", "__kind", "__stage", "__turn")
+def _first_by(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first k rows by order, each URL once."""
+    first = rows.withColumn("__r", F.row_number().over(Window.partitionBy("normalized_url").orderBy(*order))).where("__r = 1").drop("__r")
+    return first.orderBy(*order).limit(k)
 
 
-def measurement_status(evidence: DataFrame) -> DataFrame:
-    """The best status of each URL by rank; later evidence wins ties."""
-    ranks = F.create_map(*[F.lit(x) for i, s in enumerate(["not_measured", "skipped", "failed", "partial", "success"]) for x in (s, i)])
-    return R.best_status(evidence.withColumn("__rank", F.coalesce(ranks[F.col("status")], F.lit(0))), "url", "status", "__rank", "seq", "family")
+def measurement_targets(pages: DataFrame, k: int) -> DataFrame:
+    """The k pages to measure, of those that work: homepages, then stable ones, by type, depth, links out and words; each URL once."""
+    p = P.completed(pages).where(P.actionable() & (F.col("fetch_error") == "") & (F.col("normalized_url") != ""))
+    kind = F.coalesce(F.nullif(F.col("page_type"), F.lit("")), F.lit("other"))
+    depth = F.coalesce(F.nullif(F.col("crawl_depth"), F.lit(0)), F.lit(99))
+    order = [kind != "homepage", F.col("render_gap_score") >= UNSTABLE_GAP, P.looked_up(MEASURE_ORDER, kind, 99), depth, F.coalesce("internal_links_out", F.lit(0)).desc(), F.col("word_count").desc(), F.col("normalized_url")]
+    return _first_by(p, order, k)
+
+
+def render_targets(pages: DataFrame, k: int, least: int = 35, seq: str = "page_id") -> DataFrame:
+    """The k pages to render, with their stage and escalation: first those that need it, the neediest first; then a sample of the others.
+
+    The sample: a homepage (else the first page), the service or industry page with most links, an article, the shortest thin
+    page, then pages by links and length.
+    """
+    from .resolution import render_escalation
+
+    rows = P.completed(pages).where(P.actionable() & (F.col("fetch_error") == "") & (F.col("normalized_url") != "")).withColumn("escalation", render_escalation()["score"])
+    kind, links, words = F.col("page_type"), F.coalesce("internal_links_out", F.lit(0)), F.col("word_count")
+    # Whole-table orders: of each kind of the sample only the first page counts, so these are small top-k reads.
+    picks = [
+        (0, rows.orderBy(kind != "homepage", seq)),
+        (1, rows.where(kind.isin("service", "industry")).orderBy(links.desc(), seq)),
+        (2, rows.where(kind == "article").orderBy(seq)),
+        (3, rows.where(words < 120).orderBy(words, seq)),
+    ]
+    marked = None
+    for place, ordered in picks:
+        one = ordered.limit(1).select(F.col("normalized_url"), F.lit(place).alias("place"))
+        marked = one if marked is None else marked.unionByName(one)
+    marked = marked.groupBy("normalized_url").agg(F.min("place").alias("place"))
+    rows = rows.join(F.broadcast(marked), "normalized_url", "left").withColumn("stage", F.when(F.col("escalation") >= least, 0).otherwise(1))
+    depth = F.coalesce(F.nullif(F.col("crawl_depth"), F.lit(0)), F.lit(99))
+    needy = lambda c: F.when(F.col("stage") == 0, c)
+    rest = lambda c: F.when(F.col("stage") == 1, c)
+    order = [F.col("stage"), needy(-F.col("escalation")), needy((kind != "homepage").cast("int")), needy(depth), needy(-links), needy(F.col("normalized_url")), rest(F.coalesce("place", F.lit(4))), rest(-links), rest(words), F.col(seq)]
+    return _first_by(rows, order, k)
+
+
+def measurement_status(urls: DataFrame, evidence: DataFrame) -> DataFrame:
+    """url, status, family of every URL: the evidence of the highest rank, the last of equals; not attempted where there is none.
+
+    evidence: url, status, family, seq.
+    """
+    none = urls.select("url", F.lit(NOT_ATTEMPTED).alias("status"), F.lit(NOT_ATTEMPTED_FAMILY).alias("family"), F.lit(-1).cast("long").alias("seq")).distinct()
+    rows = none.unionByName(evidence.where("trim(url) <> ''").select("url", "status", "family", F.col("seq").cast("long").alias("seq")))
+    best = F.max_by(F.struct("status", "family"), F.struct(P.looked_up(STATUS_RANK, F.col("status"), 0), F.col("seq")))
+    return rows.groupBy("url").agg(best.alias("b")).select("url", "b.status", "b.family")
+
+
+def field_evidence(rows: DataFrame) -> DataFrame:
+    """Evidence of field-data responses: url, their status, error_message, seq."""
+    from .resolution import error_family
+
+    family = error_family(F.col("error_message"))
+    found = F.lower(F.trim("status"))
+    failed = found == "failed_http"
+    status = F.when(found == "success", "ok").when(found == "no_data", "provider_unavailable_data").when(failed & (family == "runtime"), "provider_runtime_error").when(failed, "provider_error").when(found == "skipped_missing_key", NOT_ATTEMPTED)
+    kind = F.when(found == "success", "none").when(found == "no_data", "no_fcp").when(failed, family).when(found == "skipped_missing_key", NOT_ATTEMPTED_FAMILY)
+    return rows.select("url", status.alias("status"), kind.alias("family"), "seq").where("status IS NOT NULL")
+
+
+def changed_only(pages: DataFrame, incremental: bool, versions_changed: bool) -> DataFrame:
+    """Pages that rendering is chosen from: all, or in an incremental crawl under unchanged rules those that have changed."""
+    return pages.where(F.coalesce("changed_since_last_run", F.lit(0)) == 1) if incremental and not versions_changed else pages
+
+
+def recent_urls(rows: DataFrame, seq: str, limit: int, url: str = "url") -> DataFrame:
+    """URLs of the last `limit` rows by seq, newest first, each once, blanks left out."""
+    last = rows.orderBy(F.col(seq).desc()).limit(max(1, limit)).select(F.trim(F.coalesce(url, F.lit(""))).alias("url"), F.col(seq).alias("seq"))
+    return last.where("url <> ''").groupBy("url").agg(F.max("seq").alias("seq")).orderBy(F.col("seq").desc())

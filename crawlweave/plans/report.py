@@ -5,21 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import first_segment
 from ..operators import relational as R
 from . import policy as P
 
 MOST_LINES = 50
 
 
-def track() -> Column:
-    """The part of a site that a page belongs to."""
-    return F.when(F.col("kind").isin(P.MONEY), "commercial").when(F.col("kind").isin("article", "blog"), "content").when(F.col("kind").isin(P.UTILITY), "utility").otherwise("other")
+# First segments of paths that make a page part of a track or of a performance group.
+UTILITY_SEGMENTS = ["tag", "category", "gallery", "team", "gva_header", "footer", "author", "search"]
+MONEY_SEGMENTS = ["fasteners", "service", "services", "product", "products", "portfolio", "contact", "quote"]
+MONEY_TYPES = ["homepage", "service", "contact", "location"]
+
+
+def track(page_type: Column, url: Column) -> Column:
+    """utility, money or other: the part of a site that a page belongs to."""
+    kind, segment = F.lower(F.coalesce(page_type, F.lit(""))), first_segment(url)
+    return F.when((kind == "utility") | segment.isin(UTILITY_SEGMENTS), "utility").when(kind.isin(MONEY_TYPES) | segment.isin(MONEY_SEGMENTS), "money").otherwise("other")
+
+
+def template_group(page_type: Column, url: Column) -> Column:
+    """home, service, product, blog, taxonomy or other: the group that performance is reported by."""
+    kind, segment = F.lower(F.coalesce(page_type, F.lit(""))), first_segment(url)
+    return (
+        F.when((kind == "homepage") | (segment == ""), "home")
+        .when((kind == "service") | segment.isin("service", "services"), "service")
+        .when(segment.isin("fasteners", "product", "products", "portfolio"), "product")
+        .when((kind == "article") | segment.isin("news", "blog"), "blog")
+        .when((kind == "utility") | segment.isin(UTILITY_SEGMENTS), "taxonomy")
+        .otherwise("other")
+    )
 
 
 def sections(pages: DataFrame, issues: DataFrame, scores: DataFrame, performance: DataFrame | None = None) -> dict[str, DataFrame]:
     """Tables of the report; each has few rows."""
     p = P.completed(pages).withColumn("kind", P.page_type(True))
-    i = issues.drop("kind").join(p.select(F.col("normalized_url").alias("url"), "kind").dropDuplicates(["url"]), "url", "left").withColumn("kind", F.coalesce("kind", F.lit("global"))).withColumn("track", F.when(F.col("kind") == "global", "global").otherwise(track()))
+    i = issues.drop("kind", "page_type").join(p.select(F.col("normalized_url").alias("url"), "kind", "page_type").dropDuplicates(["url"]), "url", "left").withColumn("kind", F.coalesce("kind", F.lit("global"))).withColumn("track", F.when(F.col("kind") == "global", "global").otherwise(track(F.col("page_type"), F.col("url"))))
     band = R.bucketed(F.coalesce("confidence", F.lit(0)), [(85, "high"), (70, "medium")], "low")
     out = {
         "Totals": p.agg(F.count("*").alias("pages"), F.count_if(P.actionable()).alias("actionable"), F.count_if(F.col("is_noindex") == 1).alias("noindex"), F.round(F.coalesce(F.avg("word_count"), F.lit(0.0)), 2).alias("avg_words"), F.countDistinct("community_id").alias("communities"), F.coalesce(F.sum("bridge_flag"), F.lit(0)).alias("bridges")),
@@ -42,11 +63,16 @@ def sections(pages: DataFrame, issues: DataFrame, scores: DataFrame, performance
     few = per.withColumn("r", F.row_number().over(Window.partitionBy("issue_code").orderBy("url"))).where("r <= 3")
     out["Examples"] = few.groupBy("issue_code").agg(F.array_join(F.array_sort(F.collect_list("url")), " ").alias("urls")).orderBy("issue_code")
     if performance is not None:
-        joined = performance.join(p.select(F.col("normalized_url").alias("url"), "kind").dropDuplicates(["url"]), "url", "left").withColumn("kind", F.coalesce("kind", F.lit("other")))
-        out["Performance"] = joined.groupBy("kind").agg(F.count("*").alias("rows"), F.count("performance_score").alias("scored"), F.round(F.avg("performance_score"), 2).alias("average"))
+        out["Performance"] = performance_groups(performance, p).groupBy("template_group").agg(F.count("*").alias("rows"), F.count("performance_score").alias("scored"), F.round(F.avg("performance_score"), 2).alias("average"))
     return out
 
 
+def performance_groups(performance: DataFrame, pages: DataFrame) -> DataFrame:
+    """Performance rows with the template group of their page; by the URL alone where the page is unknown."""
+    kinds = pages.select(F.col("normalized_url").alias("url"), "page_type").dropDuplicates(["url"])
+    return performance.drop("page_type").join(kinds, "url", "left").withColumn("template_group", template_group(F.col("page_type"), F.col("url")))
+
+
 def page_performance(performance: DataFrame) -> DataFrame:
     """url, performance_score: mean over strategies, missing and zero ones as 50, truncated."""
     score = F.coalesce(F.nullif(F.col("performance_score"), F.lit(0)), F.lit(50))

@@ -56,7 +56,7 @@ OUTCOMES = [
     ("PERFORMANCE_PROVIDER_ERROR", "low", "performance_metrics", "status = 'failed'"),
     ("CRUX_PROVIDER_ERROR", "low", "crux_metrics", "status = 'failed'"),
     ("LIGHTHOUSE_BUDGET_FAIL", "medium", "lighthouse_metrics", "status = 'success' AND (performance_score < 70 OR seo_score < 70)"),
-    ("GSC_INDEX_STATE_NOT_INDEXED", "high", "index_state_history", "state IN ('not_indexed', 'excluded')"),
+    ("GSC_INDEX_STATE_NOT_INDEXED", "high", "index_state_history", "state = 'not_indexed'"),
 ]
 
 

@@ -390,7 +390,7 @@ def ordered_union_first_seen(spark, d):
 
 
 @query("""WITH a AS (SELECT l_suppkey, list_sort(list(DISTINCT l_returnflag)) AS x, list_sort(list(DISTINCT l_linestatus)) AS y FROM lineitem GROUP BY 1)
-SELECT l_suppkey, array_to_string(list_sort(list_filter(x, v -> NOT list_contains(y, v))), ',') AS only_x, array_to_string(list_sort(list_intersect(x, y)), ',') AS shared FROM a""")
+SELECT l_suppkey, array_to_string(list_sort(list_filter(x, lambda v: NOT list_contains(y, v))), ',') AS only_x, array_to_string(list_sort(list_intersect(x, y)), ',') AS shared FROM a""")
 def array_set_ops(spark, d):
     a = t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.collect_set("l_returnflag").alias("x"), F.collect_set("l_linestatus").alias("y"))
     text = lambda c: F.array_join(F.array_sort(c), ",")
@@ -426,7 +426,7 @@ def url_policy(spark, d):
 
 
 @query("""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q, lower(coalesce(nullif(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1), ''), '/')) AS path FROM pages),
-s AS (SELECT *, len(list_filter(string_split(q, '&'), x -> x <> '')) AS n, CAST(regexp_matches(q, '(^|&)page=') AS INTEGER) AS risky FROM p),
+s AS (SELECT *, len(list_filter(string_split(q, '&'), lambda x: x <> '')) AS n, CAST(regexp_matches(q, '(^|&)page=') AS INTEGER) AS risky FROM p),
 r AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE least(1.0, greatest(0.0, risky / n::DOUBLE * 0.7 + least(1.0, n / 10.0::DOUBLE) * 0.3)) END AS risk, CASE WHEN path = '/' THEN 1.0 ELSE 0.5 END AS importance, CASE WHEN path = '/' THEN 1.0 ELSE 0.25 END AS prominence FROM s)
 SELECT page_id, round(greatest(0, least(999, importance * 220 + prominence * 140 + 0.55 * 45 - risk * 130 - 14)), 4) AS priority FROM r""")
 def frontier_priority(spark, d):

@@ -10,7 +10,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalize_one
@@ -25,7 +25,7 @@ SCHEMA = (
     "h1 string, h1_count int, headings array<struct<level:int,text:string>>, word_count int, content_hash string, "
     "internal_links_out int, external_links_out int, links array<struct<href:string,text:string,region:string,nofollow:boolean,internal:boolean>>, "
     "hreflang array<struct<lang:string,href:string>>, rel_next string, rel_prev string, "
-    "image_count int, images array<struct<src:string,alt:string,width:string,height:string,loading:string,srcset:boolean>>, "
+    "image_count int, images array<struct<src:string,alt:string,width:string,height:string,loading:string,srcset:boolean,heading:string>>, "
     "videos array<struct<src:string,poster:string,kind:string>>, schema_types array<string>, schema_parse_error_count int, "
     "og map<string,string>, script_count int, module_script_count int, data_nosnippet_count int, is_noindex int, is_nofollow int"
 )
@@ -77,7 +77,7 @@ class Page(HTMLParser):
             region = next((r for r in reversed(self.open) if r in REGIONS), "body")
             self.links.append([a["href"].strip(), "", region, "nofollow" in a.get("rel", "").lower().split()])
         elif tag == "img":
-            self.images.append({"src": a.get("src") or a.get("data-src", ""), "alt": a.get("alt"), "width": a.get("width", ""), "height": a.get("height", ""), "loading": a.get("loading", ""), "srcset": "srcset" in a})
+            self.images.append({"src": a.get("src") or a.get("data-src", ""), "alt": a.get("alt"), "width": a.get("width", ""), "height": a.get("height", ""), "loading": a.get("loading", ""), "srcset": "srcset" in a, "heading": self.headings[-1][1][:180] if self.headings else ""})
         elif tag == "video":
             self.videos.append({"src": a.get("src", ""), "poster": a.get("poster", ""), "kind": "video"})
         elif tag == "source" and "video" in self.open and self.videos and not self.videos[-1]["src"]:
@@ -202,12 +202,48 @@ def _names() -> list[str]:
     return names
 
 
+# Marks of file names that say nothing, formats, and the width of a large image.
+PLAIN_FILES, FORMATS, LARGE = "img|image|photo|dsc|screenshot", ["jpg", "jpeg", "png", "webp", "gif", "avif", "svg"], 1200
+
+
+def image_facts(images: Column) -> Column:
+    """Images with the quality of their text and file name, their format, and how often the page uses them. Images without a source are left out."""
+    path = lambda i: F.regexp_replace(i["src"], r"[?#].*$", "")
+    name = lambda i: F.lower(F.regexp_extract(path(i), r"([^/]*)/*$", 1))
+    alt = lambda i: F.lower(F.trim(F.coalesce(i["alt"], F.lit(""))))
+    shown = F.filter(images, lambda i: F.trim(F.coalesce(i["src"], F.lit(""))) != "")
+    fmt = lambda i: F.regexp_extract(name(i), r"[^.]\.([a-z0-9_-]+)$", 1)
+    return F.transform(
+        shown,
+        lambda i: F.struct(
+            i["src"].alias("src"),
+            F.when(alt(i) == "", "missing").when(F.length(alt(i)) < 4, "weak").when(alt(i).rlike(r"^(image|photo|picture|img|logo|hero)\s*\d*$"), "generic").otherwise("descriptive").alias("alt_quality"),
+            F.when(name(i) == "", "missing").when(name(i).rlike(PLAIN_FILES), "generic").when(name(i).rlike("[-_]"), "descriptive").otherwise("basic").alias("filename_quality"),
+            fmt(i).alias("format"),
+            fmt(i).isin(FORMATS).alias("format_supported"),
+            (i["heading"] != "").alias("near_heading"),
+            F.coalesce(i["width"].try_cast("int"), F.lit(0)).alias("width"),
+            F.size(F.filter(shown, lambda o: o["src"] == i["src"])).alias("uses"),
+        ),
+    )
+
+
 def image_scores(facts: DataFrame, key: str) -> DataFrame:
-    """key and discoverability (0..100): weighted shares of images with alternative text, sizes, sources and lazy loading."""
-    image = lambda condition: F.coalesce(F.aggregate(F.transform("images", lambda i: condition(i).cast("double")), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))) / F.nullif(F.size("images"), F.lit(0)), F.lit(1.0))
-    share = {"alt": image(lambda i: F.trim(F.coalesce(i["alt"], F.lit(""))) != ""), "size": image(lambda i: (i["width"] != "") & (i["height"] != "")), "src": image(lambda i: i["src"] != ""), "lazy": image(lambda i: i["loading"] == "lazy"), "srcset": image(lambda i: i["srcset"])}
-    score = share["alt"] * 40 + share["size"] * 20 + share["src"] * 25 + share["lazy"] * 5 + share["srcset"] * 10
-    return facts.select(key, F.size("images").alias("images"), F.bround(score, 0).cast("int").alias("discoverability"))
+    """key, images, their ratios and discoverability (0..100). Without images the ratios of texts, names and formats are 1, the others 0."""
+    rows = facts.select(key, image_facts(F.col("images")).alias("i"))
+    n = F.size("i")
+    share = lambda condition, empty: F.when(n == 0, F.lit(empty)).otherwise(F.size(F.filter("i", condition)) / n)
+    ratios = {
+        "alt_coverage": share(lambda i: i["alt_quality"] != "missing", 1.0),
+        "descriptive_alt_ratio": share(lambda i: i["alt_quality"] == "descriptive", 1.0),
+        "descriptive_filename_ratio": share(lambda i: i["filename_quality"] == "descriptive", 1.0),
+        "supported_format_ratio": share(lambda i: i["format_supported"], 1.0),
+        "contextual_ratio": share(lambda i: i["near_heading"], 0.0),
+        "large_image_ratio": share(lambda i: i["width"] >= LARGE, 0.0),
+        "asset_reuse_ratio": share(lambda i: i["uses"] > 1, 0.0),
+    }
+    points = sum((r * w for r, w in zip(ratios.values(), (25.0, 10.0, 20.0, 15.0, 10.0, 10.0, 10.0), strict=True)), F.lit(0.0))
+    return rows.select(key, n.alias("images"), *[r.alias(k) for k, r in ratios.items()], F.bround(points, 0).cast("int").alias("discoverability"))
 
 
 def edges(facts: DataFrame, source: str = "url") -> DataFrame:

@@ -49,7 +49,8 @@ def test_scope(spark):
     assert values(spark, hosts, C.in_scope(x, "www.example.com")) == [True, True, False, False]
     assert values(spark, hosts, C.in_scope(x, "example.com", "host_only")) == [True, False, False, False]
     assert values(spark, hosts, C.in_scope(x, "example.com", "all_subdomains")) == [True, True, True, False]
-    assert values(spark, hosts, C.in_scope(x, "example.com", "custom_allowlist", ["other.com"])) == [True, False, False, True]
+    assert values(spark, hosts, C.in_scope(x, "example.com", "custom_allowlist", ["https://other.com/x"])) == [True, True, False, True]
+    assert values(spark, hosts, C.in_scope(x, "example.com", "host_only", redirect_host="Other.com")) == [True, False, False, True]
 
 
 def test_policy(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -17,7 +18,7 @@ def plain(value):
         return None
     if isinstance(value, bool):
         return float(value)
-    return round(float(value), 5) if isinstance(value, (int, float)) else str(value)
+    return round(float(value), 5) if isinstance(value, (int, float, Decimal)) else str(value)
 
 
 def rows_of(columns, rows):

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from crawlweave.functions import columns
 from crawlweave.operators import webgraph as W
 from crawlweave.plans import insights, queue, resolution
 from crawlweave.sources import html, robots, sitemaps, tables
@@ -147,8 +149,23 @@ def test_queue(spark):
     urls = spark.createDataFrame([("u1", 5.0, 1, "k"), ("u2", 9.0, 2, "k"), ("u3", 1.0, 3, "z"), ("u1", 5.0, 4, "k")], "url string, priority double, seq int, cluster_key string")
     assert [r["url"] for r in queue.frontier(urls).collect()] == ["u2", "u1", "u3"]
     assert [r["url"] for r in queue.frontier(urls, budget=1).collect()] == ["u2", "u3"]
-    evidence = spark.createDataFrame([("u", "failed", "psi", 1), ("u", "success", "psi", 2), ("u", "success", "crux", 3)], "url string, status string, family string, seq int")
-    assert queue.measurement_status(evidence).first()["family"] == "crux"
+
+
+def test_measurement_status(spark):
+    urls = spark.createDataFrame([("u",), ("v",), ("w",)], "url string")
+    rows = [("u", "no_data", "", 1), ("u", "success", "", 2), ("v", "failed_http", "HTTP 500", 3), ("v", "no_data", "", 4), ("x", "failed_http", "RuntimeError: worker failure", 5), ("v", "skipped_missing_key", "", 6)]
+    evidence = queue.field_evidence(spark.createDataFrame(rows, "url string, status string, error_message string, seq int"))
+    got = {r["url"]: (r["status"], r["family"]) for r in queue.measurement_status(urls, evidence).collect()}
+    assert got == {"u": ("ok", "none"), "v": ("provider_error", "http"), "w": (queue.NOT_ATTEMPTED, "not_attempted_policy"), "x": ("provider_runtime_error", "runtime")}
+
+
+def test_targets(spark):
+    page = lambda i, kind, **more: Row(**({"page_id": i, "normalized_url": f"https://e.com/{i}", "page_type": kind, "status_code": 200, "content_type": "text/html", "title": "T", "h1": "H", "h1_count": 1, "canonical_url": "c", "word_count": 500, "internal_links_out": 5, "crawl_depth": 2, "render_gap_score": 0, "shell_score": 0} | more))
+    pages = spark.createDataFrame([page(1, "article"), page(2, "homepage", crawl_depth=0), page(3, "service", render_gap_score=95), page(4, "service", crawl_depth=1), page(5, "service", status_code=404), page(6, "other", shell_score=50, word_count=10), page(7, "tag", shell_score=30, word_count=60, title="", h1="", h1_count=0)])
+    assert [r["page_id"] for r in queue.measurement_targets(pages, 9).collect()] == [2, 4, 1, 6, 7, 3]
+    got = [(r["page_id"], r["stage"], r["escalation"]) for r in queue.render_targets(pages, 9).collect()]
+    assert got == [(6, 0, 55), (7, 0, 51), (2, 1, 10), (3, 1, 10), (1, 1, 0), (4, 1, 10)]
+    assert [r["page_id"] for r in queue.render_targets(pages, 3).collect()] == [6, 7, 2]
 
 
 def test_state(spark):
@@ -176,11 +193,72 @@ def test_streams(spark, tmp_path, data):
     assert got == {r["user_id"]: r["e"] for r in events.groupBy("user_id").agg(F.max("event_id").alias("e")).collect()}
 
 
-def test_resolution(spark):
-    df = spark.createDataFrame([("a", "b", 1), ("a", "", 1), ("a", "b", 0), ("", "", 1), ("a", "a", 1)], "raw string, rendered string, used int")
-    got = [tuple(r[0]) for r in df.select(resolution.effective(F.col("raw"), F.col("rendered"), F.col("used"))).collect()]
-    assert got == [("b", "rendered"), ("a", "raw_fallback"), ("a", "raw"), ("", "missing"), ("a", "both")]
-    states = spark.createDataFrame([("URL is not indexed",), ("Submitted and indexed",), ("Excluded by noindex tag",), ("",)], "s string")
-    assert [r[0] for r in states.select(resolution.index_state(F.col("s"))).collect()] == ["not_indexed", "indexed", "excluded", "unknown"]
-    pages = spark.createDataFrame([("u", "<html><script src='/_next/x'></script><script id='__NEXT_DATA__'></script></html>")], "u string, h string")
-    assert pages.select(resolution.platform(F.col("h"))).first()[0] == "nextjs"
+def one(df, column):
+    return [tuple(r[0]) if hasattr(r[0], "__fields__") else r[0] for r in df.select(column).collect()]
+
+
+def test_effective_facts_and_canonicals(spark):
+    c = F.col
+    df = spark.createDataFrame([("a", "b", True), ("a", "", True), ("a", "b", False), ("", "", True), (None, None, None)], "raw string, rendered string, used boolean")
+    assert one(df, resolution.effective(c("raw"), c("rendered"), c("used"), "raw_fallback")) == [("b", "rendered"), ("a", "raw_fallback"), ("a", "raw"), ("", "raw_fallback"), ("", "raw")]
+    rows = [("r", ["a"], "p", True), ("p", ["a", "p"], "p", True), ("a", ["a", "b"], "p", True), ("r", ["a", "b"], "p", True), ("r", ["a"], "p", False), ("", [], "p", True), ("a", ["a"], "p", True)]
+    df = spark.createDataFrame(rows, "raw string, many array<string>, url string, used boolean")
+    assert one(df, resolution.resolve_canonical(c("raw"), c("many"), c("url"), c("used"))) == [
+        ("a", "resolver:rendered_single", 1, 0), ("p", "resolver:rendered_self_match", 0, 0), ("a", "resolver:raw_agreement_fallback", 0, 0), ("", "resolver:rendered_multiple_unresolved", 1, 1), ("r", "raw", 0, 0), ("", "unresolved", 0, 0), ("a", "resolver:rendered_single", 0, 0),
+    ]
+
+
+def test_render_gap_and_escalation(spark):
+    c = F.col
+    rows = [(50, 400, "A", "B", "x", "y", 1, 2, 1, 30, True), (500, 520, "A", "A", "", "y", 1, 1, 10, 30, True), (50, 400, "A", "B", "x", "y", 1, 2, 1, 30, False)]
+    df = spark.createDataFrame(rows, "w int, rw int, t string, rt string, k string, rk string, h int, rh int, l int, rl int, done boolean")
+    gap = resolution.render_gap({"words": c("w"), "title": c("t"), "canonical": c("k"), "h1_count": c("h"), "links": c("l")}, {"words": c("rw"), "title": c("rt"), "canonical": c("rk"), "h1_count": c("rh"), "links": c("rl")}, c("done"))
+    assert one(df, gap) == [
+        (100, "raw thin but rendered rich; title mismatch; canonical mismatch; h1 mismatch; rendered links much richer"),
+        (0, "raw and rendered signals are aligned"),
+        (0, "render not available"),
+    ]
+
+
+def test_index_states_and_families(spark):
+    c = F.col
+    rows = [("", "URL is not indexed", "", "", ""), ("", "Submitted and indexed", "BLOCKED_BY_ROBOTS_TXT", "", ""), ("", "Excluded by noindex tag", "", "", ""), ("", "Submitted URL blocked by robots.txt", "", "", ""), ("PASS", "", "INDEXING_ALLOWED", "", ""), ("PASS", "", "INDEXING_ALLOWED", "", "BLOCKED_4XX"), ("NEUTRAL", "", "", "", ""), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "v string, c string, i string, r string, f string")
+    assert one(df, resolution.index_state(c("v"), c("c"), c("i"), c("r"), c("f"))) == ["not_indexed", "indexed", "not_indexed", "not_indexed", "indexed", "not_indexed", "unknown", "unknown"]
+    df = spark.createDataFrame([("RuntimeError: x",), ("Read timed out",), ("HTTP 429",), ("no CrUX record",), ("missing key",), ("HTTP 500",), (None,)], "m string")
+    assert one(df, resolution.error_family(c("m"))) == ["runtime", "timeout", "quota", "no_fcp", "not_attempted_policy", "http", "http"]
+    df = spark.createDataFrame([("Timeout 30s",), ("Playwright import failed",), ("navigation error",), ("render failure: x",), ("odd",), ("",)], "m string")
+    assert one(df, resolution.render_error_family(c("m"))) == ["timeout", "environment", "navigation", "render_failure", "runtime", ""]
+
+
+def test_platforms(spark):
+    rows = [("<script src='/_next/static/x'></script><script id='__NEXT_DATA__'></script>", "e.com", {}), ("cdn.shopify.com shopify-section", "a.myshopify.com", {"server": "cloudflare", "cf-ray": "1"}), ("", "e.com", {"server": "cloudflare"}), ("wp-json", "wp.e.com", {}), ("wp-json wordpress", "e.com", {}), (None, None, None)]
+    df = spark.createDataFrame(rows, "h string, host string, headers map<string,string>")
+    assert one(df, resolution.platform(F.col("h"), F.col("host"), F.col("headers"))) == [("nextjs", 75), ("shopify", 99), ("cloudflare", 55), None, ("wordpress", 50), None]
+
+
+def test_citation_and_governance(spark):
+    rows = [Row(page_id=1, page_type="service", title="T", h1_count=1, word_count=400, internal_links_out=5, is_noindex=0, governance_bingbot_allowed=1, max_snippet_directive="", schema_validation_score=90, has_nosnippet_directive=0), Row(page_id=2, page_type="other", title="", h1_count=0, word_count=10, internal_links_out=0, is_noindex=1, governance_bingbot_allowed=0, max_snippet_directive="0", schema_validation_score=50, has_nosnippet_directive=1)]
+    got = resolution.citation(resolution.governance(spark.createDataFrame(rows))).orderBy("page_id").collect()
+    assert (got[0]["citation_score"], got[0]["citation_reasons"]) == (100, ["answer_like_visible_content"])
+    assert (got[1]["citation_score"], got[1]["citation_reasons"]) == (0, ["noindex", "bingbot_blocked", "nosnippet", "max_snippet_non_positive", "weak_internal_prominence", "schema_validation_weak"])
+    summary = resolution.governance_summary(spark.createDataFrame(rows)).first()
+    assert (summary["total"], summary["bingbot_blocked"], summary["googlebot_blocked"], summary["preview_restricted_diagnostic_pages"], summary["preview_restricted_pages"]) == (2, 1, 0, 1, 0)
+
+
+def test_scoped_directives(spark):
+    rows = [(["index, nofollow"], ["noindex"], ["googlebot: nosnippet, max-image-preview:none", "bingbot: noarchive", "max-image-preview: standard"])]
+    df = spark.createDataFrame(rows, "r array<string>, s array<string>, h array<string>")
+    applied = columns.applied_directives(F.col("r"), F.col("s"), F.col("h"), "googlebot")
+    assert one(df, F.array_join(applied, "|")) == ["index|max-image-preview: standard|max-image-preview:none|nofollow|noindex|nosnippet"]
+    assert one(df, columns.strictest_preview(applied)) == ["none"]
+    assert one(df, F.array_join(columns.applied_directives(F.col("r"), F.col("s"), F.col("h"), "generic"), "|")) == ["index|max-image-preview: standard|nofollow"]
+
+
+def test_image_scores(spark):
+    page = """<h2>Gallery</h2><img src="/a/red-door.png" alt="A red door" width="1600"><img src="/a/red-door.png" alt="img"><img src="/photo1.bmp"><img alt="no source">"""
+    facts = html.extract(spark.createDataFrame([(1, "https://e.com/x", page), (2, "https://e.com/y", "")], "id int, url string, html string"), "id", "url", "html")
+    got = {r["id"]: r for r in html.image_scores(facts, "id").collect()}
+    # 2/3 texts, 1/3 descriptive, 2/3 names, 2/3 formats, all under a heading, 1/3 large, 2/3 reused.
+    assert (got[1]["images"], got[1]["discoverability"]) == (3, round(25 * 2 / 3 + 10 / 3 + 20 * 2 / 3 + 15 * 2 / 3 + 10 + 10 / 3 + 10 * 2 / 3))
+    assert (got[2]["images"], got[2]["discoverability"]) == (0, 70)
