@@ -144,6 +144,24 @@ def architecture(pages: DataFrame, metrics: DataFrame, scores: DataFrame, links:
     return {"nodes": nodes, "weak_support": weak, "overloaded_hubs": hubs, "disconnected": apart, "communities": sizes.join(dominant, "community_id")}
 
 
+# Counters of a provider's summary, and of a crawl.
+PROVIDER_COUNTERS = ["attempts", "http_attempts", "retries", "timeouts", "success", "no_data", "failed_http", "skipped_missing_key"]
+CRAWL_COUNTERS = ["fetched", "fetch_retries_total", "fetch_retry_wait_ms_total", "fetch_retry_after_used", "fetch_retryable_status_total", "fetch_network_retries_total", "fetch_retry_budget_exhausted", "reused_from_cache", "not_modified", "reparsed", "rerendered"]
+
+
+def provider_telemetry(events: DataFrame) -> DataFrame:
+    """event_id, provider and its counters from the JSON of provider summaries; what is missing or no number is 0."""
+    detail = F.from_json("detail_json", ", ".join(f"{c} string" for c in [*PROVIDER_COUNTERS, "wait_seconds"]))
+    rows = events.where("event_type = 'provider_summary'").withColumn("d", detail)
+    counters = [F.coalesce(F.col(f"d.{c}").try_cast("int"), F.lit(0)).alias(c) for c in PROVIDER_COUNTERS]
+    return rows.select("event_id", F.col("stage").alias("provider"), *counters, F.coalesce(F.col("d.wait_seconds").try_cast("double"), F.lit(0.0)).alias("wait_seconds"))
+
+
+def crawl_counters(increments: DataFrame) -> DataFrame:
+    """One row: the sum of each counter over rows (stat, n), 0 where there is none."""
+    return increments.agg(*[F.coalesce(F.sum(F.when(F.col("stat") == c, F.col("n"))), F.lit(0)).cast("long").alias(c) for c in CRAWL_COUNTERS])
+
+
 def export_csv(df: DataFrame) -> str:
     """CSV text of at most MOST_EXPORT rows."""
     return df.limit(MOST_EXPORT).toPandas().to_csv(index=False)

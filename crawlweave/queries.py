@@ -43,9 +43,9 @@ def scan_filter_project(spark, d):
     return o.select("o_orderkey", "o_custkey", "o_totalprice", F.coalesce("o_orderpriority", F.lit("")).alias("priority"))
 
 
-@query("SELECT p_partkey, p_name, p_type FROM part WHERE lower(p_name) LIKE '%a_t%' OR lower(p_brand) LIKE '%a_t%' OR lower(p_type) LIKE '%a_t%'")
+@query("SELECT p_partkey, p_name, p_type FROM part WHERE lower(p_name) LIKE '%d_w%' OR lower(p_brand) LIKE '%d_w%' OR lower(p_type) LIKE '%d_w%'")
 def text_search_or(spark, d):
-    return R.text_search(t(spark, d, "part"), ["p_name", "p_brand", "p_type"], "A_T").select("p_partkey", "p_name", "p_type")
+    return R.text_search(t(spark, d, "part"), ["p_name", "p_brand", "p_type"], "D_W").select("p_partkey", "p_name", "p_type")
 
 
 @query("SELECT page_id, url, regexp_matches(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1)), '\\.(jpg|jpeg|png|gif|svg|pdf|zip|ico|webp)$') AS binary_asset, url LIKE '%.html%' AS has_html FROM pages")
@@ -88,9 +88,10 @@ def semi_exists(spark, d):
     return t(spark, d, "customer").select("c_custkey", "c_name").join(big, "c_custkey", "left_semi")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def anti_missing(spark, d):
-    return t(spark, d, "customer").select("c_custkey", "c_name").join(t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    big = t(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return t(spark, d, "customer").select("c_custkey", "c_name").join(big, "c_custkey", "left_anti")
 
 
 @query("SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1994-01-01')")
@@ -370,10 +371,10 @@ def plan_order(spark, d):
 # --- sets --------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT l_partkey AS partkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")
+@query("SELECT l_partkey AS partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 3 EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 5")
 def set_difference(spark, d):
-    li = t(spark, d, "lineitem").select(F.col("l_partkey").alias("partkey"), "l_returnflag")
-    return li.where("l_returnflag = 'R'").select("partkey").subtract(li.where("l_returnflag = 'A'").select("partkey"))
+    li = t(spark, d, "lineitem").select(F.col("l_partkey").alias("partkey"), "l_returnflag", "l_quantity")
+    return li.where("l_returnflag = 'R' AND l_quantity < 3").select("partkey").subtract(li.where("l_returnflag = 'A' AND l_quantity < 5").select("partkey"))
 
 
 @query("SELECT DISTINCT k FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier)")
@@ -436,7 +437,12 @@ def frontier_priority(spark, d):
     return t(spark, d, "pages").select("page_id", C.frontier_priority(signals, F.lit(1)).alias("priority"))
 
 
-@query()
+_TRACKING = ", ".join(f"'{x}'" for x in sorted(C.TRACKING))
+
+
+@query(f"""WITH u AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) AS scheme, lower(regexp_extract(url, '//([^/?#]*)', 1)) AS host, regexp_extract(url, '//[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages)
+SELECT page_id, scheme || '://' || host || '/' || array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/') || CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END AS normalized
+FROM (SELECT *, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND lower(string_split(x, '=')[1]) NOT IN ({_TRACKING}))) AS k FROM u)""")
 def url_normalize(spark, d):
     return t(spark, d, "pages").select("page_id", C.normalize_url("url").alias("normalized"))
 
@@ -495,7 +501,7 @@ def components(spark, d):
     return G.communities(_nations(spark, d), _trade(spark, d))
 
 
-_STEPS = 20
+_STEPS = 80
 
 
 @query(f"""WITH RECURSIVE {TRADE_SQL}, n AS (SELECT n_nationkey AS node FROM nation), deg AS (SELECT src, count(*) AS k FROM e GROUP BY src), c AS (SELECT count(*) AS n FROM n),
@@ -504,7 +510,7 @@ SELECT i + 1, n.node, (0.15 / (SELECT n FROM c) + 0.85 * coalesce((SELECT sum(p.
 FROM n, (SELECT max(i) AS i FROM it) WHERE i < {_STEPS})
 SELECT node, round(score / (SELECT sum(score) FROM it WHERE i = {_STEPS}), 6) AS pagerank FROM it WHERE i = {_STEPS}""")
 def pagerank(spark, d):
-    return G.pagerank(_nations(spark, d), _trade(spark, d), _STEPS, -1.0).select("node", r6(F.col("pagerank")).alias("pagerank"))
+    return G.pagerank(_nations(spark, d), _trade(spark, d)).select("node", r6(F.col("pagerank")).alias("pagerank"))
 
 
 @query(f"""WITH RECURSIVE {TRADE_SQL}, b(s, node, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION SELECT b.s, e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 24),
@@ -514,7 +520,12 @@ def closeness(spark, d):
     return G.closeness(_nations(spark, d), _trade(spark, d)).select("node", r6(F.col("closeness")).alias("closeness"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TRADE_SQL}, b(s, node, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION SELECT b.s, e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 24),
+m AS (SELECT s, node, min(depth) AS depth FROM b GROUP BY ALL),
+w(level, s, node, paths) AS (SELECT 0, n_nationkey, n_nationkey, 1::DOUBLE FROM nation UNION ALL
+SELECT * FROM (SELECT any_value(w.level) + 1 AS level, w.s, e.dst, sum(w.paths) AS paths FROM w JOIN e ON e.src = w.node JOIN m ON m.s = w.s AND m.node = e.dst AND m.depth = w.level + 1 WHERE w.level < 24 GROUP BY w.s, e.dst)),
+k AS (SELECT sv.node AS v, sum(sv.paths * vt.paths / st.paths) AS part FROM w sv JOIN w vt ON vt.s = sv.node JOIN w st ON st.s = sv.s AND st.node = vt.node AND st.level = sv.level + vt.level WHERE sv.s <> sv.node AND vt.node <> sv.node AND sv.s <> vt.node GROUP BY sv.node)
+SELECT n_nationkey AS node, round(coalesce(part, 0) / (24 * 23), 6) AS betweenness FROM nation LEFT JOIN k ON k.v = n_nationkey""")
 def betweenness(spark, d):
     return G.betweenness(_nations(spark, d), _trade(spark, d)).select("node", r6(F.col("betweenness")).alias("betweenness"))
 
@@ -581,12 +592,12 @@ def keyed_upsert(spark, d):
     return merged(old, new, ["c_custkey"])
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN o_orderdate < TIMESTAMP '1995-01-01' AND trim(l_returnflag) <> '{}' THEN '{}' ELSE l_returnflag END AS payload FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN o_orderdate < TIMESTAMP '1995-01-01' AND trim(l_returnflag) <> '{}' THEN '{}' ELSE l_returnflag END AS payload FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def retention_blanking(spark, d):
     from .sources.tables import blank_old
 
     runs = t(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("started_at"))
-    rows = t(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("run_id"), "l_linenumber", F.col("l_returnflag").alias("payload"))
+    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), "l_linenumber", F.col("l_returnflag").alias("payload"))
     return blank_old(rows, runs, "payload", "1995-01-02", 1).select(F.col("run_id").alias("l_orderkey"), "l_linenumber", "payload")
 
 
@@ -613,10 +624,13 @@ def frontier_order(spark, d):
     return frontier(urls, budget=2, most=100).select(F.col("url").alias("o_orderkey"), F.col("priority").alias("o_totalprice"))
 
 
-@query("SELECT event_type AS bot, count(*) AS blocked FROM events WHERE value < 20 GROUP BY event_type")
+@query("SELECT bot, count(*) AS blocked, array_to_string(list_sort(list(event_id))[1:3], ',') AS sample FROM (SELECT unnest(['googlebot', 'bingbot', 'gptbot']) AS bot, unnest([event_id % 3, event_id % 7, event_id % 2]) AS open, event_id FROM events WHERE value < 20) WHERE open = 0 GROUP BY bot")
 def governance_blocked(spark, d):
     from .plans.resolution import governance_counts
 
-    kinds = [r[0] for r in t(spark, d, "events").select("event_type").distinct().orderBy("event_type").limit(50).collect()]
-    e = t(spark, d, "events").select(F.col("event_id").alias("normalized_url"), *[F.when((F.col("event_type") == k) & (F.col("value") < 20), 0).otherwise(1).alias(k) for k in kinds])
-    return governance_counts(e, kinds).select("bot", "blocked")
+    flags = {"googlebot": 3, "bingbot": 7, "gptbot": 2}
+    e = t(spark, d, "events").where("value < 20").select(F.col("event_id").alias("normalized_url"), *[(F.col("event_id") % n).alias(k) for k, n in flags.items()])
+    return governance_counts(e, list(flags), samples=3).select("bot", "blocked", F.array_join(F.transform("sample", lambda x: x.cast("string")), ",").alias("sample"))
+
+
+from . import queries_site  # noqa: E402, F401  registers the queries over a made-up site

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalize_one
@@ -98,3 +98,54 @@ def deltas(found: DataFrame, pages: DataFrame, as_of: str, stale_days: int = 365
     for c in counts[1:]:
         out = out.join(c.withColumn("__k", F.lit(0)), "__k")
     return out.drop("__k")
+
+
+# Buckets of pages by the first segment of their path.
+BUCKETS = {"home": ["home", ""], "service": ["service", "services"], "article": ["blog", "news", "insights", "article", "articles"], "commercial": ["product", "products", "location", "locations"]}
+
+
+def bucket(url: Column) -> Column:
+    from ..functions.columns import first_segment
+
+    segment, out = first_segment(url), None
+    for name, segments in BUCKETS.items():
+        out = F.when(segment.isin(segments), name) if out is None else out.when(segment.isin(segments), name)
+    return out.otherwise("other")
+
+
+def hreflang_pairs(rows: DataFrame, url: str, links: str = "hreflang") -> DataFrame:
+    """Distinct (url, lang, href) of language links that have both."""
+    exploded = rows.select(F.col(url).alias("url"), F.explode(links).alias("l")).select("url", F.lower(F.trim("l.lang")).alias("lang"), F.trim("l.href").alias("href"))
+    return exploded.where("lang <> '' AND href <> ''").distinct()
+
+
+def hreflang_mismatches(entries: DataFrame, pages: DataFrame) -> DataFrame:
+    """(url, lang, href) that sitemaps give and pages don't."""
+    return hreflang_pairs(entries.where("entry_kind = 'url'"), "url").subtract(hreflang_pairs(pages, "normalized_url"))
+
+
+def extension_coverage(entries: DataFrame) -> DataFrame:
+    """bucket, extension, n: url entries with images or videos by kind of page."""
+    rows = entries.where("entry_kind = 'url'").select(bucket(F.col("url")).alias("bucket"), F.explode(F.filter(F.array(F.when(F.size("images") > 0, F.lit("image")), F.when(F.size("videos") > 0, F.lit("video"))), lambda x: x.isNotNull())).alias("extension"))
+    return rows.groupBy("bucket", "extension").agg(F.count("*").alias("n"))
+
+
+def measures(entries: DataFrame, pages: DataFrame, domain: str, as_of: str) -> DataFrame:
+    """One row: `deltas` over the pages that work, on-page assets, language pairs on either side and those only sitemaps give, and entries outside the site."""
+    from ..functions.columns import host, in_scope
+
+    live = pages.where(F.col("status_code").between(200, 399))
+    urls = entries.where("entry_kind = 'url'")
+    parts = [
+        deltas(entries, live, as_of),
+        live.agg(F.coalesce(F.sum("image_count"), F.lit(0)).alias("page_images"), F.coalesce(F.sum(F.size("videos")), F.lit(0)).alias("page_videos")),
+        urls.agg(F.count_if(~in_scope(host(F.col("url")), domain)).alias("scope_violations")),
+        hreflang_pairs(urls, "url").agg(F.count("*").alias("sitemap_hreflang_pairs")),
+        hreflang_pairs(live, "normalized_url").agg(F.count("*").alias("page_hreflang_pairs")),
+        hreflang_mismatches(entries, live).agg(F.count("*").alias("hreflang_mismatches")),
+    ]
+    # Each of these is one row.
+    out = parts[0].withColumn("__k", F.lit(0))
+    for c in parts[1:]:
+        out = out.join(c.withColumn("__k", F.lit(0)), "__k")
+    return out.drop("__k")
