@@ -766,7 +766,7 @@ def page_classes(spark, d):
 def text_words(spark, d):
     # Texts are cut to ASCII, where both engines agree on what a word is.
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9_ ]", " ")
-    return t(spark, d, "documents").select("doc_id", C.visible_words(text).cast("long").alias("n"), F.lower(C.squeezed(text)).alias("plain"))
+    return t(spark, d, "documents").select("doc_id", F.size(C.visible_words(text)).cast("long").alias("n"), F.lower(C.squeezed(text)).alias("plain"))
 
 
 @query("SELECT doc_id, sha256(md5(coalesce(text, '')) || '|page|v2') AS k FROM documents")
