@@ -30,7 +30,9 @@ MIN_SHARE = 0.01
 #: Bits of a filter for each n-gram it holds, and probes.
 BITS_PER_GRAM, PROBES = 16, 4
 #: Characters that are handled at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
+#: Labels up to which their table is broadcast; beyond it the join shuffles.
+BROADCAST_LABELS = 10_000
 
 UNKNOWN = "und"
 
@@ -84,14 +86,12 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     letters = _letters()
     for owners, within, joined in _slices(texts):
         points = np.frombuffer(("\x00" + joined.lower()).encode("utf-32-le"), dtype="<u4")
-        part = np.cumsum(points == 0) - 1
-        owner = np.asarray(owners, dtype=np.int64)[part]
-        # The NUL before a part is a space, but not where the part goes on within a word.
-        false = (points == 0) & np.asarray(within, dtype=bool)[part]
+        begins = np.flatnonzero(points == 0)
+        owner = np.repeat(np.asarray(owners, dtype=np.int32), np.diff(np.append(begins, len(points))))
         code = np.where(letters[points], points, 32).astype(np.uint64)
         keep = np.ones(len(code), dtype=bool)
         keep[1:] = (code[1:] != 32) | (code[:-1] != 32) | (points[1:] == 0)
-        code, owner, false = code[keep], owner[keep], false[keep]
+        code, owner = code[keep], owner[keep]
         n = len(code) - GRAM + 1
         if n <= 0:
             continue
@@ -102,7 +102,12 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             hashed ^= hashed >> np.uint64(29)
         same = owner[:n] == owner[GRAM - 1 : GRAM - 1 + n]
         inner = code[1 : 1 + n] != 32
-        use = same & inner & ~false[:n]
+        use = same & inner
+        if any(within):
+            # The NUL before a part is a space, but not where the part goes on within a word.
+            false = np.zeros(len(keep), dtype=bool)
+            false[begins[np.asarray(within, dtype=bool)]] = True
+            use &= ~false[keep][:n]
         yield hashed[use], owner[:n][use]
 
 
@@ -181,7 +186,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     # One row for each label, joined: the plan does not grow with their number.
     facts = [(v, i, int(min(1, sample_docs / counts[v]) * scale), max(2, int(MIN_SHARE * min(counts[v], sample_docs))) if counts[v] > 1 else 1) for i, v in enumerate(langs)]
     per = labelled.sparkSession.createDataFrame(facts, "lang string, i int, rate int, least int")
-    chosen = rows.join(per, "lang").where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(7)), F.lit(scale)) < F.col("rate"))
+    few = len(facts) <= BROADCAST_LABELS
+    chosen = rows.join(F.broadcast(per) if few else per, "lang").where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(7)), F.lit(scale)) < F.col("rate"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,8 +206,9 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
                 h, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i), pa.int32()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "docs"])
 
+    least = per.select(F.col("i").alias("lang"), "least")
     counted = chosen.select("i", "text").mapInArrow(emit, "lang int, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
-    kept = counted.join(per.select(F.col("i").alias("lang"), "least"), "lang").where("docs >= least").select("lang", "gram").toPandas()
+    kept = counted.join(F.broadcast(least) if few else least, "lang").where("docs >= least").select("lang", "gram").toPandas()
     sets = [kept.gram[kept.lang == i].to_numpy(dtype=np.int64).view(np.uint64) for i in range(len(langs))]
     return Filters.build(langs, sets)
 
