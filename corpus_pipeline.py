@@ -55,7 +55,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     told = language_id.identify(docs.withColumnsRenamed(own), model, text=own["text"])
     short = F.regexp_count(F.col(own["text"]), F.lit(r"\p{L}")) < SCORED_LETTERS
-    kept = told.where((F.col("lang_pred") != language_id.UNKNOWN) & (short | (F.col("score") >= LEAST_LANGUAGE_SCORE)))
+    kept = told.where((F.col("lang_pred") != language_id.UNKNOWN) & ((F.col("score") >= LEAST_LANGUAGE_SCORE) | short))
     return kept.select(*[F.col(new).alias(old) for old, new in own.items()])
 
 
