@@ -31,8 +31,8 @@ STEPS = 1 << 16
 BUCKET_CHARS = 4_000_000
 #: Buckets at most: each is read as a stream, so that its size bounds no memory.
 MOST_BUCKETS = 2000
-#: Terms whose draws are made at once.
-BLOCK = 8192
+#: Terms whose draws are made at once, and words whose hashes a task remembers at most.
+BLOCK, MOST_HASHES = 8192, 250_000
 
 
 def _gamma_quantiles() -> np.ndarray:
@@ -113,7 +113,7 @@ def term_counts(text: str, ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarra
     import xxhash
 
     words = text.encode().translate(LOWER).split()
-    if len(ids) > 1_000_000:
+    if len(ids) > MOST_HASHES:
         ids.clear()
     out = np.empty(len(words), dtype=np.uint64)
     for i, w in enumerate(words):

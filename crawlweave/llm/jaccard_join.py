@@ -46,8 +46,8 @@ SAMPLES, LIKELY = 64, 0.55
 RUN_BITS = 15
 #: Bits of the filter that tells which texts' tokens are wanted: its size doesn't grow with the input, it only lets more pass.
 FILTER_BITS = 1 << 26
-#: Words that are handled at once.
-SLICE_WORDS = 500_000
+#: Words that are handled at once, and whose hashes a task remembers at most.
+SLICE_WORDS, MOST_HASHES = 500_000, 250_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -64,7 +64,7 @@ def shingle_sets(texts: list[str], ids: dict[bytes, int]) -> Iterator[np.ndarray
 
     for text in texts:
         words = text.encode().translate(LOWER).split()
-        if len(ids) > 1_000_000:
+        if len(ids) > MOST_HASHES:
             ids.clear()
         h = np.empty(len(words), dtype=np.uint64)
         for i, w in enumerate(words):

@@ -26,7 +26,7 @@ from .common import LOWER, staged
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers at most.
-CACHE = 1_000_000
+CACHE = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk long, nth long"
 
