@@ -7,6 +7,8 @@ by brute force, larger nodes are split further; nodes that are still large after
 nearly all tokens) are compared by brute force too, in pairs of blocks. A run misses a pair at the threshold with
 probability 0.33 where the pair's buckets are small at the root, and 0.50, 0.59 and 0.66 where they are split at 1, 2 and
 3 more levels. RUNS is set by the last: 1 - 0.66^15 is 0.998; a more similar pair, or one split less, is found more surely.
+Runs after the first FIRST_RUNS leave buckets alone whose sets are of one group by then: all pairs of a group are compared
+anyway, so nothing is lost, and a group of thousands is not walked through again in every run.
 
 At the root tokens are the set's own. Below it, and where sets are compared, a set is stood for by a sketch of SAMPLES
 min-hashes of a byte each, as tokens (position, value): that is all that travels. Sketches agree in a share of places near
@@ -39,7 +41,7 @@ from .common import LOWER, released, staged
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
-RUNS, DEPTH, SMALL, BLOCK = 15, 4, 64, 256
+RUNS, FIRST_RUNS, DEPTH, SMALL, BLOCK = 15, 5, 4, 64, 256
 #: Min-hashes of a sketch, and the share that must agree for a provisional link.
 SAMPLES, LIKELY = 64, 0.55
 #: Low bits of a node's number that hold its run.
@@ -306,7 +308,7 @@ def _sorted(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def _children(threshold: float):
-    """Children that sets choose by their sketches: tokens are (position, value), SAMPLES of them."""
+    """Children that sets choose by their sketches: tokens are (position, value), SAMPLES of them. Rows: node, path, sketch, root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.asarray([SAMPLES])
@@ -317,7 +319,8 @@ def _children(threshold: float):
                 tokens = np.frombuffer(b"".join(held), dtype=np.uint8).reshape(-1, SAMPLES).astype(np.uint64) + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(256)
                 at, to = _chosen(tokens.reshape(-1), size, np.repeat(part.column(1).to_numpy().view(np.uint64), SAMPLES), threshold)
                 rows = at // SAMPLES
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(to.view(np.int64)), part.column(2).take(pa.array(rows))], names=["node", "path", "sketch"])
+                rows = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(to.view(np.int64)), part.column(2).take(rows), part.column(3).take(rows)], names=["node", "path", "sketch", "root"])
 
     return run
 
@@ -356,6 +359,25 @@ def tokens_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     return staged(found.mapInArrow(run, "text_md5 string, tokens binary").join(wanted, "text_md5").select("node", "root", "copies", "tokens").dropDuplicates(["node"]), "tokens")
 
 
+def _linked(level: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Provisional links (a, b) between sets that meet on the paths of level (node, path, root).
+
+    root: the group that a node is known to be of. A bucket whose nodes are all of one group is left: it can join no others.
+    """
+    links = None
+    for depth in range(DEPTH):
+        sizes = staged(level.groupBy("path").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("path", "n"), "bucket-sizes")
+        met = level.join(sizes, "path")
+        met = staged(met if depth else met.join(sketches, "node"), "met")
+        small = _sorted(met.where(F.col("n") <= SMALL), "path").mapInArrow(_small_links, "a long, b long")
+        links, dense = small if links is None else links.union(small), met.where(F.col("n") > SMALL)
+        if depth == DEPTH - 1 or dense.isEmpty():
+            break
+        level = staged(dense.select("node", "path", "sketch", "root").mapInArrow(_children(threshold), "node long, path long, sketch binary, root long").dropDuplicates(["node", "path"]), "level")
+    heavy = _in_blocks(dense.select(F.col("path").alias("bucket"), "node", "sketch"))
+    return links.union(_sorted(heavy, "bucket", "i", "j").mapInArrow(_dense_links, "a long, b long"))
+
+
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
     """doc_id, text_md5, key (of its set), copy_id (least id with an equal set), class_id (least id of its group), links (other documents at least that similar), one row per document."""
     if runs > RUN_BITS + 1:
@@ -363,21 +385,16 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     every = sets(docs, doc_id, text, threshold, runs)
     grouped = every.groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.min("text_md5").alias("text_md5"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
     classes = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
-    level = classes.select("node", F.explode("paths").alias("path")).distinct()
-    sizes = staged(level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
-    met = staged(level.join(sizes, "path").join(classes.select("node", "sketch"), "node"), "met")
-    links, dense = _sorted(met.where(F.col("n") <= SMALL), "path").mapInArrow(_small_links, "a long, b long"), met.where(F.col("n") > SMALL)
-    for _ in range(DEPTH - 1):
-        if dense.isEmpty():
-            break
-        level = staged(dense.select("node", "path", "sketch").mapInArrow(_children(threshold), "node long, path long, sketch binary").dropDuplicates(["node", "path"]), "level")
-        sizes = staged(level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
-        met = staged(level.join(sizes, "path"), "met")
-        links, dense = links.union(_sorted(met.where(F.col("n") <= SMALL), "path").mapInArrow(_small_links, "a long, b long")), met.where(F.col("n") > SMALL)
-    heavy = _in_blocks(dense.select(F.col("path").alias("bucket"), "node", "sketch"))
-    links = links.union(_sorted(heavy, "bucket", "i", "j").mapInArrow(_dense_links, "a long, b long"))
+    sketches = classes.select("node", "sketch")
+    paths = classes.select("node", F.explode("paths").alias("path")).distinct()
+    # Groups that a few runs have found are told to the rest, which then leave their buckets alone.
+    number = F.col("path").bitwiseAND(RUN_BITS)
+    links = _linked(paths.where(number < FIRST_RUNS).withColumn("root", F.col("node")), sketches, threshold)
+    if runs > FIRST_RUNS:
+        early = staged(components(links), "early")
+        rest = paths.where(number >= FIRST_RUNS).join(early, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        links = _linked(rest, sketches, threshold).union(early.select("node", "root"))
     likely = staged(components(links), "likely")
-    released(met)
     # Exact comparison of all pairs within these groups, in blocks: links, and their numbers.
     tokens = tokens_of(docs, classes.join(likely, "node").select("node", "root", "copies", "text_md5"), text)
     inside = _in_blocks(tokens.select(F.col("root").alias("bucket"), "node", "copies", "tokens"))
