@@ -26,7 +26,7 @@ from .common import LOWER, staged
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers at most: the first that it meets, which the frequent ones are among.
-CACHE = 600_000
+CACHE = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk long, nth long"
 
@@ -55,7 +55,8 @@ class WordTokenizer:
         plain = [b"<|" not in r for r in raws]
         words = [(r if b"\xcc" in r or b"\xcd" in r else r.translate(LOWER)).split() if p else [] for r, p in zip(raws, plain, strict=True)]
         seen, extra = self.seen, {}
-        new = list({w for ws in words for w in ws if w not in seen})
+        every = set().union(*words)
+        new = [w for w in every if w not in seen]
         for lo in range(0, len(new), AT_ONCE * 64):
             groups = [new[i : i + AT_ONCE] for i in range(lo, min(lo + AT_ONCE * 64, len(new)), AT_ONCE)]
             for group, got in zip(groups, self.inner.encode_batch_fast([SEPARATOR.join(w.decode() for w in g) for g in groups], add_special_tokens=False), strict=True):
@@ -66,7 +67,7 @@ class WordTokenizer:
                 for w, end in zip(group, [*(cuts * 4).tolist(), len(raw)], strict=True):
                     into[w] = raw[begin:end]
                     begin = end + 4
-        get = (lambda w: seen[w] if w in seen else extra[w]) if extra else seen.__getitem__
+        get = ({w: extra[w] if w in extra else seen[w] for w in every} if extra else seen).__getitem__
         return [
             np.frombuffer(b"".join(map(get, ws)), dtype="<u4") if p else np.asarray(self.inner.encode(t, add_special_tokens=False).ids, dtype="<u4")
             for t, ws, p in zip(texts, words, plain, strict=True)
