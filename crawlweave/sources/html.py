@@ -176,6 +176,12 @@ def parse(html: str | None, url: str | None) -> dict:
     }
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all cores where fewer partitions than cores hold them (few, well compressed files); more are not shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def extract(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     """key, url and the facts of every page."""
 
@@ -185,7 +191,7 @@ def extract(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
             yield pd.concat([frame[["k", "url"]].reset_index(drop=True), pd.DataFrame(facts, columns=[f.split()[0] for f in _names()])], axis=1)
 
     kind = pages.schema[key].dataType.simpleString()
-    rows = pages.select(F.col(key).alias("k"), F.col(url).alias("url"), F.col(html).alias("html"))
+    rows = spread(pages.select(F.col(key).alias("k"), F.col(url).alias("url"), F.col(html).alias("html")))
     return rows.mapInPandas(run, f"k {kind}, url string, {SCHEMA}").withColumnRenamed("k", key)
 
 
