@@ -781,3 +781,43 @@ def policy_counts(spark, d):
     from .operators.relational import top_counts
 
     return top_counts(t(spark, d, "pages").select(C.url_policy(F.col("url")).alias("policy")), ["policy"], None)
+
+
+# --- structured data and videos, from pages written out as HTML -----------------------------------------------------------
+
+
+def _marked_pages(spark, d):
+    """Facts of pages whose HTML is written from the site's numbers: an article as JSON-LD, an organization or an old type as microdata, videos."""
+    from .sources.html import extract
+
+    html = """concat('<html><head><title>T</title>', if(page_id % 6 = 0, '<meta property="og:video" content="/v.mp4">', ''), '<script type="application/ld+json">{"@graph":[{"@type":"http://schema.org/Article"',
+      if(page_id % 3 = 0, '', concat(',"headline":"Title ', page_id % 4, '"')), if(page_id % 2 = 0, ',"author":{"@id":"x"}', ''), if(page_id % 5 = 0, ',"datePublished":"2020"', ''), ',"image":[]}]}</script></head><body><p>See title 1 here</p>',
+      CASE page_id % 3 WHEN 1 THEN concat('<div itemscope itemtype="https://schema.org/Organization"><b itemprop="name">Title <i>1</i></b>', if(page_id % 7 = 0, '<a itemprop="url" href="/o">o</a>', ''), '</div>') WHEN 2 THEN '<div itemscope itemtype="DataVocabulary"></div>' ELSE '' END,
+      if(page_id % 4 = 0, '<iframe src="https://player.vimeo.com/1"></iframe>', ''), if(page_id % 5 = 0, '<video src="a.mp4"></video>', ''), '</body></html>')"""
+    p = site(spark, d).select("page_id", "normalized_url", F.expr(html).alias("html"), F.expr("if(page_id % 2 = 0, 'Article', 'product')").alias("page_type"))
+    return extract(p.select("page_id", "normalized_url", "html"), "page_id", "normalized_url", "html").withColumn("page_type", F.expr("if(page_id % 2 = 0, 'Article', 'product')"))
+
+
+@query(f"""WITH a AS (SELECT page_id, page_id % 3 = 0 AS bare, page_id % 3 = 1 AS org, page_id % 3 = 2 AS old, 1 + CAST(page_id % 2 <> 0 AS INT) + CAST(page_id % 5 <> 0 AS INT) AS rec, 2 + CAST(page_id % 7 <> 0 AS INT) AS org_rec, CASE WHEN page_id % 2 = 0 THEN 100 ELSE 80 END AS start FROM ({SITE})),
+b AS (SELECT *, CAST(NOT bare AND page_id % 4 <> 1 AS INT) AS hid FROM a),
+c AS (SELECT *, greatest(0, start - CASE WHEN bare THEN 25 ELSE 0 END - 8 * rec - 10 * hid) AS f1, CASE WHEN org THEN 80 - 8 * org_rec WHEN old THEN 35 END AS f2, 100 - CASE WHEN bare THEN 15 ELSE 0 END - 5 * rec - 5 * hid - CASE WHEN org THEN 5 * org_rec WHEN old THEN 10 ELSE 0 END AS plain FROM b),
+e AS (SELECT *, CAST(round_even(CASE WHEN f2 IS NULL THEN f1 ELSE (f1 + f2) / 2.0 END, 0) AS INT) AS mean FROM c)
+SELECT page_id, CAST(round_even((plain + mean) / 2.0, 0) AS INT) AS score, mean AS google, CASE WHEN org THEN 'Article,Organization' WHEN old THEN 'Article,DataVocabulary' ELSE 'Article' END AS types,
+CASE WHEN bare OR hid = 1 THEN CASE WHEN org THEN 'google:organization_knowledge' ELSE '' END ELSE CASE WHEN org THEN 'google:article_rich_results,google:organization_knowledge' ELSE 'google:article_rich_results' END END AS eligible,
+CASE WHEN old THEN 'google:legacy_vocab' ELSE '' END AS deprecated, CASE WHEN bare THEN 'headline' ELSE '' END AS required,
+array_to_string(list_filter([CASE WHEN page_id % 2 <> 0 THEN 'author' END, CASE WHEN page_id % 5 <> 0 THEN 'datePublished' END, 'image'], lambda x: x IS NOT NULL), ',') AS recommended, CASE WHEN hid = 1 THEN 'Article.headline' ELSE '' END AS hidden FROM e""")
+def schema_validations(spark, d):
+    from .plans.schema import validated
+
+    feature = "google:article_rich_results"
+    text = lambda c: F.concat_ws(",", F.coalesce(c, F.array().cast("array<string>")))
+    out = validated(_marked_pages(spark, d), "page_id")
+    return out.select("page_id", "score", F.col("engine_feature_scores")["google"].alias("google"), text(F.col("recognized_types")).alias("types"), text(F.col("eligible_features")).alias("eligible"), text(F.col("deprecated_features")).alias("deprecated"), text(F.col("missing_required_by_feature")[feature]).alias("required"), text(F.col("missing_recommended_by_feature")[feature]).alias("recommended"), text(F.col("visible_content_mismatches")).alias("hidden"))
+
+
+@query(f"""WITH v AS (SELECT page_id, CAST(page_id % 4 = 0 AS INT) AS has_embed, CAST(page_id % 5 = 0 AS INT) AS has_tag, CAST(page_id % 6 = 0 AS INT) AS has_metadata FROM ({SITE}))
+SELECT *, has_embed + has_tag + has_metadata AS videos, 0 AS has_schema, 0 AS has_sitemap, 25 * has_embed + 25 * has_tag + 5 * has_metadata + CASE WHEN has_embed + has_tag + has_metadata > 0 THEN 10 ELSE 0 END AS discoverability FROM v""")
+def video_discoverability(spark, d):
+    from .sources.html import video_scores
+
+    return video_scores(_marked_pages(spark, d), "page_id")

@@ -14,10 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalize_one
+from .markup import Markup, objects
 
 # Elements whose text isn't shown, and regions of a page.
 HIDDEN = {"script", "style", "noscript", "template", "head", "title"}
 REGIONS = ("header", "nav", "main", "aside", "footer")
+# Hosts of embedded players, and keys of metadata and types of nodes that tell of a video.
+PLAYERS = r"youtube|youtu\.be|vimeo|wistia"
+VIDEO_META = ("og:video", "og:video:url", "og:video:secure_url", "twitter:player")
+VIDEO_TYPES = {"videoobject", "clip", "broadcastevent", "seektoaction"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 SCHEMA = (
@@ -26,7 +31,7 @@ SCHEMA = (
     "internal_links_out int, external_links_out int, links array<struct<href:string,text:string,region:string,nofollow:boolean,internal:boolean>>, "
     "hreflang array<struct<lang:string,href:string>>, rel_next string, rel_prev string, "
     "image_count int, images array<struct<src:string,alt:string,width:string,height:string,loading:string,srcset:boolean,heading:string>>, "
-    "videos array<struct<src:string,poster:string,kind:string>>, schema_types array<string>, schema_parse_error_count int, "
+    "videos array<struct<src:string,poster:string,kind:string>>, schema_types array<string>, schema_parse_error_count int, schema_nodes array<struct<types:array<string>,fields:map<string,string>>>, shown_text string, "
     "og map<string,string>, script_count int, module_script_count int, data_nosnippet_count int, is_noindex int, is_nofollow int"
 )
 
@@ -52,12 +57,14 @@ class Page(HTMLParser):
         self.images: list[dict] = []
         self.videos: list[dict] = []
         self.types: set[str] = set()
+        self.markup = Markup()
         self.errors = self.scripts = self.modules = self.nosnippet = 0
         self.parts: dict[str, list[str]] = {}
         self.json_ld = False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
+        self.markup.opened(a, tag in VOID)
         if tag not in VOID:
             self.open.append(tag)
         self.nosnippet += "data-nosnippet" in a
@@ -82,7 +89,7 @@ class Page(HTMLParser):
             self.videos.append({"src": a.get("src", ""), "poster": a.get("poster", ""), "kind": "video"})
         elif tag == "source" and "video" in self.open and self.videos and not self.videos[-1]["src"]:
             self.videos[-1]["src"] = a.get("src", "")
-        elif tag == "iframe" and re.search(r"youtube|vimeo|wistia", a.get("src", "")):
+        elif tag == "iframe" and re.search(PLAYERS, _host(a.get("src", ""))):
             self.videos.append({"src": a["src"], "poster": "", "kind": "embed"})
         elif tag == "script":
             self.scripts += 1
@@ -102,6 +109,7 @@ class Page(HTMLParser):
             self.prev = self.prev or href
 
     def handle_data(self, data: str) -> None:
+        self.markup.said.append(data)
         for parts in self.parts.values():
             parts.append(data)
         if not HIDDEN.intersection(self.open):
@@ -110,7 +118,8 @@ class Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in self.open:
             while self.open.pop() != tag:
-                pass
+                self.markup.closed()
+            self.markup.closed()
         if tag not in self.parts:
             return
         raw = "".join(self.parts.pop(tag))
@@ -122,20 +131,24 @@ class Page(HTMLParser):
         elif tag == "script" and self.json_ld:
             self.json_ld = False
             try:
-                self._types_of(json.loads(raw))
-            except ValueError:
-                self.errors += 1
+                self.markup.add(raw)
+                self._types_of(json.loads(raw or "null"))
+            except (ValueError, RecursionError):
+                self.errors += bool(raw.strip())
         elif tag[0] == "h" and text:
             self.headings.append((int(tag[1]), text))
 
     def _types_of(self, value: object) -> None:
-        if isinstance(value, dict):
-            kinds = value.get("@type", [])
+        for node in objects(value):
+            kinds = node.get("@type", [])
             self.types.update(str(k) for k in (kinds if isinstance(kinds, list) else [kinds]))
-            value = list(value.values())
-        if isinstance(value, list):
-            for item in value:
-                self._types_of(item)
+
+
+def _host(url: str) -> str:
+    try:
+        return (urlsplit(url.strip()).hostname or "").lower()
+    except ValueError:
+        return ""
 
 
 def internal(href: str, base: str) -> bool:
@@ -166,12 +179,15 @@ def parse(html: str | None, url: str | None) -> dict:
     first = lambda name: squeeze(p.meta.get(name, [""])[0])
     absolute = lambda href: normalize_one(href, base) or "" if href else ""
     h1 = [t for level, t in p.headings if level == 1]
+    nodes = p.markup.finished()
+    videos = p.videos + [{"src": n["fields"].get("contentUrl", ""), "poster": n["fields"].get("thumbnailUrl", ""), "kind": "schema"} for n in nodes if VIDEO_TYPES.intersection(t.lower() for t in n["types"])]
+    videos += [{"src": v.strip(), "poster": "", "kind": "metadata"} for name in VIDEO_META for v in p.meta.get(name, []) if v.strip()]
     return {
         "title": p.titles[0] if p.titles else "", "meta_description": first("description"), "meta_robots": ", ".join(p.meta.get("robots", [])), "canonical_url": absolute(p.canonicals[0]) if p.canonicals else "",
         "canonical_count": len(p.canonicals), "language": p.language, "h1": h1[0] if h1 else "", "h1_count": len(h1), "headings": [{"level": a, "text": b} for a, b in p.headings], "word_count": len(words),
         "content_hash": hashlib.sha256(shown.encode()).hexdigest() if shown else "", "internal_links_out": sum(x["internal"] for x in links), "external_links_out": sum(not x["internal"] for x in links), "links": links,
-        "hreflang": [{"lang": a, "href": b} for a, b in dict.fromkeys((a, absolute(b)) for a, b in p.hreflang)], "rel_next": absolute(p.next), "rel_prev": absolute(p.prev), "image_count": len(p.images), "images": p.images, "videos": p.videos,
-        "schema_types": sorted(p.types), "schema_parse_error_count": p.errors, "og": {k: squeeze(v[0]) for k, v in p.meta.items() if k.startswith(("og:", "twitter:"))}, "script_count": p.scripts, "module_script_count": p.modules,
+        "hreflang": [{"lang": a, "href": b} for a, b in dict.fromkeys((a, absolute(b)) for a, b in p.hreflang)], "rel_next": absolute(p.next), "rel_prev": absolute(p.prev), "image_count": len(p.images), "images": p.images, "videos": videos,
+        "schema_types": sorted(p.types), "schema_parse_error_count": p.errors, "schema_nodes": nodes, "shown_text": squeeze(" ".join(p.text)), "og": {k: squeeze(v[0]) for k, v in p.meta.items() if k.startswith(("og:", "twitter:"))}, "script_count": p.scripts, "module_script_count": p.modules,
         "data_nosnippet_count": p.nosnippet, "is_noindex": int(bool({"noindex", "none"}.intersection(robots))), "is_nofollow": int(bool({"nofollow", "none"}.intersection(robots))),
     }
 
@@ -252,6 +268,17 @@ def image_scores(facts: DataFrame, key: str) -> DataFrame:
     return rows.select(key, n.alias("images"), *[r.alias(k) for k, r in ratios.items()], F.bround(points, 0).cast("int").alias("discoverability"))
 
 
+def video_scores(facts: DataFrame, key: str, sitemap_videos: Column | None = None) -> DataFrame:
+    """key, videos, which kinds of evidence a page has, and discoverability (0..100). sitemap_videos: their number at the page's sitemap entry."""
+    listed = F.coalesce(sitemap_videos, F.lit(0)) if sitemap_videos is not None else F.lit(0)
+    has = lambda kind: F.exists("videos", lambda v: v["kind"] == kind)
+    # Points of each kind of evidence.
+    points = {"schema": (has("schema"), 40), "embed": (has("embed"), 25), "tag": (has("video"), 25), "metadata": (has("metadata"), 5), "sitemap": (listed > 0, 5)}
+    n = F.size("videos") + listed
+    score = sum((F.when(c, v).otherwise(0) for c, v in points.values()), F.when(n > 0, 10).otherwise(0))
+    return facts.select(key, n.cast("int").alias("videos"), *[c.cast("int").alias(f"has_{k}") for k, (c, _) in points.items()], F.least(F.lit(100), score).cast("int").alias("discoverability"))
+
+
 def edges(facts: DataFrame, source: str = "url") -> DataFrame:
     """source_url, normalized_target_url, anchor, region, is_internal of every link."""
     return facts.select(F.col(source).alias("source_url"), F.explode("links").alias("l")).select("source_url", F.col("l.href").alias("normalized_target_url"), F.col("l.text").alias("anchor"), F.col("l.region").alias("region"), F.col("l.internal").cast("int").alias("is_internal"))

@@ -262,3 +262,34 @@ def test_image_scores(spark):
     # 2/3 texts, 1/3 descriptive, 2/3 names, 2/3 formats, all under a heading, 1/3 large, 2/3 reused.
     assert (got[1]["images"], got[1]["discoverability"]) == (3, round(25 * 2 / 3 + 10 / 3 + 20 * 2 / 3 + 15 * 2 / 3 + 10 + 10 / 3 + 10 * 2 / 3))
     assert (got[2]["images"], got[2]["discoverability"]) == (0, 70)
+
+
+MARKED = """<html><head><title>T</title><meta property="og:video" content="/v.mp4"><script type="application/ld+json">{"@graph":[{"@type":"http://schema.org/Article","headline":"Shown Words","author":{"name":"A"},"image":[]},{"@type":["VideoObject"],"name":"Clip","contentUrl":"c.mp4"}]}</script>
+<script type="application/ld+json"> </script><script type="application/ld+json">{no</script></head><body><p>shown words here</p><div itemscope itemtype="https://schema.org/Organization"><b itemprop="name">Hidden <i>Org</i></b><a itemprop="url" href="/o">o</a><a itemprop="url" href="/p">p</a>
+<div itemprop="address" itemscope itemtype="https://schema.org/PostalAddress"><span itemprop="name">Town</span></div><div itemscope><i itemprop="name">nobody's</i></div></div><div typeof="schema:DataVocabulary"><span property="schema:label">x</span></div><iframe src="https://www.youtube.com/e"></iframe><iframe src="https://x.com/?youtube"></iframe></body></html>"""
+
+
+def test_schema_nodes():
+    p = html.parse(MARKED, "https://e.com/")
+    nodes = {n["types"][0]: n["fields"] for n in p["schema_nodes"] if n["types"]}
+    assert nodes["Article"] == {"headline": "Shown Words", "author": "A"} and nodes["VideoObject"]["contentUrl"] == "c.mp4"
+    assert nodes["Organization"] == {"name": "Hidden Org", "url": "/o", "address": "Town"} and nodes["PostalAddress"] == {"name": "Town"}
+    assert nodes["DataVocabulary"] == {"label": "x"} and p["schema_parse_error_count"] == 1
+    assert sorted(v["kind"] for v in p["videos"]) == ["embed", "metadata", "schema"]
+    assert html.parse("<div itemscope itemtype=A><p itemprop=b>open", "")["schema_nodes"] == [{"types": ["A"], "fields": {"b": "open"}}]
+
+
+def test_schema_validation(spark):
+    from crawlweave.plans.schema import validated
+
+    facts = html.extract(spark.createDataFrame([(1, "https://e.com/", MARKED), (2, "https://e.com/x", None)], "id int, url string, html string"), "id", "url", "html").withColumn("page_type", F.lit("Product"))
+    got = {r["id"]: r for r in validated(facts, "id").collect()}
+    assert got[1]["recognized_types"] == ["Article", "DataVocabulary", "Organization", "PostalAddress", "VideoObject"]
+    assert got[1]["eligible_features"] == ["google:article_rich_results", "google:organization_knowledge"] and got[1]["deprecated_features"] == ["google:legacy_vocab"]
+    assert got[1]["missing_required_by_feature"] == {"google:video_rich_results": ["thumbnailUrl"]}
+    assert got[1]["missing_recommended_by_feature"]["google:article_rich_results"] == ["datePublished", "image"]
+    assert got[1]["visible_content_mismatches"] == ["VideoObject.name"]
+    # Faults: Article 10, VideoObject 15 + 15 + 5, Organization 10, DataVocabulary 10. Features: 64, 21, 64 and 35.
+    assert got[1]["engine_feature_scores"] == {"google": 46} and got[1]["score"] == 40
+    assert (got[2]["score"], got[2]["recognized_types"], got[2]["engine_feature_scores"]) == (100, [], {})
+    assert [tuple(r)[1:] for r in html.video_scores(facts, "id", F.lit(1)).orderBy("id").collect()] == [(4, 1, 1, 0, 1, 1, 85), (1, 0, 0, 0, 0, 1, 15)]
