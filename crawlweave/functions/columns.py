@@ -288,7 +288,9 @@ def lastmod(raw: Column) -> Column:
 
 
 def age_days(ts: Column, as_of: Column) -> Column:
-    return F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(ts)) / 86400)
+    """Whole days from ts to as_of, rounded down; fractions of a second count."""
+    micros = F.unix_micros(as_of) - F.unix_micros(ts)
+    return F.call_function("div", micros - F.pmod(micros, F.lit(86_400_000_000)), F.lit(86_400_000_000))
 
 
 def retry_after_seconds(raw: Column, now: Column) -> Column:

@@ -80,6 +80,12 @@ def test_dates(spark):
     assert values(spark, ["120", "Sun, 01 Mar 2026 00:01:00 GMT"], C.retry_after_seconds(x, as_of)) == [120.0, 60.0]
 
 
+def test_age_counts_fractions_of_a_second(spark):
+    as_of = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    stamps = ["2024-05-30 00:00:00.000001", "2024-05-30 00:00:00", "2024-05-29 23:59:59.999999", "2024-06-01 00:00:00.5", "2024-06-02 00:00:00.000001", "0001-01-01 00:00:00.000001"]
+    assert values(spark, stamps, C.age_days(C.lastmod(F.col("x")), as_of)) == [1, 2, 2, -1, -2, 739036]
+
+
 @pytest.mark.parametrize(
     "url, title, h1, want",
     [
