@@ -6,12 +6,13 @@ over the frequent terms), so that runs are alike and their maxima tight. Documen
 the mean length are those of the whole corpus, so that scores are comparable and the shards' best k merge exactly.
 
 A query visits its own shard first; its k-th best score there is its first threshold. Then it visits shards at growing
-distances, FACTOR times as many each round, with the k-th best score so far. In a shard the postings of the query's rare
-terms are added up; a run's bound is the greatest of these sums in it plus the maxima of the frequent terms. Runs whose
-bound is below the threshold are skipped whole; the documents of the others are scored for a batch of queries at once, by
-a product of matrices in single precision, and those that may reach the threshold again in double precision. Bounds and
-margins are never below the score, so nothing is lost. A shard returns only what reaches the threshold: about k times
-FACTOR rows a query and round, whatever the number of shards.
+distances, FACTOR times as many each round, with the k-th best score so far, which a task raises by what its own shards
+have returned. In a shard the queries of a kind are scored together. The lists of their rare terms are added up, and those
+of frequent terms that few of them have; a run's bound is the greatest of these sums in it plus the maxima of the other
+frequent terms. Runs whose bound is below the threshold are skipped whole, by batches of queries that need about equally
+many; the documents of the others are scored by a product of matrices in single precision, and those that may reach the
+threshold again in double precision. Bounds and margins are never below the score, so nothing is lost. A shard returns only
+what reaches the threshold: about k times FACTOR rows a query and round at most, whatever the number of shards.
 
 score = sum over the query's distinct terms of tf_query * idf * impact, idf = ln(1 + (N - df + 0.5) / (df + 0.5)),
 impact = tf (K1 + 1) / (tf + K1 (1 - B + B len / mean)), rounded to six places; ties go to the smaller doc_id.
@@ -46,7 +47,13 @@ SHARD_BYTES, RUN = 32_000_000, 64
 #: Bytes and number of the queries that are sent to shards at once.
 GROUP_BYTES, GROUP_QUERIES = 48_000_000, 16_384
 #: How many times as many shards are visited each round; queries scored at once.
-FACTOR, BATCH = 4, 64
+FACTOR, BATCH = 4, 128
+#: Queries, and cells of queries by documents, whose sums of lists are held at once.
+KNOWN, CELLS = 512, 5_000_000
+#: Postings of a list that is joined whole. A posting of a list costs so many times a cell of the product of matrices.
+LONG, LIST_COST = 16, 200
+#: So many runs that no query needs are scored with their neighbours.
+BRIDGE = 4
 #: Rows of the vocabulary's shards, about.
 VOCABULARY_TOKENS = 2_000_000
 #: A term is frequent in a shard if this share of its documents has it. Kinds of documents that are told apart, and rounds.
@@ -73,31 +80,56 @@ def _postings(row: dict) -> tuple[np.ndarray, ...]:
     return number[order], df[order], begins, key % n, tf
 
 
-PARTS = "kind string, shard long, doc_ids array<bigint>, body binary, queries long"
+PARTS = "kind string, shard long, doc_ids array<bigint>, body binary, likeness binary, queries long"
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of every block its index and its queries."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            terms, df, begins, docs, tf = _postings(row)
-            index = pack(unpack(row["lengths"])[0], terms, np.diff(begins), docs, tf)
-            chosen = np.flatnonzero(np.asarray(row["marks"]) == 1)
-            # The postings again by document, of the queries alone.
-            of_term = np.repeat(np.arange(len(terms)), np.diff(begins))
-            mine = np.flatnonzero(np.isin(docs, chosen))
-            mine = mine[np.argsort(docs[mine], kind="stable")]
-            sizes = np.bincount(docs[mine], minlength=len(row["doc_ids"]))[chosen]
-            asked = pack(chosen, sizes, terms[of_term[mine]], df[of_term[mine]], tf[mine])
-            ids = [row["doc_ids"], [row["doc_ids"][i] for i in chosen]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(["index", "queries"]), pa.array([row["block"]] * 2, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array([index, asked], pa.binary()), pa.array([0, len(chosen)], pa.int64())],
-                names=["kind", "shard", "doc_ids", "body", "queries"],
-            )
+def _dense(terms: np.ndarray, begins: np.ndarray, docs: np.ndarray, values: np.ndarray, n: int, kind: type) -> np.ndarray:
+    """Values of some terms' postings as a matrix of terms by documents."""
+    out = np.zeros((len(terms), n), dtype=kind)
+    for i, t in enumerate(terms.tolist()):
+        out[i, docs[begins[t] : begins[t + 1]]] = values[begins[t] : begins[t + 1]]
+    return out
+
+
+def _frequent(counts: np.ndarray, n: int) -> np.ndarray:
+    return np.flatnonzero(counts > max(FREQUENT * n, 8))
+
+
+def _split(mean: float):
+    """Of every block its index, the order of its documents by likeness, and its queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                terms, df, begins, docs, tf = _postings(row)
+                lengths = unpack(row["lengths"])[0]
+                index = pack(lengths, terms, np.diff(begins), docs, tf)
+                impact = tf * (K1 + 1) / (tf + _norm(lengths, mean)[docs])
+                likeness = pack(*_by_likeness(_dense(_frequent(np.diff(begins), len(lengths)), begins, docs, impact, len(lengths), np.float32).T, lengths))
+                chosen = np.flatnonzero(np.asarray(row["marks"]) == 1)
+                # The postings again by document, of the queries alone.
+                of_term = np.repeat(np.arange(len(terms)), np.diff(begins))
+                mine = np.flatnonzero(np.isin(docs, chosen))
+                mine = mine[np.argsort(docs[mine], kind="stable")]
+                sizes = np.bincount(docs[mine], minlength=len(row["doc_ids"]))[chosen]
+                asked = pack(chosen, sizes, terms[of_term[mine]], df[of_term[mine]], tf[mine])
+                ids = [row["doc_ids"], [row["doc_ids"][i] for i in chosen]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(["index", "queries"]), pa.array([row["block"]] * 2, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array([index, asked], pa.binary()), pa.array([likeness, None], pa.binary()), pa.array([0, len(chosen)], pa.int64())],
+                    names=["kind", "shard", "doc_ids", "body", "likeness", "queries"],
+                )
+
+    return run
+
+
+def _norm(lengths: np.ndarray, mean: float) -> np.ndarray:
+    return K1 * (1 - B + B * lengths.astype(np.float64) / max(mean, 1e-9))
 
 
 def _by_likeness(x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows of x by kind, then length, and the kinds' centres."""
+    """Order of the rows of x by kind, then length, and their kinds in that order."""
+    if not len(x):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     # The first centre is the mean, each next one the row that is least like those so far.
     centres = [unit.mean(axis=0)]
@@ -113,136 +145,245 @@ def _by_likeness(x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
         np.add.at(sums, kind, unit)
         some = np.bincount(kind, minlength=len(centres)) > 0
         centres[some] = sums[some] / np.maximum(np.linalg.norm(sums[some], axis=1, keepdims=True), 1e-9)
-    return np.lexsort((lengths, kind)), centres
+    order = np.lexsort((lengths, kind))
+    return order, kind[order]
+
+
+class Queries:
+    """Queries one behind another: query i has the terms unique[term[cuts[i] : cuts[i + 1]]] and their weights."""
+
+    def __init__(self, terms: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> None:
+        self.unique, term = np.unique(terms, return_inverse=True)
+        self.term = term.astype(np.int32)
+        self.weights, self.cuts = weights, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _within(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of all of the runs that begin at begins."""
+    return np.arange(int(sizes.sum())) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
 
 
 class Shard:
-    """An index in memory. Documents are numbered by likeness; place gives the place that each had."""
+    """An index in memory. Documents are numbered by likeness (as packed, or worked out); place gives the place that each had."""
 
-    def __init__(self, doc_ids: list, body: bytes, mean: float) -> None:
+    def __init__(self, doc_ids: list, body: bytes, mean: float, likeness: bytes | None = None) -> None:
         lengths, self.terms, counts, docs, tf = unpack(body)
-        self.n = len(doc_ids)
-        self.terms = self.terms.astype(np.int64)
-        self.begins = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
-        norm = K1 * (1 - B + B * lengths.astype(np.float64) / max(mean, 1e-9))
-        impact = tf * (K1 + 1) / (tf + norm[docs])
-        frequent = np.flatnonzero(counts > max(FREQUENT * self.n, 8))
+        self.n, self.terms, self.counts = len(doc_ids), self.terms.astype(np.int64), counts.astype(np.int64)
+        self.begins = np.concatenate([[0], np.cumsum(self.counts)])
+        norm = _norm(lengths, mean)
+        self.impact = tf * (K1 + 1) / (tf + norm[docs])
+        frequent = _frequent(self.counts, self.n)
         self.column = np.full(len(self.terms), -1, dtype=np.int32)
         self.column[frequent] = np.arange(len(frequent))
-        dense = np.zeros((self.n, len(frequent)), dtype=np.float32)
-        held = np.zeros((self.n, len(frequent)), dtype=np.min_scalar_type(int(tf.max()) if len(tf) else 0))
-        for i, t in enumerate(frequent):
-            lo, hi = self.begins[t], self.begins[t + 1]
-            dense[docs[lo:hi], i] = impact[lo:hi]
-            held[docs[lo:hi], i] = tf[lo:hi]
-        self.place, self.centres = _by_likeness(dense, lengths) if self.n else (np.zeros(0, np.int64), np.zeros((1, 0), np.float32))
-        number = np.empty(self.n, dtype=np.int32)
-        number[self.place] = np.arange(self.n, dtype=np.int32)
-        self.docs, self.impact = number[docs], impact
-        self.dense, self.tf, self.norm = dense[self.place], held[self.place], norm[self.place]
-        ids = [doc_ids[i] for i in self.place]
+        self.df = self.counts[frequent]
+        place, kind = unpack(likeness) if likeness else _by_likeness(_dense(frequent, self.begins, docs, self.impact, self.n, np.float32).T, lengths)
+        self.place = place.astype(np.int64)
+        number = np.empty(self.n, dtype=np.int64)
+        number[self.place] = np.arange(self.n)
+        self.docs, self.norm = number[docs], norm[self.place]
+        self.dense = _dense(frequent, self.begins, self.docs, self.impact, self.n, np.float32)
+        self.tf = _dense(frequent, self.begins, self.docs, tf, self.n, np.min_scalar_type(int(tf.max()) if len(tf) else 0))
+        ids = [doc_ids[i] for i in self.place.tolist()]
         self.ids = np.asarray([np.iinfo(np.int64).max if i is None else i for i in ids], dtype=np.int64)
         self.null = np.asarray([i is None for i in ids], dtype=bool)
         self.heads = np.arange(0, self.n, RUN)
-        self.run_max = np.maximum.reduceat(self.dense, self.heads, axis=0) if self.n else self.dense
+        self.run_max = np.maximum.reduceat(self.dense, self.heads, axis=1) if self.n else self.dense
+        # The mean direction of each kind of documents.
+        share = 1 / np.maximum(np.sqrt(np.einsum("ij,ij->j", self.dense, self.dense)), 1e-9)
+        first = np.flatnonzero(np.diff(kind.astype(np.int64), prepend=-1))
+        ends = np.append(first[1:], self.n)
+        centres = np.asarray([self.dense[:, lo:hi] @ share[lo:hi] for lo, hi in zip(first, ends, strict=True)]).reshape(len(first), len(frequent))
+        self.centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+        # Lists that are worth a view of their own.
+        own = np.flatnonzero(self.counts >= LONG)
+        self.long = np.full(len(self.terms), -1, dtype=np.int32)
+        self.long[own] = np.arange(len(own))
+        spans = list(zip(self.begins[own].tolist(), self.begins[own + 1].tolist(), strict=True))
+        self.long_docs, self.long_impact = [self.docs[a:z] for a, z in spans], [self.impact[a:z] for a, z in spans]
         self.skipped = self.visited = 0
 
-    def _lists(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sums of the rare terms by document; columns and weights of the frequent ones."""
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        have = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        at, weights = at[have], weights[have]
-        column = self.column[at]
-        rare = column < 0
-        begins = self.begins[at[rare]]
-        lens = self.begins[at[rare] + 1] - begins
-        where = np.arange(int(lens.sum())) + np.repeat(begins - (np.cumsum(lens) - lens), lens)
-        return np.bincount(self.docs[where], self.impact[where] * np.repeat(weights[rare], lens), minlength=self.n), column[~rare], weights[~rare]
-
     def exact(self, docs: np.ndarray, rare: np.ndarray, columns: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        tf = self.tf[np.ix_(docs, columns)].astype(np.float64)
-        return rare[docs] + (tf * (K1 + 1) / (tf + self.norm[docs][:, None])) @ weights
-
-    def search_batch(self, queries: list[tuple[np.ndarray, np.ndarray]], least: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Numbers and rounded scores of each query's best k documents among those that reach its least score."""
-        lists = [self._lists(*q) for q in queries]
-        heavy = np.zeros((self.dense.shape[1], len(queries)), dtype=np.float32)
-        for i, (_, columns, weights) in enumerate(lists):
-            heavy[columns, i] = weights
-        margin = np.asarray([MARGIN + SINGLE * ((K1 + 1) * weights.sum() + (rare.max() if self.n else 0)) for rare, _, weights in lists])
-        bound = self.run_max @ heavy
-        bound += np.stack([np.maximum.reduceat(rare, self.heads) for rare, *_ in lists], axis=1) if self.n else 0
-        alive = bound >= least - margin
-        runs = np.flatnonzero(alive.any(axis=1))
-        self.visited += alive.size
-        self.skipped += alive.size - len(queries) * len(runs)
-        docs = (runs[:, None] * RUN + np.arange(RUN)).reshape(-1)
-        docs = docs[docs < self.n]
-        sums = (self.dense if len(docs) == self.n else self.dense[docs]) @ heavy
-        out = []
-        for i, (rare, columns, weights) in enumerate(lists):
-            total = sums[:, i] + rare[docs]
-            cut = least[i]
-            if len(total) > k:
-                cut = max(cut, np.partition(total, -k)[-k] - margin[i])
-            found = docs[(total >= cut - margin[i]) & (total > 0)]
-            scores = np.round(self.exact(found, rare, columns, weights), PLACES)
-            some = (scores > 0) & (scores >= least[i] - MARGIN)
-            found, scores = found[some], scores[some]
-            best = np.lexsort((self.place[found], self.ids[found], -scores))[:k]
-            out.append((found[best], scores[best]))
+        tf = self.tf[columns[:, None], docs].astype(np.float64)
+        return rare + weights @ (tf * (K1 + 1) / (tf + self.norm[docs]))
+
+    def _rare(self, query: np.ndarray, at: np.ndarray, weights: np.ndarray, queries: int) -> np.ndarray:
+        """Sums of the terms that are read by their lists, by query and document. Long lists are joined whole, short ones gathered."""
+        out = np.zeros((queries, self.n))
+        order = np.lexsort((self.long[at] < 0, query))
+        query, at, weights = query[order], at[order], weights[order]
+        sizes, long = self.counts[at], self.long[at]
+        ends = np.searchsorted(query, np.arange(queries + 1)).tolist()
+        middles = np.searchsorted(2 * query + (long < 0), 2 * np.arange(queries) + 1).tolist()
+        numbers = long.tolist()
+        for i in range(queries):
+            a, m, z = ends[i], middles[i], ends[i + 1]
+            if a == z:
+                continue
+            where = _within(self.begins[at[m:z]], sizes[m:z])
+            lists = numbers[a:m]
+            docs = np.concatenate([self.long_docs[t] for t in lists] + [self.docs.take(where)])
+            value = np.concatenate([self.long_impact[t] for t in lists] + [self.impact.take(where)])
+            value *= np.repeat(weights[a:z], sizes[a:z])
+            out[i] = np.bincount(docs, value, minlength=self.n)
         return out
 
+    def _batch(self, dense: np.ndarray, run_max: np.ndarray, heavy: np.ndarray, rare: np.ndarray, least: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(queries, documents, single-precision scores) of all that may be among a query's best k and reach its least score."""
+        top = np.maximum.reduceat(rare, self.heads, axis=1)
+        margin = MARGIN + SINGLE * ((K1 + 1) * heavy.sum(axis=1, dtype=np.float64) + top.max(axis=1))
+        least = least - margin
+        alive = heavy @ run_max + top >= least[:, None]
+        self.visited += alive.size
+        # Queries that need equally many runs go together; neighbouring runs that one of them needs are scored at once.
+        by_need = np.argsort(np.count_nonzero(alive, axis=1), kind="stable")
+        for at in range(0, len(least), BATCH):
+            some = by_need[at : at + BATCH]
+            need = alive[some].any(axis=0)
+            self.skipped += len(some) * int((~need).sum())
+            edges = np.flatnonzero(np.diff(need.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+            if len(edges) > 1:
+                far = edges[1:, 0] - edges[:-1, 1] > BRIDGE
+                edges = np.stack([edges[np.append(True, far), 0], edges[np.append(far, True), 1]], axis=1)
+            for lo, hi in np.minimum(edges * RUN, self.n).tolist():
+                total = heavy[some] @ dense[:, lo:hi]
+                total += rare[some, lo:hi]
+                bar = least[some].astype(np.float32)
+                whole = np.flatnonzero(bar <= 0)
+                if len(whole) and hi - lo > k:
+                    bar[whole] = np.partition(total[whole], -k, axis=1)[:, -k] - 2 * margin[some[whole]]
+                hit = total >= np.nextafter(bar, np.float32(-np.inf))[:, None]
+                found = np.flatnonzero(hit)
+                i, d = np.divmod(found, hi - lo)
+                score = total.reshape(-1)[found]
+                real = score > 0
+                yield some[i[real]], d[real] + lo, score[real], margin[some[i[real]]]
+
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], least: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(number of the query, numbers and scores of its documents); queries of a kind are scored together, so that they skip the same runs."""
-        kind = np.zeros(len(queries), dtype=np.int64)
-        for i, (terms, weights) in enumerate(queries):
-            at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
-            columns = np.where(self.terms[at] == terms, self.column[at], -1) if len(self.terms) else np.full(len(terms), -1)
-            mine = columns >= 0
-            kind[i] = np.argmax(self.centres[:, columns[mine]] @ weights[mine].astype(np.float32))
-        order = np.argsort(kind, kind="stable")
-        for lo in range(0, len(order), BATCH):
-            part = order[lo : lo + BATCH]
-            for i, (found, scores) in zip(part.tolist(), self.search_batch([queries[j] for j in part], least[part], k), strict=True):
-                yield i, found, scores
+        """(number of the query, numbers and rounded scores of its best k documents that reach its least score) of each (terms, weights)."""
+        sizes = np.asarray([len(t) for t, _ in queries])
+        every = Queries(np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries]), sizes)
+        none = (np.zeros(0, np.int64), np.zeros(0))
+        found = {i: (docs, scores) for i, docs, scores in self.search_some(every, np.arange(len(queries)), least, k)}
+        yield from ((i, *found.get(i, none)) for i in range(len(queries)))
+
+    def search_some(self, queries: Queries, chosen: np.ndarray, least: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The same for some queries, by index in chosen, if any document is found. Queries of a kind are scored together, so that they skip the same runs."""
+        if not self.n or not len(self.terms):
+            return
+        sizes = queries.cuts[chosen + 1] - queries.cuts[chosen]
+        where = _within(queries.cuts[chosen], sizes)
+        query = np.repeat(np.arange(len(chosen)), sizes)
+        term = queries.term[where]
+        # Every term is looked up once, in order.
+        needed = np.zeros(len(queries.unique), dtype=bool)
+        needed[term] = True
+        needed = np.flatnonzero(needed)
+        found = np.minimum(np.searchsorted(self.terms, queries.unique[needed]), len(self.terms) - 1)
+        place = np.full(len(queries.unique), -1, dtype=np.int64)
+        place[needed] = np.where(self.terms[found] == queries.unique[needed], found, -1)
+        at = place[term]
+        have = at >= 0
+        query, at, weights = query[have], at[have], queries.weights[where[have]]
+        column = self.column[at]
+        heavy = np.flatnonzero(column >= 0)
+        like = np.stack([np.bincount(query[heavy], centre[column[heavy]] * weights[heavy], minlength=len(chosen)) for centre in self.centres])
+        kind = np.argmax(like, axis=0)
+        cuts = np.searchsorted(query, np.arange(len(chosen) + 1))
+        for one in np.unique(kind).tolist():
+            order = np.flatnonzero(kind == one)
+            counts = cuts[order + 1] - cuts[order]
+            mine = _within(cuts[order], counts)
+            # A frequent term that few queries of the kind have is cheaper by its list.
+            uses = np.bincount(column[mine][column[mine] >= 0], minlength=len(self.df))
+            used = np.flatnonzero(uses * LIST_COST * self.df >= self.n * len(order))
+            own = np.full(len(self.df) + 1, -1, dtype=np.int64)
+            own[used] = np.arange(len(used))
+            # The last entry stands for column -1.
+            own_column, own_at, own_weights = own[column[mine]], at[mine], weights[mine]
+            own_query = np.repeat(np.arange(len(order)), counts)
+            dense, run_max = (self.dense, self.run_max) if len(used) == len(self.df) else (self.dense[used], self.run_max[used])
+            step = min(KNOWN, max(1, CELLS // self.n))
+            for lo in range(0, len(order), step):
+                hi = min(lo + step, len(order))
+                part = slice(*np.searchsorted(own_query, [lo, hi]).tolist())
+                q, c, w, listed = own_query[part] - lo, own_column[part], own_weights[part], own_column[part] < 0
+                rare = self._rare(q[listed], own_at[part][listed], w[listed], hi - lo)
+                q, c, w = q[~listed], c[~listed], w[~listed]
+                block = np.zeros((hi - lo, len(used)), dtype=np.float32)
+                block[q, c] = w
+                ends = np.searchsorted(q, np.arange(hi - lo + 1))
+                parts = list(self._batch(dense, run_max, block, rare, least[order[lo:hi]], k))
+                whose, docs, sums, margins = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4))
+                by = np.argsort(whose, kind="stable")
+                whose, docs, sums, margins = whose[by], docs[by], sums[by], margins[by]
+                begins = np.searchsorted(whose, np.arange(hi - lo + 1))
+                for i in np.unique(whose).tolist():
+                    a, z = begins[i : i + 2].tolist()
+                    found = docs[a:z]
+                    if len(found) > k:
+                        found = found[sums[a:z] >= np.partition(sums[a:z], -k)[-k] - 2 * margins[a]]
+                    terms = slice(ends[i], ends[i + 1])
+                    scores = np.round(self.exact(found, rare[i, found], used[c[terms]], w[terms]), PLACES)
+                    some = (scores > 0) & (scores >= least[order[lo + i]] - MARGIN)
+                    found, scores = found[some], scores[some]
+                    best = np.lexsort((self.place[found], self.ids[found], -scores))[:k]
+                    if len(best):
+                        yield int(order[lo + i]), found[best], scores[best]
 
 
 FOUND = "query_shard long, query_place long, query_id long, doc_id long, doc_shard long, doc_place long, score double"
-_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
 _NAMES = ["query_shard", "query_place", "query_id", "doc_id", "doc_shard", "doc_place", "score"]
 
 
+#: The last group of queries that this process has unpacked: a group's rounds and tasks ask for it again.
+_KEPT: dict[str, tuple[Queries, np.ndarray, list[tuple]]] = {}
+
+
+def _asked(group: str, rows: list[dict], n_docs: int) -> tuple[Queries, np.ndarray, list[tuple]]:
+    """Queries of some shards, one behind another, the shard of each, and (shard, place, id) of each."""
+    if group in _KEPT:
+        return _KEPT[group]
+    _KEPT.clear()
+    bodies = [[x.astype(np.int64) for x in unpack(q["body"])] for q in rows]
+    places, sizes, terms, df, tf = (np.concatenate([b[i] for b in bodies]) for i in range(5))
+    who = [(q["shard"], p, i) for q, b in zip(rows, bodies, strict=True) for p, i in zip(b[0].tolist(), q["doc_ids"], strict=True)]
+    _KEPT[group] = Queries(terms, tf * np.log(1 + (n_docs - df + 0.5) / (df + 0.5)), sizes), np.asarray([w[0] for w in who], dtype=np.int64), who
+    return _KEPT[group]
+
+
 def _search(sent, n_docs: int, mean: float, k: int, near: int, far: int):
     """Searches each shard for the queries whose own shard lies near <= distance < far before it, around the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, asked, least = sent.value
+        group, shards, asked, least = sent.value
+        queries = None
         for batch in batches:
             for row in batch.to_pylist():
-                here = int(np.searchsorted(shards, row["shard"]))
-                mine = [q for q in asked if near <= (here - int(np.searchsorted(shards, q["shard"]))) % len(shards) < far]
-                if not mine:
+                if queries is None:
+                    queries, of_shard, who = _asked(group, asked, n_docs)
+                    bar = np.asarray([least.get(w[:2], 0.0) for w in who])
+                    own, best = np.searchsorted(shards, of_shard), {}
+                distance = (int(np.searchsorted(shards, row["shard"])) - own) % len(shards)
+                chosen = np.flatnonzero((near <= distance) & (distance < far))
+                if not len(chosen):
+                    continue
+                shard = Shard(row["doc_ids"], row["body"], mean, row["likeness"])
+                numbers, docs, scores = [], [], []
+                for i, found, score in shard.search_some(queries, chosen, bar[chosen], k):
+                    q = int(chosen[i])
+                    numbers.append(np.full(len(found), q))
+                    docs.append(found)
+                    scores.append(score)
+                    # What this task has found for a query bounds what its next shards need to return.
+                    best[q] = np.sort(np.concatenate([best[q], score]))[-k:] if q in best else score
+                    if len(best[q]) == k:
+                        bar[q] = max(bar[q], best[q].min())
+                if not numbers:
                     continue
-                shard = Shard(row["doc_ids"], row["body"], mean)
-                who, queries = [], []
-                for q in mine:
-                    places, sizes, terms, df, tf = (x.astype(np.int64) for x in unpack(q["body"]))
-                    weights = tf * np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-                    cuts = np.concatenate([[0], np.cumsum(sizes)])
-                    for i in range(len(places)):
-                        who.append((q["shard"], int(places[i]), q["doc_ids"][i]))
-                        queries.append((terms[cuts[i] : cuts[i + 1]], weights[cuts[i] : cuts[i + 1]]))
-                bar = np.asarray([least.get(w[:2], 0.0) for w in who])
-                out: list[pa.RecordBatch] = []
-                for i, found, scores in shard.search(queries, bar, k):
-                    m, (query_shard, query_place, query_id) = len(found), who[i]
-                    ids = pa.array(shard.ids[found], pa.int64(), mask=shard.null[found])
-                    values = [pa.array([query_shard] * m, pa.int64()), pa.array([query_place] * m, pa.int64()), pa.array([query_id] * m, pa.int64()), ids, pa.array([row["shard"]] * m, pa.int64()), pa.array(shard.place[found], pa.int64()), pa.array(scores, pa.float64())]
-                    out.append(pa.RecordBatch.from_arrays(values, names=_NAMES))
-                if out:
-                    yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                numbers, docs, scores = np.concatenate(numbers), np.concatenate(docs), np.concatenate(scores)
+                shard_, place_, id_ = zip(*[who[q] for q in numbers.tolist()], strict=True)
+                ids = pa.array(shard.ids[docs], pa.int64(), mask=shard.null[docs])
+                yield pa.RecordBatch.from_arrays([pa.array(shard_, pa.int64()), pa.array(place_, pa.int64()), pa.array(id_, pa.int64()), ids, pa.array([row["shard"]] * len(docs), pa.int64()), pa.array(shard.place[docs], pa.int64()), pa.array(scores, pa.float64())], names=_NAMES)
 
     return run
 
@@ -270,9 +411,9 @@ def search(docs: DataFrame, is_query: Column, k: int = TOP, doc_id: str = "doc_i
     replies = vocabulary(coded, shards, _document_counts)
     known = numbered(coded, replies, shards)
     released(coded, replies)
-    parts = staged(known.mapInArrow(_split, PARTS), "index")
+    parts = staged(known.mapInArrow(_split(tokens / max(n, 1)), PARTS), "index")
     released(known)
-    index, asked = parts.where("kind = 'index'").select("shard", "doc_ids", "body"), parts.where("kind = 'queries'")
+    index, asked = parts.where("kind = 'index'").select("shard", "doc_ids", "body", "likeness"), parts.where("kind = 'queries'")
     # One row for each shard: its number, and how much its queries are.
     meta = sorted(map(tuple, asked.select("shard", "queries", F.length("body")).collect()))
     numbers = np.asarray([m[0] for m in meta], dtype=np.int64)
@@ -280,9 +421,9 @@ def search(docs: DataFrame, is_query: Column, k: int = TOP, doc_id: str = "doc_i
     best = Window.partitionBy("query_shard", "query_place").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "doc_shard", "doc_place")
     for begin, end in _groups([m[1:] for m in meta]):
         rows = [r.asDict() for r in asked.where(F.col("shard").between(int(numbers[begin]), int(numbers[end - 1])) & (F.col("queries") > 0)).select("shard", "doc_ids", "body").collect()]
-        now, least, near, far = None, {}, 0, 1
+        group, now, least, near, far = uuid.uuid4().hex, None, {}, 0, 1
         while near < len(numbers):
-            sent = spark.sparkContext.broadcast((numbers, rows, least))
+            sent = spark.sparkContext.broadcast((group, numbers, rows, least))
             # Only the shards that a query of the group visits in this round are read.
             lo, hi = begin + near, min(end - 1 + far - 1, begin + near + len(numbers) - 1)
             spans = [(lo, min(hi, len(numbers) - 1))] if lo < len(numbers) else []

@@ -320,6 +320,35 @@ def test_search_prunes_without_loss():
     assert shard.skipped > 0
 
 
+def test_search_of_some_equals_search():
+    rng = np.random.default_rng(5)
+    n, terms = 700, 300
+    tf = rng.poisson(np.geomspace(1, 0.004, terms), (n, terms))
+    docs_, at = np.nonzero(tf)
+    order = np.lexsort((docs_, at))
+    body = bm25.pack(tf.sum(axis=1), np.arange(terms), np.bincount(at, minlength=terms), docs_[order], tf[docs_, at][order])
+    mean = tf.sum() / n
+    shard = bm25.Shard(list(range(n)), body, mean)
+    x = np.where(tf > 0, tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * tf.sum(axis=1)[:, None] / mean)), 0)
+    packed = bm25.Shard(list(range(n)), body, mean, bm25.pack(*bm25._by_likeness(x[:, bm25._frequent((tf > 0).sum(axis=0), n)].astype(np.float32), tf.sum(axis=1))))
+    asked = [(np.flatnonzero(row), row[row > 0] * 1.5) for row in tf[::2]]
+    every = bm25.Queries(np.concatenate([t for t, _ in asked]), np.concatenate([w for _, w in asked]), np.asarray([len(t) for t, _ in asked]))
+    chosen = np.arange(1, len(asked), 3)
+    got = {int(chosen[i]): (packed.place[d].tolist(), s.tolist()) for i, d, s in packed.search_some(every, chosen, np.zeros(len(chosen)), 10)}
+    for i, d, s in shard.search([asked[q] for q in chosen], np.zeros(len(chosen)), 10):
+        want = np.round(x[:, asked[chosen[i]][0]] @ asked[chosen[i]][1], 6)
+        best = np.lexsort((np.arange(n), -want))[:10]
+        assert got[int(chosen[i])] == (shard.place[d].tolist(), s.tolist())
+        assert shard.place[d].tolist() == best.tolist() and np.allclose(s, want[best])
+
+
+def test_queries_are_unpacked_once_a_group():
+    rows = [{"shard": 7, "doc_ids": [50, None], "body": bm25.pack(np.asarray([3, 9]), np.asarray([2, 1]), np.asarray([4, 6, 4]), np.asarray([1, 2, 1]), np.asarray([1, 1, 5]))}]
+    first = bm25._asked("a", rows, 10)
+    assert bm25._asked("a", rows, 10) is first and bm25._asked("b", rows, 10) is not first
+    assert first[0].unique[first[0].term].tolist() == [4, 6, 4] and first[0].cuts.tolist() == [0, 2, 3] and first[2] == [(7, 3, 50), (7, 9, None)]
+
+
 def test_search_empty(spark):
     assert bm25.search(empty(spark), F.lit(True)).count() == 0
 
