@@ -8,6 +8,8 @@ word weighs no more than a rare one, and shards are as many as the data need.
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,8 @@ def pack(*arrays: np.ndarray) -> bytes:
         most = int(a.max()) if len(a) else 0
         width = next(w for w in _KINDS if most < 1 << (8 * w))
         head += [len(a), width]
-        body.append(np.ascontiguousarray(a.astype(_KINDS[width])).view(np.uint8).reshape(-1, width).T.tobytes())
+        a = a.astype(_KINDS[width])
+        body += [(a >> a.dtype.type(8 * k)).astype(np.uint8).tobytes() for k in range(width)]
     raw = np.asarray(head, dtype="<u8").tobytes() + b"".join(body)
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
@@ -46,11 +49,19 @@ def unpack(data: bytes) -> list[np.ndarray]:
     out, at = [], 8 + 16 * n
     for length, width in head.tolist():
         planes = np.frombuffer(raw, np.uint8, length * width, at).reshape(width, length)
-        out.append(np.ascontiguousarray(planes.T).view(_KINDS[width]).reshape(-1))
+        a = planes[0].astype(_KINDS[width])
+        for k in range(1, width):
+            a |= planes[k].astype(_KINDS[width]) << a.dtype.type(8 * k)
+        out.append(a)
         at += length * width
     return out
 
 
+def numbering() -> defaultdict[bytes, int]:
+    """Numbers words from 0 as they are first asked for."""
+    return defaultdict(itertools.count().__next__)
+
+
 BLOCK = "block long, doc_ids array<bigint>, marks array<int>, lengths binary, tokens binary, words binary, n_tokens long, n_words long"
 
 
@@ -70,7 +81,7 @@ def encode(docs: DataFrame, mark: Column, doc_id: str = "doc_id", text: str = "t
         marks: list = []
         lengths: list[int] = []
         parts: list[np.ndarray] = []
-        seen: dict[bytes, int] = {}
+        seen = numbering()
         size = 0
 
         def block() -> pa.RecordBatch:
@@ -84,7 +95,7 @@ def encode(docs: DataFrame, mark: Column, doc_id: str = "doc_id", text: str = "t
             row = [number, ids, marks, pack(np.asarray(lengths, dtype=np.uint64)), pack(rank[raw]), zstandard.ZstdCompressor(level=3).compress(b"\n".join([words[i] for i in order.tolist()])), len(raw), len(seen)]
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
             out = pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["block", "doc_ids", "marks", "lengths", "tokens", "words", "n_tokens", "n_words"])
-            ids, marks, lengths, parts, seen, size = [], [], [], [], {}, 0
+            ids, marks, lengths, parts, seen, size = [], [], [], [], numbering(), 0
             number += 1
             return out
 
@@ -92,8 +103,7 @@ def encode(docs: DataFrame, mark: Column, doc_id: str = "doc_id", text: str = "t
             for i, m, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 raw = t.encode().translate(LOWER)
                 words = raw.split()
-                put = seen.setdefault
-                parts.append(np.fromiter((put(w, len(seen)) for w in words), dtype=np.uint32, count=len(words)))
+                parts.append(np.fromiter(map(seen.__getitem__, words), dtype=np.uint32, count=len(words)))
                 ids.append(i)
                 marks.append(m)
                 lengths.append(len(words))
@@ -146,12 +156,11 @@ def vocabulary(blocks: DataFrame, shards: int, count) -> DataFrame:
 
     def merge(asked: pa.Table) -> pa.Table:
         shard = asked.column("shard")[0].as_py()
-        seen: dict[bytes, int] = {}
-        put = seen.setdefault
+        seen = numbering()
         keys, counts, blocks_, bodies = [], [], asked.column("block").to_pylist(), asked.column("body")
         for body, words in zip(bodies, asked.column("words"), strict=True):
             got = words_of(words.as_py())
-            keys.append(np.fromiter((put(w, len(seen)) for w in got), dtype=np.int64, count=len(got)))
+            keys.append(np.fromiter(map(seen.__getitem__, got), dtype=np.int64, count=len(got)))
             counts.append(unpack(body.as_py())[0])
         total = np.bincount(np.concatenate(keys), weights=np.concatenate(counts), minlength=len(seen)).astype(np.uint64)
         rank = np.empty(len(seen), dtype=np.uint64)

@@ -3,7 +3,7 @@
 A sequence of n non-decreasing numbers below u keeps the low floor(log2(u/n)) bits of each packed, and the high parts in
 unary as a bit vector with a count of ones before each word: two bits a number and a directory of half a bit's worth. It
 gives the i-th number by select, and the first number >= v by select of zeros and a search among the low bits of one
-high part.
+high part. Where many are asked for that lie close together, their stretch of the sequence is decoded once instead.
 
 The trie has three levels (words; words after a word; words after two words). A level keeps the children of all nodes
 one after another: an Elias-Fano sequence of pointers says where each node's children begin, another one holds the
@@ -21,6 +21,10 @@ import numpy as np
 CODES, DECADES = 4094, 12.0
 #: Numbers whose bits are packed at once; eight times any number, so that slices begin at whole bytes.
 SLICE = 1 << 16
+#: A stretch is decoded if it has at most so many bits of the high parts for each number that is asked for.
+STRETCH = 16
+#: Probability of each code.
+_LEVELS = np.append(0.0, 10 ** (np.arange(CODES + 1, dtype=np.float64) / CODES * DECADES - DECADES))
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -30,7 +34,7 @@ def quantise(p: np.ndarray) -> np.ndarray:
 
 
 def dequantise(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, 10 ** ((code.astype(np.float64) - 1) / CODES * DECADES - DECADES), 0.0)
+    return _LEVELS[code]
 
 
 def _select_in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -103,13 +107,36 @@ class EliasFano:
     def access(self, i: np.ndarray) -> np.ndarray:
         """The i-th numbers."""
         i = i.astype(np.int64)
+        if len(i):
+            lo = int(i.min())
+            run = self._stretch(lo, int(i.max()) + 1, len(i))
+            if run is not None:
+                return run[i - lo]
         return ((self.select(i) - i).astype(np.uint64) << np.uint64(self.bits)) | self.lows(i)
 
+    def _stretch(self, lo: int, hi: int, asked: int) -> np.ndarray | None:
+        """The numbers from the lo-th to before the hi-th, unless they are too many for what is asked."""
+        if not lo < hi or hi - lo > STRETCH * asked:
+            return None
+        first, last = (self.select(np.asarray([lo, hi - 1])) >> 6).tolist()
+        if (last - first) * 64 > STRETCH * asked:
+            return None
+        ones = np.flatnonzero(np.unpackbits(self.high[first : last + 1].view(np.uint8), bitorder="little"))
+        skip = lo - int(self.ones[first])
+        i = np.arange(lo, hi, dtype=np.int64)
+        return ((ones[skip : skip + hi - lo] + first * 64 - i).astype(np.uint64) << np.uint64(self.bits)) | self.lows(i)
+
     def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of the first number >= v (n if none), and whether it equals v."""
         if not self.n:
             return np.zeros(len(v), dtype=np.int64), np.zeros(len(v), dtype=bool)
         v = v.astype(np.uint64)
+        if len(v) > 2:
+            (lo, hi), _ = self.find(np.asarray([v.min(), v.max()]))
+            run = self._stretch(int(lo), min(int(hi) + 1, self.n), len(v))
+            if run is not None:
+                at = np.searchsorted(run, v)
+                return at + lo, run[np.minimum(at, len(run) - 1)] == v
         part = (v >> np.uint64(self.bits)).astype(np.int64)
         most = int(self.select(np.asarray([self.n - 1]))[0]) - (self.n - 1)
         inside = part <= most
@@ -145,12 +172,13 @@ class Trie:
         """Pairs (a, b) in order, triples as numbers of pairs and words c in order; p2 and backoff3 by pair, p3 by triple."""
         words = np.unique(np.concatenate([a, b, c]))
         at = lambda x: np.searchsorted(words, x)
-        parents, first = np.unique(a, return_index=True)
-        begin2 = np.zeros(len(words) + 1, dtype=np.int64)
-        begin2[at(parents) + 1] = np.diff(np.append(first, len(a)))
-        begin3 = np.zeros(len(a) + 1, dtype=np.int64)
-        np.add.at(begin3, pair + 1, 1)
-        sequences = {"words": EliasFano.build(words), "begin2": EliasFano.build(np.cumsum(begin2)), "level2": EliasFano.build(_raised(at(b), at(a))), "begin3": EliasFano.build(np.cumsum(begin3)), "level3": EliasFano.build(_raised(at(c), pair))}
+        return cls.build_at(words, at(a), at(b), pair, at(c), p2, backoff3, p3)
+
+    @classmethod
+    def build_at(cls, words: np.ndarray, a: np.ndarray, b: np.ndarray, pair: np.ndarray, c: np.ndarray, p2: np.ndarray, backoff3: np.ndarray, p3: np.ndarray) -> Trie:
+        """The same with a, b, c as places among the words, which are in order and all occur."""
+        begin = lambda node, n: EliasFano.build(np.append(0, np.cumsum(np.bincount(node, minlength=n))))
+        sequences = {"words": EliasFano.build(words), "begin2": begin(a, len(words)), "level2": EliasFano.build(_raised(b, a)), "begin3": begin(pair, len(a)), "level3": EliasFano.build(_raised(c, pair))}
         return cls(sequences, {"p2": quantise(p2), "backoff3": quantise(backoff3), "p3": quantise(p3)})
 
     def to_bytes(self) -> bytes:
@@ -163,6 +191,7 @@ class Trie:
     def from_buffer(cls, raw: np.ndarray) -> Trie:
         """Views of bytes, which may be a memory map; nothing is copied."""
         n = 4 * len(cls.LEVELS) + 3
+        raw = np.asarray(raw)
         head = raw[: 16 * n].view(np.int64).reshape(n, 2)
         at, arrays = 16 * n, []
         for i, (length, size) in enumerate(head.tolist()):
@@ -187,21 +216,29 @@ class Trie:
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nodes of pairs of words, and whether they exist. Each distinct word is looked up once."""
-        out, ok = np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=bool)
         ua, ia = np.unique(a, return_inverse=True)
         ub, ib = np.unique(b, return_inverse=True)
         (wa, ha), (wb, hb) = self.words.find(ua), self.words.find(ub)
-        known = np.flatnonzero(ha[ia] & hb[ib])
-        out[known], ok[known] = self._child(self.level2, self.begin2, wa[ia[known]], wb[ib[known]])
-        return out, ok
+        return self.pairs_at(wa[ia], wb[ib], ha[ia] & hb[ib])
+
+    def pairs_at(self, a: np.ndarray, b: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words by their nodes, where both are known."""
+        return self._known(self.level2, self.begin2, a, b, known)
 
     def triples(self, pair: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nodes of triples, given the nodes of their first two words."""
-        out, ok = np.zeros(len(c), dtype=np.int64), np.zeros(len(c), dtype=bool)
         uc, ic = np.unique(c, return_inverse=True)
         wc, hc = self.words.find(uc)
-        known = np.flatnonzero(hc[ic])
-        out[known], ok[known] = self._child(self.level3, self.begin3, pair[known], wc[ic[known]])
+        return self.triples_at(pair, wc[ic], hc[ic])
+
+    def triples_at(self, pair: np.ndarray, c: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for last words by their nodes, where they are known."""
+        return self._known(self.level3, self.begin3, pair, c, known)
+
+    def _known(self, level: EliasFano, begin: EliasFano, node: np.ndarray, word: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out, ok = np.zeros(len(node), dtype=np.int64), np.zeros(len(node), dtype=bool)
+        some = np.flatnonzero(known)
+        out[some], ok[some] = self._child(level, begin, node[some], word[some])
         return out, ok
 
 

@@ -50,14 +50,23 @@ def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and each key's place among them as a 32-bit number: np.unique with fewer and narrower arrays."""
     if not len(key):
         return key, np.zeros(0, dtype=np.uint32)
-    order = np.argsort(key)
-    held = key[order]
+    bits = (len(key) - 1).bit_length()
+    if int(key.max()).bit_length() + bits <= 64:  # key and place fit in a number: sorting these is several times faster
+        held = key.astype(np.uint64)
+        held <<= np.uint64(bits)
+        held |= np.arange(len(key), dtype=np.uint64)
+        held.sort()
+        order = (held & np.uint64((1 << bits) - 1)).astype(np.uint32)
+        held >>= np.uint64(bits)
+    else:
+        order = np.argsort(key)
+        held = key[order]
     new = np.empty(len(key), dtype=bool)
     new[0] = True
     np.not_equal(held[1:], held[:-1], out=new[1:])
     where = np.empty(len(key), dtype=np.uint32)
     where[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
-    return held[new], where
+    return held[new].astype(key.dtype), where
 
 
 def _stream(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -87,15 +96,6 @@ def _grams(stream: np.ndarray, lengths: np.ndarray, words: int) -> tuple[np.ndar
     at += 1
     key *= base
     key += stream[at]
-    if words + FIRST < 1 << 21:  # three words fit in 63 bits
-        at += 1
-        key *= base
-        key += stream[at]
-        del at
-        key, where = ranked(key)
-        c = (key % base).astype(np.uint32)
-        key //= base
-        return (key // base).astype(np.uint32), (key % base).astype(np.uint32), c, where, doc
     ab, i = ranked(key)
     at += 1
     key = i.astype(np.int64) * base
@@ -128,7 +128,8 @@ class _Block:
         self.total = np.concatenate([[train_docs, train_docs], total.astype(np.int64)])
         a, b, c, where, self.doc = _grams(_stream(unpack(row["tokens"])[0], self.lengths), self.lengths, len(number))
         to = _deal(self.number[a], self.number[b], shards)
-        order = np.argsort(to, kind="stable").astype(np.uint32)
+        # The stable sort of 16-bit numbers is by radix.
+        order = np.argsort(to.astype(np.uint16) if shards <= 1 << 16 else to, kind="stable").astype(np.uint32)
         self.a, self.b, self.c = a[order], b[order], c[order]
         del a, b, c
         self.cuts = np.searchsorted(to[order], np.arange(shards + 1, dtype=np.uint32))
@@ -172,28 +173,31 @@ def _ask(shards: int, train_docs: int):
     return run
 
 
-def build_trie(pair_a: np.ndarray, pair_b: np.ndarray, context: np.ndarray, pair: np.ndarray, c: np.ndarray, count: np.ndarray) -> Trie:
-    """A trie of the n-grams that occur. Pairs in order, context: c(a) of each; triples in order with counts."""
+def build_trie(words: np.ndarray, pair_a: np.ndarray, pair_b: np.ndarray, context: np.ndarray, pair: np.ndarray, c: np.ndarray, count: np.ndarray) -> Trie:
+    """A trie of the n-grams that occur, their words given by place among words. Pairs in order, context: c(a) of each; triples in order with counts."""
     kept = count > 0
     cab = np.bincount(pair, weights=count, minlength=len(pair_a))
     after = np.bincount(pair[kept], minlength=len(pair_a))
     known = cab > 0
     number = np.cumsum(known) - 1
     p3 = np.maximum(count[kept] - DISCOUNT, 0) / cab[pair[kept]]
-    return Trie.build(pair_a[known], pair_b[known], number[pair[kept]], c[kept], (1 - RHO) * cab[known] / (context[known] + MU), DISCOUNT * after[known] / cab[known], p3)
+    pair_a, pair_b, c = pair_a[known], pair_b[known], c[kept]
+    used = np.zeros(len(words), dtype=bool)
+    for x in (pair_a, pair_b, c):
+        used[x] = True
+    place = np.cumsum(used) - 1
+    return Trie.build_at(words[used], place[pair_a], place[pair_b], number[pair[kept]], place[c], (1 - RHO) * cab[known] / (context[known] + MU), DISCOUNT * after[known] / cab[known], p3)
 
 
 def _asked(asked: pa.Table) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
-    """All blocks' messages as arrays: of pairs a, b and the count of a, of n-grams the pair's place, c and count; and each block's numbers of pairs and n-grams."""
-    parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
-    sizes, pairs = [], 0
+    """All blocks' messages as arrays: first words, their counts and numbers of pairs; second words and their numbers of n-grams; last words and counts; and each block's numbers of pairs and n-grams."""
+    parts: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
+    sizes = []
     for body in asked.column("body"):
-        ua, total, nb, ub, nc, c, n = unpack(body.as_py())
-        nb, nc = nb.astype(np.int64), nc.astype(np.int64)
-        for part, x in zip(parts, (np.repeat(ua, nb), ub, np.repeat(total, nb), np.repeat(np.arange(pairs, pairs + len(ub), dtype=np.uint32), nc), c, n), strict=True):
+        message = unpack(body.as_py())
+        for part, x in zip(parts, message, strict=True):
             part.append(x)
-        sizes.append((len(ub), len(c)))
-        pairs += len(ub)
+        sizes.append((len(message[3]), len(message[5])))
     out = []
     for part in parts:
         out.append(np.concatenate(part))
@@ -203,37 +207,43 @@ def _asked(asked: pa.Table) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
 
 def _answer(asked: pa.Table) -> pa.Table:
     shard, blocks = asked.column("shard")[0].as_py(), asked.column("block").to_pylist()
-    (a, b, t, in_pair, c, n), sizes = _asked(asked)
+    (a, t, nb, b, nc, c, n), sizes = _asked(asked)
+    nb, nc = nb.astype(np.int64), nc.astype(np.int64)
     # Words by rank within the shard, so that keys of two and three words fit.
-    words = np.unique(np.concatenate([np.unique(a), np.unique(b)])).astype(np.int64)
-    key, of_pair = ranked(np.searchsorted(words, a) * len(words) + np.searchsorted(words, b))
-    pair_a, pair_b = words[key // len(words)], words[key % len(words)]
+    words, place = ranked(np.concatenate([a, b, c]))
+    words = words.astype(np.int64)
+    a, b, c = place[: len(a)], place[len(a) : len(a) + len(b)], place[len(a) + len(b) :]
+    key = np.repeat(a, nb).astype(np.int64)
+    key *= len(words)
+    key += b
+    key, of_pair = ranked(key)
+    pair_a, pair_b = np.divmod(key, len(words))
     context = np.zeros(len(key), dtype=np.int64)
-    context[of_pair] = t
-    del a, b, t, key
-    ends, ic = ranked(c)
-    ends = ends.astype(np.int64)
-    key = of_pair[in_pair].astype(np.int64)
-    key *= len(ends)
-    key += ic
-    del in_pair, c, ic
+    context[of_pair] = np.repeat(t, nb)
+    del a, b, t, nb
+    key = np.repeat(of_pair, nc).astype(np.int64)
+    key *= len(words)
+    key += c
+    del c, nc, place
     key, of_triple = ranked(key)
-    pair, last = key // len(ends), ends[key % len(ends)]
+    pair, last = np.divmod(key, len(words))
     del key
     count = np.bincount(of_triple, weights=n, minlength=len(pair)).astype(np.int64)
     del n
-    trie = build_trie(pair_a, pair_b, context, pair, last, count)
+    trie = build_trie(words, pair_a, pair_b, context, pair, last, count)
     with tempfile.NamedTemporaryFile(delete=False) as f:
         f.write(trie.to_bytes())
     try:
         trie = Trie.from_buffer(np.memmap(f.name, dtype=np.uint8, mode="r"))
-        node, ok = trie.pairs(pair_a, pair_b)
+        # Each distinct word is looked up once.
+        of_word, known = trie.words.find(words)
+        node, ok = trie.pairs_at(of_word[pair_a], of_word[pair_b], known[pair_a] & known[pair_b])
         code = lambda k, at, hit: np.where(hit, trie.codes[k][at] if len(trie.codes[k]) else 0, 0).astype(np.uint16)
         p2, back, p3 = code("p2", node, ok), code("backoff3", node, ok), np.zeros(len(pair), dtype=np.uint16)
         some = np.flatnonzero(ok[pair])
         for lo in range(0, len(some), LOOKUPS):
             part = some[lo : lo + LOOKUPS]
-            at, hit = trie.triples(node[pair[part]], last[part])
+            at, hit = trie.triples_at(node[pair[part]], of_word[last[part]], known[last[part]])
             p3[part] = code("p3", at, hit)
     finally:
         os.unlink(f.name)

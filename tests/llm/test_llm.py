@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crawlweave.llm import bm25, chat, elias_fano, fingerprint, jaccard_join, language_id, line_dedup, mixing, ngram_lm, packing, queries, url_filter
+from crawlweave.llm import blocks, bm25, chat, elias_fano, fingerprint, jaccard_join, language_id, line_dedup, mixing, ngram_lm, packing, queries, url_filter
 from crawlweave.llm.common import id_bucket
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, block long, key string"
@@ -133,6 +133,35 @@ def test_elias_fano(n, top):
     assert (at == np.searchsorted(values, probe)).all() and (hit == np.isin(probe, values)).all()
 
 
+def test_close_numbers_are_decoded_once(monkeypatch):
+    """Numbers that lie close together cost no select each; far ones are found one by one, with the same results."""
+    rng = np.random.default_rng(1)
+    values = np.unique(rng.integers(0, 10**6, 20000)).astype(np.uint64)
+    e, asked = elias_fano.EliasFano.build(values), []
+    for name in ("select", "select0"):
+        monkeypatch.setattr(elias_fano.EliasFano, name, lambda self, i, plain=getattr(elias_fano.EliasFano, name): asked.append(len(i)) or plain(self, i))
+    probe = np.arange(400_000, 420_000, dtype=np.uint64)
+    at, hit = e.find(probe)
+    assert (at == np.searchsorted(values, probe)).all() and (hit == np.isin(probe, values)).all()
+    assert (e.access(np.arange(9000, 5000, -1)) == values[9000:5000:-1]).all()
+    assert sum(asked) < 100
+    asked.clear()
+    far = rng.integers(0, 10**6, 50).astype(np.uint64)
+    at, hit = e.find(far)
+    assert (at == np.searchsorted(values, far)).all() and (hit == np.isin(far, values)).all()
+    assert (e.access(np.asarray([3, len(values) - 1, 3])) == values[[3, -1, 3]]).all()
+    assert sum(asked) > 50
+
+
+@pytest.mark.parametrize("top", [1, 50, 10**6, 1 << 62])
+def test_ranked_and_packed(top):
+    key = np.random.default_rng(2).integers(0, top, 5000)
+    distinct, where = ngram_lm.ranked(key)
+    assert distinct.dtype == key.dtype and (distinct == np.unique(key)).all() and (distinct[where] == key).all()
+    back, none = blocks.unpack(blocks.pack(key, key[:0]))
+    assert (back == key.astype(np.uint64)).all() and not len(none)
+
+
 def test_trie_round_trip():
     rng = np.random.default_rng(3)
     triples = np.unique(rng.integers(0, 40, (3000, 3)), axis=0)
