@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Byte table that lower-cases A-Z and leaves every other byte alone.
 LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 
+#: Rows whose texts a worker has as Python's strings at once.
+ROWS_AT_ONCE = 512
+
 _OWN: list[str] = []
 _RECORDS: list[list[DataFrame]] = []
 
@@ -79,6 +83,12 @@ def released(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def parts(batch: pa.RecordBatch, rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of a few rows, which are not copied."""
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
 #: Bits of a key filter, and of one of its rows: 2048 rows of 4 KB, 8 MB at most, whatever the number of keys. More keys only let more pass.
 KEY_BITS, ROW_BITS = 1 << 26, 1 << 15
 

@@ -13,20 +13,23 @@ rest. Repeated rows are packed each. An empty table gives no pieces. Other colum
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, staged
+from .common import LOWER, parts, staged
 
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers at most: the first that it meets, which the frequent ones are among.
-CACHE = 1_000_000
+CACHE = 150_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk long, nth long"
 
@@ -36,6 +39,120 @@ _SEEN: dict[str, dict[bytes, bytes]] = {}
 #: A special token that stands between words when many are encoded at once.
 SEPARATOR, SEPARATOR_ID, AT_ONCE = "<|endoftext|>", 49407, 64
 
+#: Words that `PRE` leaves whole but for punctuation at their end: letters whose lower case is one letter and that no normal form changes.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿА-Яа-яЁё]+)([!-/:-@\\[-`{-~]*)")
+PUNCTUATION = bytes(i for i in range(33, 127) if not chr(i).isalnum())
+#: Letters that stand for bytes in the vocabulary of a byte-level model: printable ones for themselves, the others from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = dict(zip([i for i in range(256) if i not in _PRINTED], range(256, 512), strict=False))
+#: The steps of a tokenizer before its model for which `PLAIN` holds.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+#: Bytes of the words that are merged in arrays, and how many such words at once.
+LONGEST, MERGED_AT_ONCE = 64, 16_384
+
+
+class Merges:
+    """Byte-pair merges of many short words at once: in each round a word's pair that was learned first, the leftmost of those, becomes one.
+
+    Pairs are found in an open hash table of fixed size, so that a round is a few array steps.
+    """
+
+    PAD, NONE, BITS = 65535, np.int32(2**31 - 1), 18
+
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str) -> None:
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+        if max(vocab.values()) >= self.PAD or len(set(pairs)) < len(pairs) or len(pairs) > 1 << (self.BITS - 1):
+            raise ValueError("more tokens or pairs than the table is made for")
+        letters = [chr(_BYTES.get(i, i)) for i in range(256)]
+        self.inner = np.asarray([vocab[c] for c in letters], dtype=np.int32)
+        self.last = np.asarray([vocab[c + suffix] for c in letters], dtype=np.int32)
+        self.made = np.asarray([vocab[a + b] for a, b in pairs], dtype=np.int32)
+        keys = np.asarray([vocab[a] << 16 | vocab[b] for a, b in pairs], dtype=np.int64)
+        self.keys, self.ranks = np.full(1 << self.BITS, -1, dtype=np.int64), np.full(1 << self.BITS, self.NONE, dtype=np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            taken, first = np.unique(slot[free], return_index=True)
+            self.keys[taken], self.ranks[taken] = keys[left[free[first]]], left[free[first]]
+            rest = np.ones(len(left), dtype=bool)
+            rest[free[first]] = False
+            left, slot = left[rest], (slot[rest] + 1) & ((1 << self.BITS) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """When each pair was learned; NONE if it was not."""
+        keys = (a.astype(np.int64) << 16 | b).ravel()
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.ranks[slot], self.NONE)
+        todo = np.flatnonzero((held != keys) & (held >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.BITS) - 1)
+            held = self.keys[slot[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.ranks[slot[todo[hit]]]
+            todo = todo[~hit & (held >= 0)]
+        return out.reshape(a.shape)
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of 1 to LONGEST bytes."""
+        out = [b""] * len(words)
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        order = np.argsort(size, kind="stable")
+        for lo in range(0, len(words), MERGED_AT_ONCE):
+            some = order[lo : lo + MERGED_AT_ONCE]
+            self._merge([words[i] for i in some.tolist()], size[some], some, out)
+        return out
+
+    def _merge(self, words: list[bytes], size: np.ndarray, at: np.ndarray, out: list[bytes]) -> None:
+        raw, width = np.frombuffer(b"".join(words), dtype=np.uint8), int(size.max())
+        columns = np.arange(width)
+        # The last column is empty, so that every place has one to its right.
+        ids = np.full((len(words), width + 1), self.PAD, dtype=np.int32)
+        ids[:, :width][columns < size[:, None]] = self.inner[raw]
+        ids[np.arange(len(words)), size - 1] = self.last[raw[np.cumsum(size) - 1]]
+        rank = self.rank(ids[:, :-1], ids[:, 1:])
+        while len(at):
+            place = rank.argmin(axis=1)
+            best = rank[np.arange(len(at)), place]
+            live = best < self.NONE
+            if not live.all():
+                ended = ids[~live]
+                held = ended != self.PAD
+                flat, cuts = ended[held].astype("<u4").tobytes(), np.cumsum(held.sum(axis=1) * 4).tolist()
+                for i, begin, end in zip(at[~live].tolist(), [0, *cuts], cuts, strict=False):
+                    out[i] = flat[begin:end]
+                at, ids, rank, place, best = at[live], ids[live], rank[live], place[live], best[live]
+            own, moved = np.arange(len(at)), columns > place[:, None]
+            ids[:, :-1] = np.where(moved, ids[:, 1:], ids[:, :-1])
+            ids[own, place] = self.made[best]
+            rank[:, :-1] = np.where(moved[:, :-1], rank[:, 1:], rank[:, :-1])
+            rank[own, place] = self.rank(ids[own, place], ids[own, place + 1])
+            own, place = own[place > 0], place[place > 0]
+            rank[own, place - 1] = self.rank(ids[own, place - 1], ids[own, place])
+
+
+@lru_cache(maxsize=1)
+def _loaded(path: str):
+    """The tokenizer of a file, and its merges where words that match PLAIN need nothing else; tasks of a process share them."""
+    from tokenizers import Tokenizer
+
+    inner = Tokenizer.from_file(path)
+    steps = [json.loads(x.__getstate__()) if x else {} for x in (inner.normalizer, inner.pre_tokenizer)]
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    plain = model["type"] == "BPE" and model.get("end_of_word_suffix") and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    known = steps[0].get("normalizers") == NORMAL and steps[1].get("pretokenizers") == PRE and all("<|" in t.content for t in inner.get_added_tokens_decoder().values())
+    return inner, Merges(model["vocab"], model["merges"], model["end_of_word_suffix"]) if plain and known else None
+
 
 class WordTokenizer:
     """A lower-casing tokenizer that drops white space, applied word by word with a cache: its ids never depend on the words around.
@@ -44,11 +161,33 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.inner = Tokenizer.from_file(path)
+        self.inner, self.merges = _loaded(path)
         self.seen = _SEEN.setdefault(path, {})
 
+    def _plain(self, new: list[bytes], into: dict[bytes, bytes]) -> list[bytes]:
+        """Adds the ids of the plain words among new to into; returns the others."""
+        if self.merges is None:
+            return new
+        others, plain, stems = [], [], []
+        for w in new:
+            # Bytes are letters here if they are ASCII; other words are matched. Lower case keeps the number of bytes.
+            stem = w.rstrip(PUNCTUATION)
+            if len(w) > LONGEST or not stem.isalpha():
+                m = PLAIN.fullmatch(w.decode()) if len(w) <= LONGEST else None
+                if m is None:
+                    others.append(w)
+                    continue
+                stem = m[1].lower().encode()
+            else:
+                stem = stem.lower()
+            plain.append(w)
+            stems.append(stem)
+        # A word with a comma has the ids of the word without it, and then the comma's.
+        tails = list({w[len(stem) :] for w, stem in zip(plain, stems, strict=True) if len(w) > len(stem)})
+        tail_ids = {b"": b""} | dict(zip(tails, self.merges.ids(tails), strict=True))
+        into.update((w, ids if len(w) == len(stem) else ids + tail_ids[w[len(stem) :]]) for w, stem, ids in zip(plain, stems, self.merges.ids(stems), strict=True))
+        return others
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         raws = [t.encode() for t in texts]
         # A special token's text is looked for before anything else, and a combining mark may join a small letter only.
@@ -56,17 +195,19 @@ class WordTokenizer:
         words = [(r if b"\xcc" in r or b"\xcd" in r else r.translate(LOWER)).split() if p else [] for r, p in zip(raws, plain, strict=True)]
         seen, extra = self.seen, {}
         every = set().union(*words)
-        new = [w for w in every if w not in seen]
+        new = self._plain([w for w in every if w not in seen], extra)
         for lo in range(0, len(new), AT_ONCE * 64):
             groups = [new[i : i + AT_ONCE] for i in range(lo, min(lo + AT_ONCE * 64, len(new)), AT_ONCE)]
             for group, got in zip(groups, self.inner.encode_batch_fast([SEPARATOR.join(w.decode() for w in g) for g in groups], add_special_tokens=False), strict=True):
                 ids = np.asarray(got.ids, dtype="<u4")
                 cuts = np.flatnonzero(ids == SEPARATOR_ID)
                 raw, begin = ids.tobytes(), 0
-                into = seen if len(seen) + len(group) <= CACHE else extra
                 for w, end in zip(group, [*(cuts * 4).tolist(), len(raw)], strict=True):
-                    into[w] = raw[begin:end]
+                    extra[w] = raw[begin:end]
                     begin = end + 4
+        if extra and len(seen) + len(extra) <= CACHE:
+            seen.update(extra)
+            extra = {}
         get = ({w: extra[w] if w in extra else seen[w] for w in every} if extra else seen).__getitem__
         return [
             np.frombuffer(b"".join(map(get, ws)), dtype="<u4") if p else np.asarray(self.inner.encode(t, add_special_tokens=False).ids, dtype="<u4")
@@ -91,10 +232,9 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             path = public_tokenizers.path("word_bpe_49k.json")
         tok, chunk, nth = WordTokenizer(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[list[int]] = [[] for _ in range(6)]
-            for lo in range(0, len(texts), 256):
-                for i, got in zip(ids[lo : lo + 256], tok.encode(texts[lo : lo + 256]), strict=True):
+            for some in parts(batch):
+                for i, got in zip(some.column(0).to_pylist(), tok.encode(some.column(1).to_pylist()), strict=True):
                     raw = np.append(got, np.uint32(END_ID)).astype("<u4")
                     for piece, start in enumerate(range(0, len(raw), capacity)):
                         part = raw[start : start + capacity]

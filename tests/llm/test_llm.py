@@ -664,6 +664,37 @@ def test_words_encode_as_texts(tokenizer, rows):
     assert [g.tolist() for g in got] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_plain_words_are_merged_together(tokenizer):
+    """Words of letters, with or without punctuation after them, never go through the whole tokenizer; their ids are the same."""
+    from tokenizers import Tokenizer
+
+    whole, rng = Tokenizer.from_file(tokenizer), random.Random(7)
+    letters = [*map(chr, range(0xC0, 0x180)), *map(chr, range(0x370, 0x530)), *string.ascii_letters * 8]
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) + rng.choice(["", "", ",", "'", "...", "!?'"]) for _ in range(30)) for _ in range(200)]
+    texts += ["it's 's x's, ('s abc' O'Neil's. a" + "b" * 300, "  ", "é" * 200 + "!", "ª º µ × ÷ ŉ ſ ẞ"]
+    tok = packing.WordTokenizer(tokenizer)
+    assert [g.tolist() for g in tok.encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert tok._plain(["zür,".encode(), b"qwxyz", "день".encode(), b"4x"], {}) == [b"4x"]
+
+
+def test_workers_take_few_texts_at_once(tokenizer, monkeypatch):
+    """Whatever the size of a batch, a worker has a few of its texts as strings, and remembers a bounded number of words."""
+    import pyarrow as pa
+
+    from crawlweave.llm import common
+
+    batch = pa.RecordBatch.from_pydict({"n": list(range(1300))})
+    assert [x.num_rows for x in common.parts(batch)] == [512, 512, 276]
+    assert [v for x in common.parts(batch) for v in x.column(0).to_pylist()] == list(range(1300)) and not list(common.parts(batch.slice(0, 0)))
+    assert packing.CACHE <= 150_000
+    monkeypatch.setattr(packing, "_SEEN", {})
+    monkeypatch.setattr(packing, "CACHE", 3)
+    tok = packing.WordTokenizer(tokenizer)
+    first, again = tok.encode(["one two", "three"]), tok.encode(["four five one", "three 6"])
+    assert len(tok.seen) == 3
+    assert [len(x) for x in first] == [2, 1] and again[0][-1] == first[0][0] and again[1][0] == first[1][0]
+
+
 def test_packing(frame, rows, tokenizer):
     from tokenizers import Tokenizer
 
