@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, released, staged
+from .common import LOWER, parts, released, staged
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -126,7 +126,7 @@ def sets(docs: DataFrame, doc_id: str, text: str, threshold: float, runs: int) -
             marks: list = []
             got: list[np.ndarray] = []
             size = 0
-            for i, m, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(1).to_pylist(), ids), strict=True):
+            for i, m, s in (x for some in parts(batch) for x in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), shingle_sets(some.column(1).to_pylist(), ids), strict=True)):
                 got_ids.append(i)
                 marks.append(m)
                 got.append(s)

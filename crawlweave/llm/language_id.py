@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts
+
 #: Code points of an n-gram.
 GRAM = 4
 #: Labelled documents per language that training looks at, about: they are chosen by a hash of their id.
@@ -225,7 +227,8 @@ def identify(docs: DataFrame, model: Filters, text: str = "text", keep: list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = model.predict(batch.column(at).to_pylist())
+            told = [model.predict(some.column(at).to_pylist()) for some in parts(batch)]
+            langs, scores = [x for some, _ in told for x in some], np.concatenate([np.zeros(0), *(x for _, x in told)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:count], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
 
     return picked.mapInArrow(run, schema)
