@@ -7,6 +7,8 @@
 5. best-fit packing: what is left is tokenised and packed into sequences.
 
 What a stage has put aside in the shared folder is deleted when the next stage begins: its documents are written by then.
+The session's spark.sql.execution.arrow.maxBytesPerBatch is set, and stays set, unless it has been set before: a stage's
+rows are read after it has returned.
 
 Cases: an empty table gives no pieces. Null texts go in the first stage. Repeated rows are one document after the third,
 and so are rows that agree in id and text alone. Very long texts are whole documents in every stage. Columns of documents
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlweave.llm import jaccard_join, language_id, line_dedup, mixing, packing
-from crawlweave.llm.common import recorded, released, staged, table
+from crawlweave.llm.common import recorded, released, small_batches, staged, table
 
 #: Share of a text's n-grams, corrected, that its language's filter must hold.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -34,12 +36,13 @@ _aside: list[DataFrame] = []
 
 
 def _stage(run: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage that first deletes what the one before has put aside."""
+    """A stage that first deletes what the one before has put aside, and whose rows go to workers in small batches."""
 
     @wraps(run)
     def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         released(*(x for x in _aside if x.sparkSession is spark))
         _aside.clear()
+        small_batches(spark)
         with recorded() as made:
             out = run(spark, docs, sf_dir)
         _aside.extend(made)

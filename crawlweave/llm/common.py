@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,6 +91,32 @@ def parts(batch: pa.RecordBatch, rows: int = ROWS_AT_ONCE) -> Iterator[pa.Record
         yield batch.slice(lo, rows)
 
 
+#: Bytes of the batches in which `small_batches` has rows sent to workers.
+_BATCH_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends rows to workers in batches of about BATCH_BYTES, unless it has a size of its own: executor and worker hold a few batches a task, within and beside the heap."""
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which at its end gives the memory it has freed back to the system: allocators keep it, and a worker lives on after its task."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+            if trim:
+                trim(0)
+
+    return task
+
+
 #: Bits of a key filter, and of one of its rows: 2048 rows of 4 KB, 8 MB at most, whatever the number of keys. More keys only let more pass.
 KEY_BITS, ROW_BITS = 1 << 26, 1 << 15
 

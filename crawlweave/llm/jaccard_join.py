@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, parts, released, staged
+from .common import LOWER, lean, parts, released, staged
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -137,7 +137,7 @@ def sets(docs: DataFrame, doc_id: str, text: str, threshold: float, runs: int) -
             if got:
                 yield flush(got_ids, marks, got)
 
-    return staged(rows.mapInArrow(run, "doc_id long, text_md5 string, key binary, sketch binary, paths array<bigint>"), "sets")
+    return staged(rows.mapInArrow(lean(run), "doc_id long, text_md5 string, key binary, sketch binary, paths array<bigint>"), "sets")
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -353,7 +353,7 @@ def tokens_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 
     plain = F.coalesce(F.col(text), F.lit(""))
     found = docs.select(plain.alias("text"), F.md5(plain).alias("text_md5")).select("text", "text_md5", *[p.alias(f"p{i}") for i, p in enumerate(_filter_places(F.col("text_md5")))])
-    return staged(found.mapInArrow(run, "text_md5 string, tokens binary").join(wanted, "text_md5").select("node", "root", "copies", "tokens").dropDuplicates(["node"]), "tokens")
+    return staged(found.mapInArrow(lean(run), "text_md5 string, tokens binary").join(wanted, "text_md5").select("node", "root", "copies", "tokens").dropDuplicates(["node"]), "tokens")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
@@ -366,22 +366,22 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     level = classes.select("node", F.explode("paths").alias("path")).distinct()
     sizes = staged(level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     met = staged(level.join(sizes, "path").join(classes.select("node", "sketch"), "node"), "met")
-    links, dense = _sorted(met.where(F.col("n") <= SMALL), "path").mapInArrow(_small_links, "a long, b long"), met.where(F.col("n") > SMALL)
+    links, dense = _sorted(met.where(F.col("n") <= SMALL), "path").mapInArrow(lean(_small_links), "a long, b long"), met.where(F.col("n") > SMALL)
     for _ in range(DEPTH - 1):
         if dense.isEmpty():
             break
-        level = staged(dense.select("node", "path", "sketch").mapInArrow(_children(threshold), "node long, path long, sketch binary").dropDuplicates(["node", "path"]), "level")
+        level = staged(dense.select("node", "path", "sketch").mapInArrow(lean(_children(threshold)), "node long, path long, sketch binary").dropDuplicates(["node", "path"]), "level")
         sizes = staged(level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
         met = staged(level.join(sizes, "path"), "met")
-        links, dense = links.union(_sorted(met.where(F.col("n") <= SMALL), "path").mapInArrow(_small_links, "a long, b long")), met.where(F.col("n") > SMALL)
+        links, dense = links.union(_sorted(met.where(F.col("n") <= SMALL), "path").mapInArrow(lean(_small_links), "a long, b long")), met.where(F.col("n") > SMALL)
     heavy = _in_blocks(dense.select(F.col("path").alias("bucket"), "node", "sketch"))
-    links = links.union(_sorted(heavy, "bucket", "i", "j").mapInArrow(_dense_links, "a long, b long"))
+    links = links.union(_sorted(heavy, "bucket", "i", "j").mapInArrow(lean(_dense_links), "a long, b long"))
     likely = staged(components(links), "likely")
     released(met)
     # Exact comparison of all pairs within these groups, in blocks: links, and their numbers.
     tokens = tokens_of(docs, classes.join(likely, "node").select("node", "root", "copies", "text_md5"), text)
     inside = _in_blocks(tokens.select(F.col("root").alias("bucket"), "node", "copies", "tokens"))
-    exact = staged(_sorted(inside, "bucket", "i", "j").mapInArrow(_exact(threshold), "a long, b long, links long"), "exact")
+    exact = staged(_sorted(inside, "bucket", "i", "j").mapInArrow(lean(_exact(threshold)), "a long, b long, links long"), "exact")
     released(tokens, likely)
     roots = staged(components(exact.where("b IS NOT NULL").select("a", "b")), "roots")
     counted = exact.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))

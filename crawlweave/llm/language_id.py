@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import lean, parts
 
 #: Code points of an n-gram.
 GRAM = 4
@@ -185,9 +185,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     if not langs:
         return Filters.build([], [])
     scale = 1_000_000
-    # One row for each label, joined: the plan does not grow with their number.
+    # One row for each label, joined: the plan does not grow with their number. From Arrow: rows of a list are made by workers of their own.
     facts = [(v, i, int(min(1, sample_docs / counts[v]) * scale), max(2, int(MIN_SHARE * min(counts[v], sample_docs))) if counts[v] > 1 else 1) for i, v in enumerate(langs)]
-    per = labelled.sparkSession.createDataFrame(facts, "lang string, i int, rate int, least int")
+    kinds = {"lang": pa.string(), "i": pa.int32(), "rate": pa.int32(), "least": pa.int32()}
+    per = labelled.sparkSession.createDataFrame(pa.table({c: pa.array(v, ty) for (c, ty), v in zip(kinds.items(), zip(*facts, strict=True), strict=True)}))
     few = len(facts) <= BROADCAST_LABELS
     chosen = rows.join(F.broadcast(per) if few else per, "lang").where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(7)), F.lit(scale)) < F.col("rate"))
 
@@ -209,7 +210,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i), pa.int32()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "docs"])
 
     least = per.select(F.col("i").alias("lang"), "least")
-    counted = chosen.select("i", "text").mapInArrow(emit, "lang int, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
+    counted = chosen.select("i", "text").mapInArrow(lean(emit), "lang int, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
     kept = counted.join(F.broadcast(least) if few else least, "lang").where("docs >= least").select("lang", "gram").toPandas()
     sets = [kept.gram[kept.lang == i].to_numpy(dtype=np.int64).view(np.uint64) for i in range(len(langs))]
     return Filters.build(langs, sets)
@@ -231,4 +232,4 @@ def identify(docs: DataFrame, model: Filters, text: str = "text", keep: list[str
             langs, scores = [x for some, _ in told for x in some], np.concatenate([np.zeros(0), *(x for _, x in told)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:count], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(lean(run), schema)

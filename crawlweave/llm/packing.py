@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, parts, staged
+from .common import LOWER, lean, parts, staged
 
 CAPACITY = 4096
 END_ID = 1
@@ -245,7 +245,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             arrays = [pa.array(v, ty) for v, ty in zip(out, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*arrays[:5], pa.array(np.full(len(out[0]), chunk), pa.int64()), arrays[5]], names=["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "nth"])
 
-    return staged(rows.mapInArrow(run, PIECES), "pieces")
+    return staged(rows.mapInArrow(lean(run), PIECES), "pieces")
 
 
 class CapacityTree:
@@ -343,7 +343,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             bins, offset = place(*(batch.column(k).to_numpy() for k in ("length", "rank")), table)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bins), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crawlweave.llm import blocks, bm25, chat, elias_fano, fingerprint, jaccard_join, language_id, line_dedup, mixing, ngram_lm, packing, queries, url_filter
+from crawlweave.llm import blocks, bm25, chat, common, elias_fano, fingerprint, jaccard_join, language_id, line_dedup, mixing, ngram_lm, packing, queries, url_filter
 from crawlweave.llm.common import id_bucket
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, block long, key string"
@@ -867,6 +867,53 @@ def test_pipeline_keeps_short_texts_with_a_letter(spark):
     assert {r["doc_id"] for r in corpus_pipeline.by_language(spark, table, "").collect()} == {*range(8), 100, 101}
 
 
+def test_pipeline_sends_small_batches(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    stage = corpus_pipeline._stage(lambda spark, rows, sf_dir: rows.mapInArrow(sizes, "n long, size long"))
+    table = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("abcdefgh "), 300).alias("text"))
+    got = stage(spark, table, "").collect()
+    assert sum(r["n"] for r in got) == 4000 and max(r["size"] for r in got) < 2 * common.BATCH_BYTES
+
+
+def test_size_of_batches_that_a_session_has_is_kept(spark):
+    other = spark.newSession()
+    other.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "5m")
+    common.small_batches(other)
+    assert other.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("5m", f"{5 << 20}b")
+
+
+def test_worker_gives_freed_memory_back():
+    def run(batches):
+        blocks = [bytearray(b"x" * 50_000) for _ in range(4000)]
+        held.extend(blocks[99::100])  # strewn among the others: the allocator keeps what is below them unless it is asked
+        yield from batches
+        del blocks
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    held, before = [], resident()
+    assert list(common.lean(run)(iter([1, 2]))) == [1, 2]
+    assert resident() < before + 50
+
+
+def test_language_id_makes_no_rows_in_workers(spark, monkeypatch):
+    def none(*args, **kwargs):
+        raise AssertionError("rows of a list go through workers")
+
+    table = docs(spark, [(i, "the thing that was there " * 5, "en", None) for i in range(8)])
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", none)
+    assert language_id.train(table).langs == ["en"]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, data, name):
     con = duckdb.connect()
