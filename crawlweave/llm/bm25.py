@@ -2,14 +2,15 @@
 
 A shard is a block of documents with an inverted index: postings by term, their BM25 impacts, and the greatest impact of
 each frequent term in every run of RUN documents. A shard's documents are ordered by likeness (a few rounds of k-means
-over the frequent terms), so that runs are alike and their maxima tight. Document frequencies, the number of documents and
+over the frequent terms, then length), so that runs are alike and their maxima tight, and cut into parts of one kind and
+about one length, each with frequent terms of its own: those of long texts, which most of the best are, are many. Document frequencies, the number of documents and
 the mean length are those of the whole corpus, so that scores are comparable and the shards' best k merge exactly.
 
 A query visits its own shard first; its k-th best score there is its first threshold. Then it visits shards at growing
 distances, FACTOR times as many each round, with the k-th best score so far, which a task raises by what its own shards
-have returned. In a shard the queries of a kind are scored together. The lists of their rare terms are added up, and those
-of frequent terms that few of them have; a run's bound is the greatest of these sums in it plus the maxima of the other
-frequent terms. Runs whose bound is below the threshold are skipped whole, by batches of queries that need about equally
+have returned. In a shard the queries of a kind and size are scored together, part by part. The lists of terms that are rare in
+a part are added up, and those of frequent terms that few of them have; a run's bound is the greatest of these sums in it
+plus the maxima of the other frequent terms. Runs whose bound is below the threshold are skipped whole, by batches of queries that need about equally
 many; the documents of the others are scored by a product of matrices in single precision, and those that may reach the
 threshold again in double precision. Bounds and margins are never below the score, so nothing is lost. A shard returns only
 what reaches the threshold: about k times FACTOR rows a query and round at most, whatever the number of shards.
@@ -30,6 +31,7 @@ rows. A very long text is a shard of its own. Other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -48,15 +50,18 @@ SHARD_BYTES, RUN = 32_000_000, 64
 GROUP_BYTES, GROUP_QUERIES = 48_000_000, 16_384
 #: How many times as many shards are visited each round; queries scored at once.
 FACTOR, BATCH = 4, 128
-#: Queries, and cells of queries by documents, whose sums of lists are held at once.
-KNOWN, CELLS = 512, 5_000_000
-#: Postings of a list that is joined whole. A posting of a list costs so many times a cell of the product of matrices.
-LONG, LIST_COST = 16, 200
+#: Queries, and cells of queries by documents, whose sums of lists are held at once; postings that are added up at once;
+#: terms of queries of a kind and size that are looked at together.
+KNOWN, CELLS, POSTINGS, ENTRIES = 512, 5_000_000, 50_000, 500_000
+#: A posting of a list costs so many times a cell of the product of matrices.
+LIST_COST = 400
+#: Words of documents, and terms of queries, where a class of lengths ends. Documents of a part at least, if its kind has as many.
+CLASSES, QUERY_CLASSES, PART = (600, 2400), (160, 640), 128
 #: So many runs that no query needs are scored with their neighbours.
 BRIDGE = 4
 #: Rows of the vocabulary's shards, about.
 VOCABULARY_TOKENS = 2_000_000
-#: A term is frequent in a shard if this share of its documents has it. Kinds of documents that are told apart, and rounds.
+#: A term is frequent in a part, or a shard, if this share of its documents has it. Kinds of documents that are told apart, and rounds.
 FREQUENT, KINDS, ROUNDS = 1 / 16, 8, 3
 #: Places that scores are rounded to; what single precision may be wrong by, as a share of the largest possible score.
 PLACES, MARGIN, SINGLE = 6, 1e-5, 4e-5
@@ -96,16 +101,17 @@ def _frequent(counts: np.ndarray, n: int) -> np.ndarray:
 
 
 def _split(mean: float):
-    """Of every block its index, the order of its documents by likeness, and its queries."""
+    """Of every block its index with documents in order of likeness, the kind and place that each had, and its queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 terms, df, begins, docs, tf = _postings(row)
                 lengths = unpack(row["lengths"])[0]
-                index = pack(lengths, terms, np.diff(begins), docs, tf)
                 impact = tf * (K1 + 1) / (tf + _norm(lengths, mean)[docs])
-                likeness = pack(*_by_likeness(_dense(_frequent(np.diff(begins), len(lengths)), begins, docs, impact, len(lengths), np.float32).T, lengths))
+                place, kind = _by_likeness(_dense(_frequent(np.diff(begins), len(lengths)), begins, docs, impact, len(lengths), np.float32).T, lengths)
+                index = pack(lengths[place], terms, np.diff(begins), *_renumbered(place, np.diff(begins), docs, tf))
+                likeness = pack(np.arange(len(place)), kind, place)
                 chosen = np.flatnonzero(np.asarray(row["marks"]) == 1)
                 # The postings again by document, of the queries alone.
                 of_term = np.repeat(np.arange(len(terms)), np.diff(begins))
@@ -113,7 +119,7 @@ def _split(mean: float):
                 mine = mine[np.argsort(docs[mine], kind="stable")]
                 sizes = np.bincount(docs[mine], minlength=len(row["doc_ids"]))[chosen]
                 asked = pack(chosen, sizes, terms[of_term[mine]], df[of_term[mine]], tf[mine])
-                ids = [row["doc_ids"], [row["doc_ids"][i] for i in chosen]]
+                ids = [[row["doc_ids"][i] for i in where] for where in (place, chosen)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(["index", "queries"]), pa.array([row["block"]] * 2, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array([index, asked], pa.binary()), pa.array([likeness, None], pa.binary()), pa.array([0, len(chosen)], pa.int64())],
                     names=["kind", "shard", "doc_ids", "body", "likeness", "queries"],
@@ -131,12 +137,15 @@ def _by_likeness(x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     if not len(x):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    # The first centre is the mean, each next one the row that is least like those so far.
-    centres = [unit.mean(axis=0)]
-    like = unit @ centres[0]
+    # The first centre is the mean, each next one the row that is least like those so far. Rows of few terms are like
+    # nothing: as centres they would leave all others to the first one, so they are none.
+    terms = np.count_nonzero(x, axis=1)
+    full = unit[terms >= np.median(terms[terms > 0])] if terms.any() else unit
+    centres = [full.mean(axis=0)]
+    like = full @ centres[0]
     for _ in range(KINDS - 1):
-        centres.append(unit[int(np.argmin(like))])
-        like = np.maximum(like, unit @ centres[-1])
+        centres.append(full[int(np.argmin(like))])
+        like = np.maximum(like, full @ centres[-1])
     centres = np.asarray(centres, dtype=np.float32)
     kind = np.zeros(len(x), dtype=np.int64)
     for _ in range(ROUNDS):
@@ -149,6 +158,33 @@ def _by_likeness(x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, kind[order]
 
 
+def _renumbered(place: np.ndarray, counts: np.ndarray, docs: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of documents and counts with the documents numbered by their index in place, each in order."""
+    number = np.empty(len(place), dtype=np.int64)
+    number[place] = np.arange(len(place))
+    docs = number[docs]
+    # By document, then by term: sixteen bits at a time, the lowest first.
+    term = np.repeat(np.arange(len(counts)), counts)
+    order = np.arange(len(docs))
+    for key in (docs, docs >> 16, term, term >> 16):
+        digit = (key & 0xFFFF).astype(np.uint16)
+        if digit.any():
+            order = order[np.argsort(digit[order], kind="stable")]
+    return docs[order], tf[order]
+
+
+def _parts(kind: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Where parts begin, and the end: documents of a kind (in order of length) are cut where a class of lengths begins, but not in parts of less than PART."""
+    key = kind * (len(CLASSES) + 1) + np.searchsorted(CLASSES, lengths)
+    out: list[int] = []
+    for at in np.flatnonzero(np.diff(key, prepend=-1)).tolist():
+        # A class of few documents goes to the next longer one of its kind.
+        if out and kind[out[-1]] == kind[at] and at - out[-1] < PART:
+            continue
+        out.append(at)
+    return np.asarray([*out, len(kind)], dtype=np.int64)
+
+
 class Queries:
     """Queries one behind another: query i has the terms unique[term[cuts[i] : cuts[i + 1]]] and their weights."""
 
@@ -157,86 +193,153 @@ class Queries:
         self.term = term.astype(np.int32)
         self.weights, self.cuts = weights, np.concatenate([[0], np.cumsum(sizes)])
 
+    def entries(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of all terms of some queries the index of the query in chosen, and the term's place in term and weights."""
+        sizes = self.cuts[chosen + 1] - self.cuts[chosen]
+        return np.repeat(np.arange(len(chosen)), sizes), _within(self.cuts[chosen], sizes)
+
 
 def _within(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places of all of the runs that begin at begins."""
-    return np.arange(int(sizes.sum())) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+    out = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+    out += np.arange(len(out))
+    return out
 
 
 class Shard:
-    """An index in memory. Documents are numbered by likeness (as packed, or worked out); place gives the place that each had."""
+    """An index in memory. Documents are numbered by likeness (as packed, or worked out); place gives the place that each had.
+
+    A part is a run of documents of one kind and about one length. Impacts of terms that are frequent in it are a matrix of
+    its own; what a term's list has of a part is a run of the list.
+    """
 
     def __init__(self, doc_ids: list, body: bytes, mean: float, likeness: bytes | None = None) -> None:
         lengths, self.terms, counts, docs, tf = unpack(body)
         self.n, self.terms, self.counts = len(doc_ids), self.terms.astype(np.int64), counts.astype(np.int64)
         self.begins = np.concatenate([[0], np.cumsum(self.counts)])
         norm = _norm(lengths, mean)
-        self.impact = tf * (K1 + 1) / (tf + norm[docs])
-        frequent = _frequent(self.counts, self.n)
-        self.column = np.full(len(self.terms), -1, dtype=np.int32)
-        self.column[frequent] = np.arange(len(frequent))
-        self.df = self.counts[frequent]
-        place, kind = unpack(likeness) if likeness else _by_likeness(_dense(frequent, self.begins, docs, self.impact, self.n, np.float32).T, lengths)
-        self.place = place.astype(np.int64)
-        number = np.empty(self.n, dtype=np.int64)
-        number[self.place] = np.arange(self.n)
-        self.docs, self.norm = number[docs], norm[self.place]
-        self.dense = _dense(frequent, self.begins, self.docs, self.impact, self.n, np.float32)
-        self.tf = _dense(frequent, self.begins, self.docs, tf, self.n, np.min_scalar_type(int(tf.max()) if len(tf) else 0))
-        ids = [doc_ids[i] for i in self.place.tolist()]
+        if likeness:
+            place, kind, *was = (x.astype(np.int64) for x in unpack(likeness))
+        else:
+            frequent, was = _frequent(self.counts, self.n), []
+            place, kind = _by_likeness(_dense(frequent, self.begins, docs, tf * (K1 + 1) / (tf + norm[docs]), self.n, np.float32).T, lengths)
+        if not np.array_equal(place, np.arange(self.n)):
+            docs, tf = _renumbered(place, self.counts, docs, tf)
+        self.place = was[0] if was else place
+        self.docs, self.tf, self.norm = docs.astype(np.uint16 if self.n <= 1 << 16 else np.uint32), tf, norm[place]
+        self.impact = (tf * (K1 + 1) / (tf + self.norm[docs])).astype(np.float32)
+        # Document and impact side by side: a list is fetched from memory once.
+        self.lists = np.empty(len(docs), dtype=[("doc", np.uint32), ("impact", np.float32)])
+        self.lists["doc"], self.lists["impact"] = self.docs, self.impact
+        self.lists = self.lists.view(np.int64)
+        ids = [doc_ids[i] for i in place.tolist()]
         self.ids = np.asarray([np.iinfo(np.int64).max if i is None else i for i in ids], dtype=np.int64)
         self.null = np.asarray([i is None for i in ids], dtype=bool)
-        self.heads = np.arange(0, self.n, RUN)
-        self.run_max = np.maximum.reduceat(self.dense, self.heads, axis=1) if self.n else self.dense
-        # The mean direction of each kind of documents.
-        share = 1 / np.maximum(np.sqrt(np.einsum("ij,ij->j", self.dense, self.dense)), 1e-9)
-        first = np.flatnonzero(np.diff(kind.astype(np.int64), prepend=-1))
-        ends = np.append(first[1:], self.n)
-        centres = np.asarray([self.dense[:, lo:hi] @ share[lo:hi] for lo, hi in zip(first, ends, strict=True)]).reshape(len(first), len(frequent))
-        self.centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
-        # Lists that are worth a view of their own.
-        own = np.flatnonzero(self.counts >= LONG)
-        self.long = np.full(len(self.terms), -1, dtype=np.int32)
-        self.long[own] = np.arange(len(own))
-        spans = list(zip(self.begins[own].tolist(), self.begins[own + 1].tolist(), strict=True))
-        self.long_docs, self.long_impact = [self.docs[a:z] for a, z in spans], [self.impact[a:z] for a, z in spans]
+        self.edges = _parts(kind, lengths[place])
+        self._wide(kind)
         self.skipped = self.visited = 0
 
-    def exact(self, docs: np.ndarray, rare: np.ndarray, columns: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        tf = self.tf[columns[:, None], docs].astype(np.float64)
-        return rare + weights @ (tf * (K1 + 1) / (tf + self.norm[docs]))
-
-    def _rare(self, query: np.ndarray, at: np.ndarray, weights: np.ndarray, queries: int) -> np.ndarray:
-        """Sums of the terms that are read by their lists, by query and document. Long lists are joined whole, short ones gathered."""
-        out = np.zeros((queries, self.n))
-        order = np.lexsort((self.long[at] < 0, query))
-        query, at, weights = query[order], at[order], weights[order]
-        sizes, long = self.counts[at], self.long[at]
-        ends = np.searchsorted(query, np.arange(queries + 1)).tolist()
-        middles = np.searchsorted(2 * query + (long < 0), 2 * np.arange(queries) + 1).tolist()
-        numbers = long.tolist()
-        for i in range(queries):
-            a, m, z = ends[i], middles[i], ends[i + 1]
-            if a == z:
-                continue
-            where = _within(self.begins[at[m:z]], sizes[m:z])
-            lists = numbers[a:m]
-            docs = np.concatenate([self.long_docs[t] for t in lists] + [self.docs.take(where)])
-            value = np.concatenate([self.long_impact[t] for t in lists] + [self.impact.take(where)])
-            value *= np.repeat(weights[a:z], sizes[a:z])
-            out[i] = np.bincount(docs, value, minlength=self.n)
+    def _wide(self, kind: np.ndarray) -> None:
+        """Matrices of the parts, and where the lists of terms that are in one of them pass from part to part."""
+        sizes = np.diff(self.edges)
+        least = np.maximum(FREQUENT * sizes, 8)
+        some = np.flatnonzero(self.counts > least.min(initial=8))
+        part = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        where = _within(self.begins[some], self.counts[some])
+        cell = np.repeat(np.arange(len(some)) * len(sizes), self.counts[some]) + part[self.docs[where]]
+        df = np.bincount(cell, minlength=len(some) * len(sizes)).reshape(len(some), len(sizes))
+        wide = (df > least).any(axis=1)
+        some, self.df = some[wide], df[wide]
+        self.wide = np.full(len(self.terms), -1, dtype=np.int32)
+        self.wide[some] = np.arange(len(some))
+        self.passes = self.begins[some][:, None] + np.concatenate([np.zeros((len(some), 1), np.int64), np.cumsum(self.df, axis=1)], axis=1)
+        #: Of each part its frequent terms (as in wide), their impacts and counts by document, and their greatest impact by run.
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        for p, (lo, hi) in enumerate(itertools.pairwise(self.edges.tolist())):
+            own = np.flatnonzero(self.df[:, p] > least[p])
+            where, row = _within(self.passes[own, p], self.df[own, p]), np.repeat(np.arange(len(own)), self.df[own, p])
+            doc = self.docs[where].astype(np.int64) - lo
+            dense, tf = np.zeros((len(own), hi - lo), np.float32), np.zeros((len(own), hi - lo), self.tf.dtype)
+            dense[row, doc], tf[row, doc] = self.impact[where], self.tf[where]
+            self.parts.append((own, dense, tf, np.maximum.reduceat(dense, np.arange(0, hi - lo, RUN), axis=1)))
+        # The direction of each kind of documents.
+        sums = np.concatenate([[0], np.cumsum(self.impact, dtype=np.float64)])
+        sums = np.diff(sums[self.passes], axis=1)
+        of = kind[self.edges[:-1]] if self.n else kind
+        centres = np.asarray([sums[:, of == k].sum(axis=1) for k in np.unique(of)]).reshape(len(np.unique(of)), len(some))
+        self.centres = np.ascontiguousarray((centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)).T, dtype=np.float32)
+
+    def _exact(self, whose: np.ndarray, docs: np.ndarray, used: list[np.ndarray], entries: tuple[np.ndarray, ...], runs: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Scores of pairs of query and document in double precision: from the parts' matrices where they were used, from the lists elsewhere."""
+        (row, wide, weight), (run_row, begins, sizes, run_weight) = entries, runs
+        part = np.searchsorted(self.edges, docs, side="right") - 1
+        span, run_span = (np.stack([np.searchsorted(x, whose), np.searchsorted(x, whose + 1)]) for x in (row, run_row))
+        number, run_number = span[1] - span[0], run_span[1] - run_span[0]
+        total = np.concatenate([[0], np.cumsum(number + run_number)])
+        out, lo = np.zeros(len(docs)), 0
+        while lo < len(docs):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + 4 * POSTINGS, side="right")) - 1)
+            # The document's place in each list, by halves.
+            at, pair = _within(run_span[0, lo:hi], run_number[lo:hi]), np.repeat(np.arange(lo, hi), run_number[lo:hi])
+            begin, want = begins[at], docs[pair]
+            last = begin + sizes[at] - 1
+            some = np.flatnonzero((self.docs[begin] <= want) & (self.docs[last] >= want))
+            at, pair, begin, last, want = at[some], pair[some], begin[some], last[some], want[some]
+            while (begin < last).any():
+                middle = (begin + last) >> 1
+                less = self.docs[middle] < want
+                begin, last = np.where(less, middle + 1, begin), np.where(less, last, middle)
+            some = np.flatnonzero(self.docs[begin] == want)
+            pair, tf, by = pair[some], self.tf[begin[some]].astype(np.float64), run_weight[at[some]]
+            pairs, impacts = [pair], [by * (tf * (K1 + 1) / (tf + self.norm[docs[pair]]))]
+            at, pair = _within(span[0, lo:hi], number[lo:hi]), np.repeat(np.arange(lo, hi), number[lo:hi])
+            of = part[pair]
+            for p in np.unique(part[lo:hi]).tolist():
+                some = np.flatnonzero(of == p)
+                column = used[p][wide[at[some]]]
+                some, column = some[column >= 0], column[column >= 0]
+                doc = docs[pair[some]]
+                tf = self.parts[p][2][column, doc - self.edges[p]].astype(np.float64)
+                pairs.append(pair[some])
+                impacts.append(weight[at[some]] * (tf * (K1 + 1) / (tf + self.norm[doc])))
+            out[lo:hi] = np.bincount(np.concatenate(pairs) - lo, np.concatenate(impacts), minlength=hi - lo)
+            lo = hi
+        return out
+
+    def _rare(self, row: np.ndarray, begins: np.ndarray, sizes: np.ndarray, weights: np.ndarray, rows: int) -> np.ndarray:
+        """Sums of runs of lists by row and document; rows in order."""
+        out = np.zeros((rows, self.n), dtype=np.float32)
+        cuts = np.searchsorted(row, np.arange(rows + 1))
+        total = np.concatenate([[0], np.cumsum(sizes)])[cuts]
+        weights, lo = weights.astype(np.float32), 0
+        while lo < rows:
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + POSTINGS, side="right")) - 1)
+            hi = min(hi, lo + max(1, 4 * POSTINGS // self.n))
+            part = slice(cuts[lo], cuts[hi])
+            size = sizes[part]
+            both = self.lists.take(_within(begins[part], size))
+            doc = np.repeat((row[part] - lo) * self.n, size)
+            doc += both.view(np.uint32)[::2]
+            value = np.repeat(weights[part], size)
+            value *= both.view(np.float32)[1::2]
+            out[lo:hi] = np.bincount(doc, value, minlength=(hi - lo) * self.n).reshape(hi - lo, self.n)
+            lo = hi
         return out
 
     def _batch(self, dense: np.ndarray, run_max: np.ndarray, heavy: np.ndarray, rare: np.ndarray, least: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """(queries, documents, single-precision scores) of all that may be among a query's best k and reach its least score."""
-        top = np.maximum.reduceat(rare, self.heads, axis=1)
+        """(queries, documents, single-precision scores) of all of a part that may be among a query's best k and reach its least score."""
+        n = rare.shape[1]
+        top = np.maximum.reduceat(rare, np.arange(0, n, RUN), axis=1)
         margin = MARGIN + SINGLE * ((K1 + 1) * heavy.sum(axis=1, dtype=np.float64) + top.max(axis=1))
         least = least - margin
         alive = heavy @ run_max + top >= least[:, None]
         self.visited += alive.size
         # Queries that need equally many runs go together; neighbouring runs that one of them needs are scored at once.
-        by_need = np.argsort(np.count_nonzero(alive, axis=1), kind="stable")
-        for at in range(0, len(least), BATCH):
+        needs = np.count_nonzero(alive, axis=1)
+        by_need = np.argsort(needs, kind="stable")
+        none = int(np.count_nonzero(needs == 0))
+        self.skipped += none * alive.shape[1]
+        for at in range(none, len(least), BATCH):
             some = by_need[at : at + BATCH]
             need = alive[some].any(axis=0)
             self.skipped += len(some) * int((~need).sum())
@@ -244,7 +347,7 @@ class Shard:
             if len(edges) > 1:
                 far = edges[1:, 0] - edges[:-1, 1] > BRIDGE
                 edges = np.stack([edges[np.append(True, far), 0], edges[np.append(far, True), 1]], axis=1)
-            for lo, hi in np.minimum(edges * RUN, self.n).tolist():
+            for lo, hi in np.minimum(edges * RUN, n).tolist():
                 total = heavy[some] @ dense[:, lo:hi]
                 total += rare[some, lo:hi]
                 bar = least[some].astype(np.float32)
@@ -253,10 +356,11 @@ class Shard:
                     bar[whole] = np.partition(total[whole], -k, axis=1)[:, -k] - 2 * margin[some[whole]]
                 hit = total >= np.nextafter(bar, np.float32(-np.inf))[:, None]
                 found = np.flatnonzero(hit)
-                i, d = np.divmod(found, hi - lo)
-                score = total.reshape(-1)[found]
-                real = score > 0
-                yield some[i[real]], d[real] + lo, score[real], margin[some[i[real]]]
+                if len(found):
+                    i, d = np.divmod(found, hi - lo)
+                    score = total.reshape(-1)[found]
+                    real = score > 0
+                    yield some[i[real]], d[real] + lo, score[real], margin[some[i[real]]]
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], least: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(number of the query, numbers and rounded scores of its best k documents that reach its least score) of each (terms, weights)."""
@@ -267,68 +371,116 @@ class Shard:
         yield from ((i, *found.get(i, none)) for i in range(len(queries)))
 
     def search_some(self, queries: Queries, chosen: np.ndarray, least: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """The same for some queries, by index in chosen, if any document is found. Queries of a kind are scored together, so that they skip the same runs."""
+        """The same for some queries, by index in chosen, if any document is found. Queries of a kind and size are scored together, so that they skip the same runs."""
         if not self.n or not len(self.terms):
             return
-        sizes = queries.cuts[chosen + 1] - queries.cuts[chosen]
-        where = _within(queries.cuts[chosen], sizes)
-        query = np.repeat(np.arange(len(chosen)), sizes)
-        term = queries.term[where]
         # Every term is looked up once, in order.
         needed = np.zeros(len(queries.unique), dtype=bool)
-        needed[term] = True
+        for lo in range(0, len(chosen), KNOWN):
+            needed[queries.term[queries.entries(chosen[lo : lo + KNOWN])[1]]] = True
         needed = np.flatnonzero(needed)
         found = np.minimum(np.searchsorted(self.terms, queries.unique[needed]), len(self.terms) - 1)
         place = np.full(len(queries.unique), -1, dtype=np.int64)
         place[needed] = np.where(self.terms[found] == queries.unique[needed], found, -1)
-        at = place[term]
+        kind, counts = np.zeros((2, len(chosen)), dtype=np.int64)
+        for lo in range(0, len(chosen), KNOWN):
+            query, at, weights = self._met(queries, chosen[lo : lo + KNOWN], place)
+            counts[lo : lo + KNOWN] = np.bincount(query, minlength=len(chosen[lo : lo + KNOWN]))
+            wide = self.wide[at]
+            heavy = np.flatnonzero(wide >= 0)
+            some, first = np.unique(query[heavy], return_index=True)
+            if len(some):
+                like = self.centres[wide[heavy]]
+                like *= weights[heavy, None]
+                kind[lo + some] = np.argmax(np.add.reduceat(like, first, axis=0), axis=1)
+        group = kind * (len(QUERY_CLASSES) + 1) + np.searchsorted(QUERY_CLASSES, counts)
+        for one in np.unique(group).tolist():
+            order = np.flatnonzero(group == one)
+            total = np.cumsum(counts[order])
+            lo = 0
+            while lo < len(order):
+                hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + ENTRIES, side="right")))
+                yield from self._search_group(order[lo:hi], *self._met(queries, chosen[order[lo:hi]], place), least, k)
+                lo = hi
+
+    def _met(self, queries: Queries, chosen: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some queries the terms that the shard has: index of the query in chosen, index of the term, weight."""
+        query, where = queries.entries(chosen)
+        at = place[queries.term[where]]
         have = at >= 0
-        query, at, weights = query[have], at[have], queries.weights[where[have]]
-        column = self.column[at]
-        heavy = np.flatnonzero(column >= 0)
-        like = np.stack([np.bincount(query[heavy], centre[column[heavy]] * weights[heavy], minlength=len(chosen)) for centre in self.centres])
-        kind = np.argmax(like, axis=0)
-        cuts = np.searchsorted(query, np.arange(len(chosen) + 1))
-        for one in np.unique(kind).tolist():
-            order = np.flatnonzero(kind == one)
-            counts = cuts[order + 1] - cuts[order]
-            mine = _within(cuts[order], counts)
-            # A frequent term that few queries of the kind have is cheaper by its list.
-            uses = np.bincount(column[mine][column[mine] >= 0], minlength=len(self.df))
-            used = np.flatnonzero(uses * LIST_COST * self.df >= self.n * len(order))
-            own = np.full(len(self.df) + 1, -1, dtype=np.int64)
-            own[used] = np.arange(len(used))
-            # The last entry stands for column -1.
-            own_column, own_at, own_weights = own[column[mine]], at[mine], weights[mine]
-            own_query = np.repeat(np.arange(len(order)), counts)
-            dense, run_max = (self.dense, self.run_max) if len(used) == len(self.df) else (self.dense[used], self.run_max[used])
-            step = min(KNOWN, max(1, CELLS // self.n))
-            for lo in range(0, len(order), step):
-                hi = min(lo + step, len(order))
-                part = slice(*np.searchsorted(own_query, [lo, hi]).tolist())
-                q, c, w, listed = own_query[part] - lo, own_column[part], own_weights[part], own_column[part] < 0
-                rare = self._rare(q[listed], own_at[part][listed], w[listed], hi - lo)
-                q, c, w = q[~listed], c[~listed], w[~listed]
-                block = np.zeros((hi - lo, len(used)), dtype=np.float32)
-                block[q, c] = w
-                ends = np.searchsorted(q, np.arange(hi - lo + 1))
-                parts = list(self._batch(dense, run_max, block, rare, least[order[lo:hi]], k))
-                whose, docs, sums, margins = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4))
-                by = np.argsort(whose, kind="stable")
-                whose, docs, sums, margins = whose[by], docs[by], sums[by], margins[by]
-                begins = np.searchsorted(whose, np.arange(hi - lo + 1))
-                for i in np.unique(whose).tolist():
-                    a, z = begins[i : i + 2].tolist()
-                    found = docs[a:z]
-                    if len(found) > k:
-                        found = found[sums[a:z] >= np.partition(sums[a:z], -k)[-k] - 2 * margins[a]]
-                    terms = slice(ends[i], ends[i + 1])
-                    scores = np.round(self.exact(found, rare[i, found], used[c[terms]], w[terms]), PLACES)
-                    some = (scores > 0) & (scores >= least[order[lo + i]] - MARGIN)
-                    found, scores = found[some], scores[some]
-                    best = np.lexsort((self.place[found], self.ids[found], -scores))[:k]
-                    if len(best):
-                        yield int(order[lo + i]), found[best], scores[best]
+        return query[have], at[have], queries.weights[where[have]]
+
+    def _search_group(self, order: np.ndarray, query: np.ndarray, at: np.ndarray, weights: np.ndarray, least: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        wide = self.wide[at]
+        heavy = wide >= 0
+        # A frequent term of a part that few queries of the group have is cheaper by its list.
+        uses = np.bincount(wide[heavy], minlength=len(self.df))
+        listed, used, terms = np.ones(self.df.shape, dtype=bool), [], []
+        for p, (own, dense, *_) in enumerate(self.parts):
+            some = np.flatnonzero((uses[own] > 0) & (uses[own] * LIST_COST * self.df[own, p] >= dense.shape[1] * len(order)))
+            listed[own[some], p] = False
+            # Where each frequent term is in the part's matrix, if it is used.
+            used.append(np.full(len(self.df), -1, dtype=np.int64))
+            used[p][own[some]] = some
+            terms.append(some)
+        first_column = np.cumsum([0, *map(len, terms)]).tolist()
+        whose = np.concatenate([own[some] for (own, *_), some in zip(self.parts, terms, strict=True)])
+        columns = np.argsort(whose, kind="stable")
+        column_head = np.searchsorted(whose[columns], np.arange(len(self.df) + 1))
+        # What is left of the lists, as runs: neighbouring parts are one run.
+        step = np.diff(listed.astype(np.int8), axis=1, prepend=0, append=0)
+        of, first = np.nonzero(step == 1)
+        begin, end = self.passes[of, first], self.passes[of, np.nonzero(step == -1)[1]]
+        real = end > begin
+        of, begin, end = of[real], begin[real], end[real]
+        head = np.searchsorted(of, np.arange(len(self.df) + 1))
+        number = np.where(heavy, np.diff(head)[wide] if len(self.df) else 0, 1)
+        entry = np.repeat(np.arange(len(at)), number)
+        run_begin, run_size = self.begins[at][entry], self.counts[at][entry]
+        of_wide = heavy[entry]
+        runs = _within(head[wide[heavy]], number[heavy])
+        run_begin[of_wide], run_size[of_wide] = begin[runs], (end - begin)[runs]
+        run_query, run_weight = query[entry], weights[entry]
+        rows = min(KNOWN, max(1, CELLS // self.n))
+        for lo in range(0, len(order), rows):
+            hi = min(lo + rows, len(order))
+            part = slice(*np.searchsorted(run_query, [lo, hi]).tolist())
+            runs = run_query[part] - lo, run_begin[part], run_size[part], run_weight[part]
+            rare = self._rare(*runs, hi - lo)
+            part = slice(*np.searchsorted(query, [lo, hi]).tolist())
+            q, w, v = query[part] - lo, wide[part], weights[part]
+            q, w, v = q[w >= 0], w[w >= 0], v[w >= 0]
+            # The weights of all parts side by side, each in the columns that its frequent terms have there.
+            block = np.zeros((hi - lo, first_column[-1]), dtype=np.float32)
+            times = column_head[w + 1] - column_head[w]
+            block[np.repeat(q, times), columns[_within(column_head[w], times)]] = np.repeat(v, times)
+            parts = []
+            for p, (_, dense, _, run_max) in enumerate(self.parts):
+                if len(terms[p]) < dense.shape[0]:
+                    dense, run_max = dense[terms[p]], run_max[terms[p]]
+                a, z = self.edges[p : p + 2].tolist()
+                heavy = block[:, first_column[p] : first_column[p + 1]]
+                parts += [(i, docs + a, sums, margins) for i, docs, sums, margins in self._batch(dense, run_max, heavy, rare[:, a:z], least[order[lo:hi]], k)]
+            if not parts:
+                continue
+            whose, docs, sums, margins = (np.concatenate([x[i] for x in parts]) for i in range(4))
+            by = np.argsort(whose, kind="stable")
+            whose, docs, sums, margins = whose[by], docs[by], sums[by], margins[by]
+            begins = np.searchsorted(whose, np.arange(hi - lo + 1))
+            kept = np.ones(len(whose), dtype=bool)
+            for i in np.flatnonzero(np.diff(begins) > k).tolist():
+                a, z = begins[i : i + 2].tolist()
+                kept[a:z] = sums[a:z] >= np.partition(sums[a:z], -k)[-k] - 2 * margins[a:z].max()
+            whose, docs = whose[kept], docs[kept]
+            scores = np.round(self._exact(whose, docs, used, (q, w, v), runs), PLACES)
+            some = (scores > 0) & (scores >= least[order[lo:hi]][whose] - MARGIN)
+            whose, docs, scores = whose[some], docs[some], scores[some]
+            by = np.lexsort((self.place[docs], self.ids[docs], -scores, whose))
+            whose, docs, scores = whose[by], docs[by], scores[by]
+            begins = np.searchsorted(whose, np.arange(hi - lo + 1))
+            for i in np.flatnonzero(np.diff(begins)).tolist():
+                best = slice(begins[i], min(begins[i] + k, begins[i + 1]))
+                yield int(order[lo + i]), docs[best], scores[best]
 
 
 FOUND = "query_shard long, query_place long, query_id long, doc_id long, doc_shard long, doc_place long, score double"

@@ -371,6 +371,57 @@ def test_search_of_some_equals_search():
         assert shard.place[d].tolist() == best.tolist() and np.allclose(s, want[best])
 
 
+def test_short_texts_leave_kinds_apart():
+    """Texts without a frequent term are like nothing; they are no kinds of their own, or all other texts would be one kind."""
+    rng = np.random.default_rng(6)
+    x = np.zeros((300, 60), dtype=np.float32)
+    language = np.arange(300) % 3
+    for i in range(270):
+        x[i, 20 * language[i] + rng.choice(20, 15, replace=False)] = rng.random(15) + 0.5
+    order, kind = bm25._by_likeness(x, rng.integers(1, 99, 300))
+    of = {k: set(language[order[kind == k]][order[kind == k] < 270].tolist()) for k in np.unique(kind)}
+    assert len(of) >= 3 and all(len(v) <= 1 for v in of.values())
+
+
+def test_search_by_parts_equals_brute_force(monkeypatch):
+    """Documents of two languages and all lengths, in parts with matrices of their own: nothing is lost at any bar, and most runs are skipped."""
+    monkeypatch.setattr(bm25, "PART", 16)
+    monkeypatch.setattr(bm25, "RUN", 8)
+    monkeypatch.setattr(bm25, "POSTINGS", 500)
+    monkeypatch.setattr(bm25, "KNOWN", 7)
+    monkeypatch.setattr(bm25, "ENTRIES", 900)
+    rng = np.random.default_rng(7)
+    n, terms = 600, 500
+    # Some texts are without a word.
+    size = np.where(rng.random(n) < 0.05, 0, np.geomspace(3, 4000, n)[rng.permutation(n)])
+    rate = np.tile(np.geomspace(1, 0.001, terms // 2), 2)
+    rate = np.where(np.arange(n)[:, None] % 2 == np.arange(terms)[None, :] // (terms // 2), rate, 0)
+    tf = rng.poisson(rate / rate.sum(axis=1, keepdims=True) * size[:, None])
+    docs_, at = np.nonzero(tf)
+    order = np.lexsort((docs_, at))
+    lengths = tf.sum(axis=1)
+    counts = np.bincount(at, minlength=terms)
+    body = [np.arange(terms)[counts > 0], counts[counts > 0], docs_[order], tf[docs_, at][order]]
+    mean = lengths.mean()
+    x = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths[:, None] / mean))
+    place, kind = bm25._by_likeness(x[:, bm25._frequent(counts, n)].astype(np.float32), lengths)
+    # As the index is packed: documents in order of likeness, with the place that each had.
+    packed = bm25.pack(lengths[place], *body[:2], *bm25._renumbered(place, body[1], *body[2:]))
+    ids = rng.permutation(n)
+    shards = [bm25.Shard(ids.tolist(), bm25.pack(lengths, *body), mean), bm25.Shard(ids[place].tolist(), packed, mean, bm25.pack(np.arange(n), kind, place))]
+    asked = [(np.flatnonzero(row), row[row > 0] * 1.5) for row in tf[lengths > 0][::5]]
+    every = np.asarray([np.round(x[:, t] @ w, 6) for t, w in asked])
+    for bar in (np.zeros(len(asked)), np.sort(every, axis=1)[:, -7]):
+        for shard in shards:
+            assert len(shard.parts) >= 4 and any(len(p[0]) for p in shard.parts)
+            shard.skipped = shard.visited = 0
+            for i, d, s in shard.search(asked, bar, 10):
+                best = np.lexsort((ids, -every[i]))[:10]
+                best = best[(every[i][best] > 0) & (every[i][best] >= bar[i] - bm25.MARGIN)]
+                assert shard.place[d].tolist() == best.tolist() and shard.ids[d].tolist() == ids[best].tolist() and np.allclose(s, every[i][best])
+            assert not bar.any() or shard.skipped > shard.visited / 2
+
+
 def test_queries_are_unpacked_once_a_group():
     rows = [{"shard": 7, "doc_ids": [50, None], "body": bm25.pack(np.asarray([3, 9]), np.asarray([2, 1]), np.asarray([4, 6, 4]), np.asarray([1, 2, 1]), np.asarray([1, 1, 5]))}]
     first = bm25._asked("a", rows, 10)
